@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,11 +30,26 @@ IMPROVEMENT_KEYWORDS = (
 
 def contains_any(text: Column, keywords: Sequence[str]) -> Column:
     """True if `text` holds any keyword as a substring, ASCII case ignored; null or empty text gives false."""
-    if not keywords:
-        return F.lit(False)
-    # Java's (?i) folds ASCII only, unlike lower(), which would also match U+212A as "k".
-    pattern = "(?i)(?:" + "|".join(re.escape(word) for word in keywords) + ")"
-    return F.coalesce(text.rlike(pattern), F.lit(False))
+    wanted = [word.lower() for word in keywords]
+    # A keyword that holds a shorter one adds nothing.
+    wanted = [word for word in wanted if not any(other != word and other in word for other in wanted)]
+
+    def holds_one(folded: Column) -> Column:
+        return reduce(Column.__or__, (F.contains(folded, F.lit(word)) for word in dict.fromkeys(wanted)))
+
+    # Bound as a lambda variable, the folded text is computed once per row instead of once per keyword.
+    return F.coalesce(F.exists(F.array(_ascii_lower(text)), holds_one), F.lit(False))
+
+
+def _ascii_lower(text: Column) -> Column:
+    """Lower case in which only ASCII letters can become ASCII letters.
+
+    Plain substring search on it is many times faster than one case-blind regular expression over all keywords.
+    """
+    # The two other letters whose lower case holds an ASCII letter (Kelvin sign, dotted capital I).
+    for letter in ("\u212a", "\u0130"):
+        text = F.replace(text, F.lit(letter), F.lit("\ufffd"))
+    return F.lower(text)
 
 
 def words(text: Column) -> Column:

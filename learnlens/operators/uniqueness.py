@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from learnlens.functions.staging import stage
 from learnlens.functions.text import words
 from learnlens.operators.assessment import graded_submissions
 from learnlens.sources.tables import LearningTables
@@ -87,7 +88,24 @@ def is_unique_enough(goal: float):
 
 
 def largest_overlaps(records: DataFrame, goal: float | None = None) -> DataFrame:
-    """assignment_id, text_id, overlap for every text that occurs once in its assignment."""
+    """assignment_id, text_id, overlap for every text that occurs once in its assignment.
+
+    Two tables are written on the way, because several steps read them: the words of the texts and the lower bounds.
+    """
+    own = stage(_words_of_texts(records), "words")
+    # A word of one text only cannot overlap with anything.
+    shared = own.filter((F.col("copies") == 1) & (F.col("df") > 1)).select(*TEXT, "n_words", "word", "tf", "df")
+    holders = own.filter(F.col("df") > 1).select("assignment_id", F.col("text_id").alias("other_id"), "word")
+
+    bounds = stage(_lower_bounds(own, shared, holders), "bounds")
+    found = _better_partners(shared, holders, bounds, goal)
+    return bounds.join(found, TEXT, "left").select(
+        *TEXT, F.greatest("bound", F.coalesce("found", F.lit(0).cast("long"))).alias("overlap")
+    )
+
+
+def _words_of_texts(records: DataFrame) -> DataFrame:
+    """Distinct words of each distinct text: tf in the text, df in the assignment, and a likely partner text."""
     texts = records.groupBy("assignment_id", "text", "n_words").agg(
         F.count(F.lit(1)).alias("copies"), F.min("record_key").alias("text_id")
     )
@@ -95,77 +113,68 @@ def largest_overlaps(records: DataFrame, goal: float | None = None) -> DataFrame
         texts.select(*TEXT, "copies", "n_words", F.explode(words(F.col("text"))).alias("word"))
         .groupBy(*TEXT, "copies", "n_words", "word")
         .agg(F.count(F.lit(1)).alias("tf"))
-        # always true; it keeps `tf` in every use of the tokens, so that they all share one shuffle
+        # always true; it keeps `tf` in both uses of the tokens, so that they share one shuffle
         .filter(F.col("tf") > 0)
     )
-    holders = tokens.select("assignment_id", F.col("text_id").alias("other_id"), "word")
-
     spread = tokens.groupBy("assignment_id", "word").agg(
         F.count(F.lit(1)).alias("df"), F.min("text_id").alias("low_id"), F.max("text_id").alias("high_id")
     )
-    partner = F.when(F.col("df") > 1, F.when(F.col("text_id") == F.col("low_id"), F.col("high_id")).otherwise(F.col("low_id")))
-    own = (
-        tokens.filter(F.col("copies") == 1)
-        .join(spread, ["assignment_id", "word"])
-        .select(*TEXT, "n_words", "word", "tf", "df", partner.alias("partner"))
+    partner = F.when(F.col("text_id") == F.col("low_id"), F.col("high_id")).otherwise(F.col("low_id"))
+    return tokens.join(spread, ["assignment_id", "word"]).select(
+        *TEXT, "copies", "n_words", "word", "tf", "df", F.when(F.col("df") > 1, partner).alias("partner")
     )
 
-    # The partner named by most words; a text that shares no word keeps a null partner and overlap 0.
+
+def _lower_bounds(own: DataFrame, shared: DataFrame, holders: DataFrame) -> DataFrame:
+    """bound: the overlap with the partner named by most words; 0 for a text that shares no word."""
+    named = F.when(F.col("partner").isNotNull(), F.col("weight"))
     guess = (
-        own.groupBy(*TEXT, "partner")
+        own.filter(F.col("copies") == 1)
+        .groupBy(*TEXT, "partner")
         .agg(F.sum("tf").alias("weight"))
         .groupBy(*TEXT)
-        .agg(F.max_by("partner", F.when(F.col("partner").isNotNull(), F.col("weight"))).alias("other_id"))
+        .agg(F.max_by("partner", named).alias("other_id"))
     )
-    shared = own.filter(F.col("df") > 1).drop("partner")
     counted = (
-        shared.join(guess, TEXT)
+        shared.join(guess.filter(F.col("other_id").isNotNull()), TEXT)
         .join(holders, ["assignment_id", "other_id", "word"])
-        .groupBy(*TEXT)
-        .agg(F.sum("tf").alias("bound"))
+        .select(*TEXT, "tf")
     )
+    unshared = guess.filter(F.col("other_id").isNull()).select(*TEXT, F.lit(0).cast("long").alias("tf"))
+    return counted.unionByName(unshared).groupBy(*TEXT).agg(F.sum("tf").alias("bound"))
 
-    # Frequent words first, up to what the bound already covers: these need no look-up.
-    frequent_first = W.partitionBy(*TEXT).orderBy(F.desc("df"), "word").rowsBetween(W.unboundedPreceding, W.currentRow)
+
+def _better_partners(shared: DataFrame, holders: DataFrame, bounds: DataFrame, goal: float | None) -> DataFrame:
+    """found: the largest overlap above the bound, for the texts that have one."""
+    ranked = shared.join(bounds, TEXT)
     beaten = F.col("bound")
     if goal is not None:
+        share = float(goal) / 100
+        below_goal = _uniqueness(F.col("bound"), F.col("n_words")) < F.lit(share)
         # One less than the overlap that could be enough, so that rounding never sets a needed word aside.
-        needed = F.floor(F.lit(1.0 - float(goal) / 100) * F.col("n_words")) - 1
-        beaten = F.greatest("bound", needed)
-    ranked = shared.join(counted, TEXT).withColumn("beaten", beaten)
-    if goal is not None:
-        ranked = ranked.filter(~(_uniqueness(F.col("bound"), F.col("n_words")) < F.lit(float(goal) / 100)))
-    ranked = ranked.withColumn("covered", F.sum("tf").over(frequent_first))
+        ranked = ranked.filter(~below_goal)
+        beaten = F.greatest("bound", F.floor(F.lit(1.0 - share) * F.col("n_words")) - 1)
+    # Frequent words first, up to what the bound already covers: these need no look-up.
+    frequent_first = W.partitionBy(*TEXT).orderBy(F.desc("df"), "word").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = ranked.withColumn("beaten", beaten).withColumn("covered", F.sum("tf").over(frequent_first))
     aside = F.col("covered") <= F.col("beaten")
-    ranked = ranked.withColumns(
-        {
-            "aside": aside,
-            "slack": F.sum(F.when(aside, F.col("tf")).otherwise(0)).over(W.partitionBy(*TEXT)),
-        }
-    )
+    slack = F.sum(F.when(aside, F.col("tf")).otherwise(0)).over(W.partitionBy(*TEXT))
     candidates = (
-        ranked.filter(~F.col("aside"))
+        ranked.withColumn("slack", slack)
+        .filter(~aside)
         .select(*TEXT, "word", "tf", "slack", "beaten")
         .join(holders, ["assignment_id", "word"])
         .filter(F.col("other_id") != F.col("text_id"))
         .groupBy(*TEXT, "other_id", "slack", "beaten")
         .agg(F.sum("tf").alias("rare_overlap"))
         .filter(F.col("rare_overlap") + F.col("slack") > F.col("beaten"))
-        .select(*TEXT, "other_id", "rare_overlap")
+        .select(*TEXT, "other_id")
     )
-    frequent = ranked.filter("aside").select(*TEXT, "word", "tf")
-    found = (
-        candidates.join(frequent, TEXT, "left")
-        .join(holders.withColumn("held", F.lit(True)), ["assignment_id", "other_id", "word"], "left")
-        .groupBy(*TEXT, "other_id", "rare_overlap")
-        .agg(F.sum(F.when(F.col("held"), F.col("tf")).otherwise(0)).alias("frequent_overlap"))
-        .groupBy(*TEXT)
-        .agg(F.max(F.col("rare_overlap") + F.col("frequent_overlap")).alias("found"))
-    )
-    zero = F.lit(0).cast("long")
     return (
-        guess.select(*TEXT)
-        .join(counted, TEXT, "left")
-        .join(found, TEXT, "left")
-        .select(*TEXT, F.greatest(F.coalesce("bound", zero), F.coalesce("found", zero)).alias("overlap"))
+        candidates.join(shared.select(*TEXT, "word", "tf"), TEXT)
+        .join(holders, ["assignment_id", "other_id", "word"])
+        .groupBy(*TEXT, "other_id")
+        .agg(F.sum("tf").alias("overlap"))
+        .groupBy(*TEXT)
+        .agg(F.max("overlap").alias("found"))
     )
