@@ -60,11 +60,13 @@ def first_submissions(
 def assignment_durations(
     t: LearningTables, start: int, end: int, course_ids: Sequence[int] | None = None, open_end_at: int | None = None
 ) -> DataFrame:
-    """Every first view with `assignment_time_seconds`, 0 where no submit followed."""
+    """Every first view of an enrolled student with `assignment_time_seconds`, 0 where no submit followed."""
     module = ["student_id", "course_id", "module_id"]
     submitted = first_submissions(t, start, end, course_ids, open_end_at).drop("first_view_time")
+    enrolled = course_roster(t, course_ids).select("student_id", "course_id")
     return (
         first_views(t, start, end, course_ids, open_end_at)
+        .join(enrolled, ["student_id", "course_id"], "left_semi")
         .join(submitted, module, "left")
         .withColumn(
             "assignment_time_seconds",
