@@ -224,26 +224,30 @@ def attempts_on_time(
     )
 
 
-def low_grades(
+def low_grade_feedback(
     t: LearningTables,
     course_ids: Sequence[int] | None,
     threshold: float,
     keywords: Sequence[str],
     open_end_at: int | None = None,
 ) -> DataFrame:
-    """student_id, course_id, addressed per low grade of a latest submission: does a comment hold a keyword?
+    """Evidence rows student_id, course_id, addressed: false for every low grade of a latest submission, and for each
+    comment on such a grade whether it holds a keyword.
 
-    Comments are searched where they are read; only the keys of hits are shuffled, never the text.
+    The keyword search is the costly part, so it runs after the join, on the comments of low grades only. The join
+    is an inner one, so that few low grades can be broadcast and the comments need no shuffle.
     """
     attempts = latest_submissions(t, course_ids, open_end_at).select(*ATTEMPT, "course_id").distinct()
-    low = grades_in_course(t, course_ids, open_end_at).filter(F.col("grade") < F.lit(float(threshold)))
-    hits = (
-        t.assignfeedback_comments.filter(contains_any(F.col("commenttext"), keywords))
-        .select(F.col("assignment").alias("assignment_id"), F.col("grade").alias("grade_id"), F.lit(True).alias("hit"))
-        .distinct()
+    low = (
+        grades_in_course(t, course_ids, open_end_at)
+        .filter(F.col("grade") < F.lit(float(threshold)))
+        .join(attempts, list(ATTEMPT))
+        .select("assignment_id", "grade_id", "student_id", "course_id")
     )
-    return (
-        low.join(attempts, list(ATTEMPT))
-        .join(hits, ["assignment_id", "grade_id"], "left")
-        .select("student_id", "course_id", F.coalesce("hit", F.lit(False)).alias("addressed"))
+    comments = t.assignfeedback_comments.select(
+        F.col("assignment").alias("assignment_id"), F.col("grade").alias("grade_id"), "commenttext"
+    )
+    searched = comments.join(low, ["assignment_id", "grade_id"]).select(
+        "student_id", "course_id", contains_any(F.col("commenttext"), keywords).alias("addressed")
     )
+    return low.select("student_id", "course_id", F.lit(False).alias("addressed")).unionByName(searched)

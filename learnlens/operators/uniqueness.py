@@ -38,9 +38,7 @@ def _records(t: LearningTables, course_ids: Sequence[int] | None, open_end_at: i
         F.col("id").alias("feedback_id"),
         F.col("assignment").alias("assignment_id"),
         F.col("grade").alias("grade_id"),
-        F.col("commenttext").alias("text"),
-        # counted here so that scoring the records needs no text after this scan
-        F.size(words(F.col("commenttext"))).alias("n_words"),
+        F.coalesce("commenttext", F.lit("")).alias("text"),
     )
     return (
         graded_submissions(t, course_ids, open_end_at)
@@ -49,7 +47,7 @@ def _records(t: LearningTables, course_ids: Sequence[int] | None, open_end_at: i
             "course_id", "assignment_id", "student_id", "submission_id",
             F.coalesce(F.col("feedback_id"), -F.col("submission_id")).alias("record_key"),
             F.coalesce("text", F.lit("")).alias("text"),
-            F.coalesce("n_words", F.lit(1)).alias("n_words"),
+            F.size(words(F.col("text"))).alias("n_words"),
         )
     )
 
@@ -65,7 +63,8 @@ def feedback_uniqueness(
     With `goal` (a percentage) the search stops as soon as a record is known to be below it or not: the comparison
     with the goal is then exact, while the overlap itself may be a lower bound.
     """
-    records = _records(t, course_ids, open_end_at)
+    # Read twice, for the search and for the result; the second read needs no text.
+    records = stage(_records(t, course_ids, open_end_at), "records")
     best = largest_overlaps(records.select("assignment_id", "record_key", "text", "n_words"), goal)
     return records.join(
         best.withColumnRenamed("text_id", "record_key"), ["assignment_id", "record_key"], "left"
@@ -93,7 +92,6 @@ def largest_overlaps(records: DataFrame, goal: float | None = None) -> DataFrame
     Two tables are written on the way, because several steps read them: the words of the texts and the lower bounds.
     """
     own = stage(_words_of_texts(records), "words")
-    # A word of one text only cannot overlap with anything.
     shared = own.filter((F.col("copies") == 1) & (F.col("df") > 1)).select(*TEXT, "n_words", "word", "tf", "df")
     holders = own.filter(F.col("df") > 1).select("assignment_id", F.col("text_id").alias("other_id"), "word")
 
@@ -105,23 +103,29 @@ def largest_overlaps(records: DataFrame, goal: float | None = None) -> DataFrame
 
 
 def _words_of_texts(records: DataFrame) -> DataFrame:
-    """Distinct words of each distinct text: tf in the text, df in the assignment, and a likely partner text."""
+    """Words that a text shares with another one: tf in the text, df in the assignment, and a likely partner text.
+
+    A word of one text only cannot overlap with anything and is left out, except a text's first word, which keeps
+    every text in the table.
+    """
     texts = records.groupBy("assignment_id", "text", "n_words").agg(
         F.count(F.lit(1)).alias("copies"), F.min("record_key").alias("text_id")
     )
     tokens = (
-        texts.select(*TEXT, "copies", "n_words", F.explode(words(F.col("text"))).alias("word"))
+        texts.select(*TEXT, "copies", "n_words", F.posexplode(words(F.col("text"))).alias("pos", "word"))
         .groupBy(*TEXT, "copies", "n_words", "word")
-        .agg(F.count(F.lit(1)).alias("tf"))
-        # always true; it keeps `tf` in both uses of the tokens, so that they share one shuffle
-        .filter(F.col("tf") > 0)
+        .agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("first_pos"))
+        # always true; it keeps both columns in both uses of the tokens, so that they share one shuffle
+        .filter(F.col("tf") + F.col("first_pos") > 0)
     )
     spread = tokens.groupBy("assignment_id", "word").agg(
         F.count(F.lit(1)).alias("df"), F.min("text_id").alias("low_id"), F.max("text_id").alias("high_id")
     )
     partner = F.when(F.col("text_id") == F.col("low_id"), F.col("high_id")).otherwise(F.col("low_id"))
-    return tokens.join(spread, ["assignment_id", "word"]).select(
-        *TEXT, "copies", "n_words", "word", "tf", "df", F.when(F.col("df") > 1, partner).alias("partner")
+    return (
+        tokens.join(spread, ["assignment_id", "word"])
+        .filter((F.col("df") > 1) | (F.col("first_pos") == 0))
+        .select(*TEXT, "copies", "n_words", "word", "tf", "df", F.when(F.col("df") > 1, partner).alias("partner"))
     )
 
 

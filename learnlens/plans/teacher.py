@@ -23,7 +23,7 @@ def course_performance_feedback(
     open_end_at: int | None = None,
 ) -> DataFrame:
     """Do students with a low grade get feedback with improvement language? One such comment is enough."""
-    low = assessment.low_grades(t, course_ids, gradethreshold, keywords, open_end_at)
+    low = assessment.low_grade_feedback(t, course_ids, gradethreshold, keywords, open_end_at)
     return fill_states(course_roster(t, course_ids), fold_any_good(low, "addressed"))
 
 
