@@ -37,17 +37,14 @@ def _rows(rows, columns):
 
 def difference(spark_df, con, sql: str) -> str | None:
     """None if columns, types and rows agree."""
-    found = con.execute(sql)
-    described = {d[0]: str(d[1]) for d in found.description}
-    expected = found.fetchall()
-    expected_types = {name: con.execute(f"SELECT typeof({name}) FROM ({sql}) LIMIT 1").fetchall() for name in described}
+    described = {row[0]: row[1] for row in con.execute(f"DESCRIBE {sql}").fetchall()}
+    expected = con.execute(sql).fetchall()
     types = {f.name: TYPES.get(f.dataType.simpleString(), "?") for f in spark_df.schema.fields}
     if set(types) != set(described):
         return f"columns {sorted(types)} != {sorted(described)}"
-    if expected:
-        for name, kind in types.items():
-            if expected_types[name][0][0] != kind:
-                return f"type of {name}: {kind} != {expected_types[name][0][0]}"
+    for name, kind in types.items():
+        if described[name] != kind:
+            return f"type of {name}: {kind} != {described[name]}"
     got = _rows([tuple(r) for r in spark_df.collect()], spark_df.columns)
     want = _rows(expected, list(described))
     if len(got) != len(want):
