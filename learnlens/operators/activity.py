@@ -86,29 +86,23 @@ def teacher_events(t: LearningTables, as_of: int, course_ids: Sequence[int] | No
     broadcast nor split when one teacher's key is hot.
     """
     teachers = teacher_roster(t, as_of, course_ids)
-    found = _teacher_log(t, teachers, course_ids).select(
-        "teacher_id", "course_id", "course_start", "course_end", "event_id", "event_time"
-    )
-    silent = teachers.join(found.select("teacher_id", "course_id").distinct(), ["teacher_id", "course_id"], "left_anti")
-    nothing = F.lit(None).cast("long")
-    return found.unionByName(
-        silent.select(
-            "teacher_id", "course_id", "course_start", "course_end",
-            nothing.alias("event_id"), nothing.alias("event_time"),
-        )
-    )
-
-
-def _teacher_log(t: LearningTables, teachers: DataFrame, course_ids: Sequence[int] | None) -> DataFrame:
     log = in_courses(t.logstore_standard_log, "courseid", course_ids).select(
         F.col("id").alias("event_id"), "userid", "courseid", F.col("timecreated").alias("event_time")
     )
-    return log.join(
+    found = log.join(
         teachers,
         (log["userid"] == teachers["teacher_id"])
         & (log["courseid"] == teachers["course_id"])
         & (F.col("event_time") >= F.col("course_start"))
         & (F.col("event_time") < F.col("course_end")),
+    ).select("teacher_id", "course_id", "course_start", "course_end", "event_id", "event_time")
+    silent = teachers.join(found.select("teacher_id", "course_id").distinct(), ["teacher_id", "course_id"], "left_anti")
+    nothing = F.lit(None).cast("long")
+    return found.unionByName(
+        silent.select(
+            "teacher_id", "course_id", "course_start", "course_end",
+            nothing.alias("event_id"), nothing.alias("event_time"),
+        )
     )
 
 

@@ -96,10 +96,10 @@ def _assignments(t: LearningTables, course_ids: Sequence[int] | None, open_end_a
     )
 
 
-def latest_submissions(
+def submissions_in_course(
     t: LearningTables, course_ids: Sequence[int] | None = None, open_end_at: int | None = None
 ) -> DataFrame:
-    """Latest, really submitted attempts of enrolled students inside the course window."""
+    """Latest, really submitted attempts inside the course window, of enrolled and other users alike."""
     submitted = t.assign_submission.filter((F.col("latest") == 1) & (F.col("status") == "submitted")).select(
         F.col("id").alias("submission_id"),
         F.col("assignment").alias("assignment_id"),
@@ -108,16 +108,27 @@ def latest_submissions(
         "timecreated",
         F.col("timemodified").alias("submission_date"),
     )
-    clipped = submitted.join(_assignments(t, course_ids, open_end_at), "assignment_id").filter(
-        (F.col("timecreated") < F.col("course_end"))
-        & (F.col("submission_date") >= F.col("course_start"))
-        & (F.col("submission_date") < F.col("course_end"))
+    return (
+        submitted.join(_assignments(t, course_ids, open_end_at), "assignment_id")
+        .filter(
+            (F.col("timecreated") < F.col("course_end"))
+            & (F.col("submission_date") >= F.col("course_start"))
+            & (F.col("submission_date") < F.col("course_end"))
+        )
+        .select(
+            "submission_id", "assignment_id", "student_id", "course_id", "course_start", "course_end",
+            "attempt_number", "submission_date",
+        )
     )
+
+
+def latest_submissions(
+    t: LearningTables, course_ids: Sequence[int] | None = None, open_end_at: int | None = None
+) -> DataFrame:
+    """`submissions_in_course` of enrolled students only."""
     enrolled = course_roster(t, course_ids).select("student_id", "course_id")
-    return clipped.join(enrolled, ["student_id", "course_id"], "left_semi").select(
-        "submission_id", "assignment_id", "student_id", "course_id", "course_start", "course_end",
-        "attempt_number", "submission_date",
-    )
+    clipped = submissions_in_course(t, course_ids, open_end_at)
+    return clipped.join(enrolled, ["student_id", "course_id"], "left_semi").select(*clipped.columns)
 
 
 def grades_in_course(
@@ -192,10 +203,11 @@ def attempts_on_time(
 
     Both sides are cut to their extreme dates per attempt first. All pairs are in time exactly when the last
     submission is no later than the first grade and the last grade is within the limit of the first submission, so
-    repeated rows never multiply. The aggregation uses the partitioning that the join needs anyway.
+    repeated rows never multiply. The aggregation uses the partitioning that the join needs anyway. Users outside
+    the roster are not dropped here but when the folded states meet it, so no raw row is shuffled by student.
     """
     submissions = (
-        latest_submissions(t, course_ids, open_end_at)
+        submissions_in_course(t, course_ids, open_end_at)
         .groupBy(*ATTEMPT, "course_id")
         .agg(
             F.min("submission_date").alias("first_submission"),
@@ -235,9 +247,10 @@ def low_grade_feedback(
     comment on such a grade whether it holds a keyword.
 
     The keyword search is the costly part, so it runs after the join, on the comments of low grades only. The join
-    is an inner one, so that few low grades can be broadcast and the comments need no shuffle.
+    is an inner one, so that few low grades can be broadcast and the comments need no shuffle. Users outside the
+    roster are dropped later, when the folded states meet it.
     """
-    attempts = latest_submissions(t, course_ids, open_end_at).select(*ATTEMPT, "course_id").distinct()
+    attempts = submissions_in_course(t, course_ids, open_end_at).select(*ATTEMPT, "course_id").distinct()
     low = (
         grades_in_course(t, course_ids, open_end_at)
         .filter(F.col("grade") < F.lit(float(threshold)))

@@ -8,19 +8,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from learnlens.functions.periods import WEEK
-from learnlens.operators.activity import _teacher_log
-from learnlens.operators.roster import teacher_roster
+from learnlens.operators.roster import course_windows, in_courses, teacher_roster
 from learnlens.operators.states import state_of
 from learnlens.sources.tables import LearningTables
 
 _SLOTS = f"greatest(1, (greatest(0, course_end - course_start) + {WEEK - 1}) div {WEEK})"
 
 
-def _active_weeks(t: LearningTables, teachers: DataFrame, course_ids: Sequence[int] | None) -> DataFrame:
-    """Non-empty slots only: teacher_id, course_id, week, interactions."""
+def _active_weeks(t: LearningTables, as_of: int, course_ids: Sequence[int] | None) -> DataFrame:
+    """Non-empty slots only: teacher_id, course_id, week, interactions.
+
+    Every user's events are counted, by slot and before any join on users: partial counts shrink a hot teacher on the
+    map side. The teachers are picked from the counts.
+    """
+    log = in_courses(t.logstore_standard_log, "courseid", course_ids).select("userid", "courseid", "timecreated")
+    windows = course_windows(t, course_ids, open_end_at=as_of)
     return (
-        _teacher_log(t, teachers, course_ids)
-        .groupBy("teacher_id", "course_id", F.expr(f"(event_time - course_start) div {WEEK}").alias("week"))
+        log.join(windows, log["courseid"] == windows["course_id"])
+        .filter((F.col("timecreated") >= F.col("course_start")) & (F.col("timecreated") < F.col("course_end")))
+        .groupBy(
+            F.col("userid").alias("teacher_id"),
+            "course_id",
+            F.expr(f"(timecreated - course_start) div {WEEK}").alias("week"),
+        )
         .agg(F.count(F.lit(1)).alias("interactions"))
     )
 
@@ -31,7 +41,7 @@ def weekly_interactions(t: LearningTables, as_of: int, course_ids: Sequence[int]
     slots = teachers.select(
         "teacher_id", "course_id", F.explode(F.expr(f"sequence(0L, {_SLOTS} - 1)")).alias("week")
     )
-    counts = _active_weeks(t, teachers, course_ids)
+    counts = _active_weeks(t, as_of, course_ids)
     return slots.join(counts, ["teacher_id", "course_id", "week"], "left").select(
         "teacher_id", "course_id", "week", F.coalesce("interactions", F.lit(0).cast("long")).alias("interactions")
     )
@@ -46,7 +56,7 @@ def teacher_consistency(
     """
     teachers = teacher_roster(t, as_of, course_ids)
     full = (
-        _active_weeks(t, teachers, course_ids)
+        _active_weeks(t, as_of, course_ids)
         .filter(F.col("interactions") >= F.lit(float(threshold)))
         .groupBy("teacher_id", "course_id")
         .agg(F.count(F.lit(1)).alias("full_weeks"))

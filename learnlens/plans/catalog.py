@@ -17,6 +17,7 @@ from learnlens.plans.dashboard import dashboard, refresh
 from learnlens.plans.registry import INDICATORS
 from learnlens.plans.series import bar_series, state_counts, teacher_states
 from learnlens.plans.student import STUDENT_INDICATORS, StudentParams
+from learnlens.session import tune
 from learnlens.sources.sample import AS_OF, COURSES, sample_tables
 from learnlens.sources.tables import LearningTables
 
@@ -29,7 +30,7 @@ LONG_CAP = 43200
 
 
 def _on_sample(build: Build) -> Query:
-    return lambda spark, sf_dir: build(spark, sample_tables(spark, sf_dir))
+    return lambda spark, sf_dir: build(tune(spark), sample_tables(spark, sf_dir))
 
 
 def _student(indicator_id: str, **options) -> Build:
