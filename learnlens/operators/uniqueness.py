@@ -163,22 +163,24 @@ def _better_partners(shared: DataFrame, holders: DataFrame, bounds: DataFrame, g
     ranked = ranked.withColumn("beaten", beaten).withColumn("covered", F.sum("tf").over(frequent_first))
     aside = F.col("covered") <= F.col("beaten")
     slack = F.sum(F.when(aside, F.col("tf")).otherwise(0)).over(W.partitionBy(*TEXT))
+    ranked = ranked.withColumns({"aside": aside, "slack": slack})
     candidates = (
-        ranked.withColumn("slack", slack)
-        .filter(~aside)
+        ranked.filter(~F.col("aside"))
         .select(*TEXT, "word", "tf", "slack", "beaten")
         .join(holders, ["assignment_id", "word"])
         .filter(F.col("other_id") != F.col("text_id"))
         .groupBy(*TEXT, "other_id", "slack", "beaten")
         .agg(F.sum("tf").alias("rare_overlap"))
         .filter(F.col("rare_overlap") + F.col("slack") > F.col("beaten"))
-        .select(*TEXT, "other_id")
+        .select(*TEXT, "other_id", "rare_overlap")
     )
+    # Only the words set aside are left to count; a text may have none of them.
+    frequent = ranked.filter("aside").select(*TEXT, "word", "tf")
     return (
-        candidates.join(shared.select(*TEXT, "word", "tf"), TEXT)
-        .join(holders, ["assignment_id", "other_id", "word"])
-        .groupBy(*TEXT, "other_id")
-        .agg(F.sum("tf").alias("overlap"))
+        candidates.join(frequent, TEXT, "left")
+        .join(holders.withColumn("held", F.lit(True)), ["assignment_id", "other_id", "word"], "left")
+        .groupBy(*TEXT, "other_id", "rare_overlap")
+        .agg(F.sum(F.when(F.col("held"), F.col("tf")).otherwise(0)).alias("frequent_overlap"))
         .groupBy(*TEXT)
-        .agg(F.max("overlap").alias("found"))
+        .agg(F.max(F.col("rare_overlap") + F.col("frequent_overlap")).alias("found"))
     )
