@@ -24,7 +24,7 @@ def block_of(column: str) -> Column:
 
 @dataclass(frozen=True)
 class RowOrder:
-    """Sort keys (together unique) with two block levels that follow the same order."""
+    """Sort keys (together unique) with two integer block levels that follow the same order."""
 
     keys: tuple[str, ...]
     coarse: tuple[Column, ...]
@@ -51,15 +51,19 @@ def number_rows(
     *,
     restart: bool = False,
     total: str | None = None,
+    counted: str | None = None,
 ) -> DataFrame:
     """Add `name`: 1, 2, ... in `order`, starting again in every coarse block if `restart`.
 
-    `total` names an extra column with the row count of the coarse block. Only the key columns feed the block
-    sizes, so callers should number a narrow frame and join values to it afterwards.
+    `total` names an extra column with the row count of the coarse block. The rows are read twice, for the block sizes
+    and for the numbers. So number a narrow frame and join values to it afterwards; or, if the rows come from a costly
+    aggregate, name that aggregate in `counted` (it must never be null): both uses then share its shuffles.
     """
     coarse = [f"__coarse_{i}" for i in range(len(order.coarse))]
-    tagged = rows.withColumns({**dict(zip(coarse, order.coarse)), "__fine": order.fine})
-    fine_sizes = tagged.groupBy(*coarse, "__fine").agg(F.count(F.lit(1)).alias("__size"))
+    # Never null: otherwise each join below would add its own null filter to the shared plan of `rows`.
+    blocks = {**dict(zip(coarse, order.coarse)), "__fine": order.fine}
+    tagged = rows.withColumns({name: F.coalesce(block, F.lit(-1).cast("long")) for name, block in blocks.items()})
+    fine_sizes = tagged.groupBy(*coarse, "__fine").agg(F.count(counted or F.lit(1)).alias("__size"))
     # One row per block: at most (largest id / BLOCK) rows in each of these windows.
     before = W.partitionBy(*coarse).orderBy("__fine").rowsBetween(W.unboundedPreceding, -1)
     offsets = fine_sizes.withColumn("__offset", F.coalesce(F.sum("__size").over(before), F.lit(0)))

@@ -130,8 +130,7 @@ def student_rows(
         joined = rows.join(totals, keys, "left")
     else:
         found = totals.join(roster, keys, "left_semi")
-        # Numbering reads the rows twice; carrying the value in both keeps one shuffle for them.
-        joined = found if order is None else number_rows(found, order, number)
+        joined = found if order is None else number_rows(found, order, number, counted=spec.value)
         value = F.col(spec.value)
     numbers = [] if order is None else [number]
     return joined.select(*numbers, *keys, value.alias(spec.value))

@@ -162,7 +162,7 @@ def _posts(conversations: DataFrame, role_assignments: DataFrame) -> DataFrame:
     members = role_assignments.select(
         _e("contextid - 1000").alias("course"), _e("if(roleid = 5, 'user', 'assistant')").alias("role"), "userid"
     ).distinct()
-    order = RowOrder(("userid",), (F.col("course"), F.col("role")), block_of("userid"))
+    order = RowOrder(("userid",), (F.col("course"), F.when(F.col("role") == "user", 1).otherwise(0)), block_of("userid"))
     numbered = number_rows(members, order, "member_no", restart=True)
     sizes = members.groupBy("course", "role").agg(F.count(F.lit(1)).alias("members"))
     closing = (

@@ -86,3 +86,10 @@ def test_stored_tables_give_the_same_result(spark, stored):
         result = [tuple(r) for r in student.student_active_time(t, AS_OF).collect()]
         assert len(result) == 36
     assert result == [tuple(r) for r in student.student_active_time(derived, AS_OF).collect()]
+
+
+def test_numbering_an_aggregate_reads_the_log_once(stored):
+    df = student.time_spent_forums(stored, AS_OF)
+    df.collect()
+    final = plan(df).split("== Initial Plan ==")[0]
+    assert len(log_scans(final)) == 1
