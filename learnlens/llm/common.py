@@ -11,17 +11,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and return a frame that reads it, so that lost executors cost a re-read.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder: the one named in `spark.checkpoint.dir`, or one below the warehouse, shared as well."""
+    return (spark.conf.get(CHECKPOINT_DIR, None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints").rstrip("/")
+
 
-    The folder is the one the session names in `spark.checkpoint.dir`; only where none is named, one below the warehouse
-    (shared as well) is set.
-    """
-    spark: SparkSession = df.sparkSession
-    context = spark.sparkContext
+def cut(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared checkpoint folder and return a frame that reads it, so that lost executors cost a re-read."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get(CHECKPOINT_DIR, None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from learnlens.llm import packing, simhash
+from learnlens.llm import langid, packing, quality, simhash, url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,10 +23,48 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """A quality score for every document."""
+    return quality.score_documents(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document."""
+    return langid.predict_documents(_table(spark, folder, "documents"))
+
+
+#: (verdict, rule) in production.
+URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+
+
+def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Host, path, deciding rule and verdict of every page."""
+    return url_filter.judge(_table(spark, folder, "pages"), [url_filter.parse_rule(rule, verdict) for verdict, rule in URL_RULES])
+
+
+URL_SQL = """
+WITH rest AS (
+  SELECT row_number() OVER () AS n, page_id,
+    CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages
+), parts AS (
+  SELECT n, page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest
+), rules(verdict, rule_host, rule_path) AS (
+  VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+), fitting AS (
+  SELECT n, rule_host || rule_path AS rule, verdict,
+    row_number() OVER (PARTITION BY n ORDER BY len(rule_host) DESC, len(rule_path) DESC) AS place
+  FROM parts JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+FROM parts LEFT JOIN (SELECT * FROM fitting WHERE place = 1) USING (n)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op2_simhash, op3_best_fit_packing)}
+    return {q.__name__: q for q in (op2_simhash, op3_best_fit_packing, op5_quality_classifier, op7_language_id, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {}
+    return {"op10_url_filter": URL_SQL}

@@ -235,7 +235,15 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, parts: i
 
 
 def representatives(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame:
-    """`docs` without all but the document with the smallest id of each component; a repeated row of it stays once."""
+    """The rows of `docs`, all their columns, whose doc_id is the smallest of their component.
+
+    Repeated rows of such an id stay once. Rows without an id cannot be told apart and stay.
+    """
     found = near_duplicates(docs, words, distance)
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(keep, docs["doc_id"] == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    first = cut(found.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_times")))
+    own = F.col("doc_id").cast("long") == F.col("_kept")
+    kept = docs.join(first.where("_times = 1"), own, "left_semi").union(docs.where(F.col("doc_id").isNull()))
+    again = first.where("_times > 1")
+    if again.isEmpty():
+        return kept
+    return kept.union(docs.join(again, own, "left_semi").dropDuplicates(["doc_id"]))
