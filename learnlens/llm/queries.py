@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from learnlens.llm import langid, packing, quality, simhash, url_filter
+from learnlens.llm import ann, langid, packing, quality, simhash, subspace, url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -33,6 +33,17 @@ def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.predict_documents(_table(spark, folder, "documents"))
 
 
+def op6_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 10 nearest of all other vectors for every vector whose id is divisible by 100."""
+    vectors = _table(spark, folder, "embeddings")
+    return ann.search(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
+def op8_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Links at a cosine of 0.95 or more, and their components, over all vectors."""
+    return subspace.near_vectors(_table(spark, folder, "embeddings"))
+
+
 #: (verdict, rule) in production.
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
@@ -62,7 +73,7 @@ FROM parts LEFT JOIN (SELECT * FROM fitting WHERE place = 1) USING (n)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op2_simhash, op3_best_fit_packing, op5_quality_classifier, op7_language_id, op10_url_filter)}
+    return {q.__name__: q for q in (op2_simhash, op3_best_fit_packing, op5_quality_classifier, op6_nearest_neighbours, op7_language_id, op8_embedding_near_dedup, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
