@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from learnlens.llm import ann, langid, packing, quality, simhash, subspace, url_filter
+from learnlens.llm import ann, html_text, langid, packing, quality, simhash, subspace, url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extract(_table(spark, folder, "pages"))
+
+
 def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicates(_table(spark, folder, "documents"))
@@ -73,7 +78,7 @@ FROM parts LEFT JOIN (SELECT * FROM fitting WHERE place = 1) USING (n)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op2_simhash, op3_best_fit_packing, op5_quality_classifier, op6_nearest_neighbours, op7_language_id, op8_embedding_near_dedup, op10_url_filter)}
+    return {q.__name__: q for q in (op1_html_text, op2_simhash, op3_best_fit_packing, op5_quality_classifier, op6_nearest_neighbours, op7_language_id, op8_embedding_near_dedup, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
