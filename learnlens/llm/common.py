@@ -48,4 +48,4 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 
 
 def record(columns: dict[str, object], types: Sequence[tuple[str, pa.DataType]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[name], type=kind) for name, kind in types], names=[name for name, _ in types])
+    return pa.RecordBatch.from_arrays([x if isinstance(x := columns[name], pa.Array) else pa.array(x, type=kind) for name, kind in types], names=[name for name, _ in types])

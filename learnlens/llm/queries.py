@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from learnlens.llm import ann, html_text, langid, packing, quality, simhash, subspace, url_filter
+from learnlens.llm import ann, html_text, langid, packing, pieces, quality, simhash, subspace, token_counts, url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every line of every document."""
+    return token_counts.count_by_section(_table(spark, folder, "documents"))
+
+
 def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     """A quality score for every document."""
     return quality.score_documents(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
@@ -49,6 +54,11 @@ def op8_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return subspace.near_vectors(_table(spark, folder, "embeddings"))
 
 
+def op9_sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of every document's pieces, by the model's own merges and by the Viterbi search, and of their decoding."""
+    return pieces.digests(_table(spark, folder, "documents"))
+
+
 #: (verdict, rule) in production.
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
@@ -58,6 +68,20 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(_table(spark, folder, "pages"), [url_filter.parse_rule(rule, verdict) for verdict, rule in URL_RULES])
 
 
+VECTOR_SQL = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS n, vec_id, embedding::DOUBLE[] AS e,
+    coalesce(len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0, false) AS good
+  FROM embeddings
+), pairs AS (
+  SELECT a.n AS a, b.n AS b FROM v a JOIN v b
+    ON a.n <> b.n AND a.good AND b.good AND list_cosine_similarity(a.e, b.e) >= 0.95
+), reach(n, m) AS (
+  SELECT n, n FROM v UNION SELECT reach.n, b FROM reach JOIN pairs ON reach.m = pairs.a
+), least AS (SELECT reach.n, min(vec_id) AS component_id FROM reach JOIN v ON v.n = reach.m GROUP BY reach.n)
+SELECT vec_id, (SELECT count(*) FROM pairs WHERE a = v.n) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN least USING (n)
+"""
+
 URL_SQL = """
 WITH rest AS (
   SELECT row_number() OVER () AS n, page_id,
@@ -78,9 +102,9 @@ FROM parts LEFT JOIN (SELECT * FROM fitting WHERE place = 1) USING (n)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_html_text, op2_simhash, op3_best_fit_packing, op5_quality_classifier, op6_nearest_neighbours, op7_language_id, op8_embedding_near_dedup, op10_url_filter)}
+    return {q.__name__: q for q in (op1_html_text, op2_simhash, op3_best_fit_packing, op4_token_counts, op5_quality_classifier, op6_nearest_neighbours, op7_language_id, op8_embedding_near_dedup, op9_sentence_pieces, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {"op10_url_filter": URL_SQL}
+    return {"op8_embedding_near_dedup": VECTOR_SQL, "op10_url_filter": URL_SQL}
