@@ -71,7 +71,7 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 VECTOR_SQL = """
 WITH RECURSIVE v AS (
   SELECT row_number() OVER () AS n, vec_id, embedding::DOUBLE[] AS e,
-    coalesce(len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0, false) AS good
+    coalesce(len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0, false) AS good
   FROM embeddings
 ), pairs AS (
   SELECT a.n AS a, b.n AS b FROM v a JOIN v b
