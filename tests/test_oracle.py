@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entrypoint
+from learnlens.plans import catalog
 from tests.compare import connect, difference
 
 SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
-QUERIES, SQL = entrypoint.queries(), entrypoint.oracle_sql()
+QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 # One query per indicator and step runs on the larger set, where every state occurs.
 MAIN = [n for n in QUERIES if not any(part in n for part in ("_refresh_", "hourly", "daily", "yearly", "_series", "_counts"))]
 
