@@ -139,6 +139,16 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, roun
             fill[b] += size[i]
             home[i] = b
 
+        def exchange(b: int, given: int, taken: list[int]) -> tuple[int, int, list[int], int]:
+            """What taking pieces for one would add to the sum of squared fills; the emptier source gets the given piece."""
+            after = {b: fill[b] - size[given] + sum(size[t] for t in taken)}
+            for t in taken:
+                after[home[t]] = after.get(home[t], fill[home[t]]) - size[t]
+            target = min((home[t] for t in taken), key=lambda x: (after[x], x))
+            after[target] += size[given]
+            gain = sum(f * f - fill[x] ** 2 for x, f in after.items()) if after[target] <= capacity else 0
+            return gain, given, taken, target
+
         for b in open_bins:
             for i in bins[b]:
                 stock.drop(size[i], i)
@@ -149,36 +159,24 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, roun
                     put(stock.pop(got), b)
                     changed = True
                     continue
-                # (growth, piece to give, sizes to take)
-                best: tuple[int, int, tuple[int, ...]] = (0, -1, ())
+                best: tuple[int, int, list[int], int] = (0, -1, [], -1)
                 for i in bins[b]:
                     want = size[i] + room
-                    one = stock.up_to(want)
-                    if one > size[i]:
-                        best = max(best, (one - size[i], i, (one,)))
-                    if best[0] < room:
-                        a = stock.up_to(want // 2)
-                        left = want - a
-                        c = stock.up_to(left) if a else 0
-                        if c and (c != a or len(stock.at[a]) > 1) and a + c > size[i]:
-                            best = max(best, (a + c - size[i], i, (a, c)))
-                    if best[0] == room:
-                        break
-                if best[1] < 0:
-                    break
-                grown, given, sizes = best
-                taken = [stock.pop(x) for x in sizes]
-                after = {b: fill[b] + grown}
-                for t in taken:
-                    after[home[t]] = after.get(home[t], fill[home[t]]) - size[t]
-                # The emptier source takes the given piece back.
-                target = min((home[t] for t in taken), key=lambda x: (after[x], x))
-                after[target] += size[given]
-                if after[target] > capacity or sum(f * f - fill[x] ** 2 for x, f in after.items()) <= 0:
-                    for t in taken:
-                        stock.add(size[t], t)
+                    one, half = stock.up_to(want), stock.up_to(want // 2)
+                    pair: list[int] = []
+                    if half:
+                        a = stock.pop(half)
+                        other = stock.up_to(want - half)
+                        pair = [a, stock.last(other)] if other else []
+                        stock.add(half, a)
+                    for take in ([stock.last(one)] if one else [], pair):
+                        if take and sum(size[t] for t in take) > size[i]:
+                            best = max(best, exchange(b, i, take))
+                gain, given, taken, target = best
+                if gain <= 0:
                     break
                 for t in taken:
+                    stock.drop(size[t], t)
                     put(t, b)
                 put(given, target)
                 stock.add(size[given], given)
