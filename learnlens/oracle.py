@@ -9,18 +9,20 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from learnlens.functions.periods import reporting_window
 from learnlens.functions.text import IMPROVEMENT_KEYWORDS, RESOLUTION_KEYWORDS
 from learnlens.plans.registry import INDICATORS
 from learnlens.sources.sample import AS_OF, T0
 
+# Starts of the reporting periods before the fixed clock 2024-01-31 00:00 UTC: 2024-01-30 23:00, 2024-01-30, 2024-01-24, 2023-12-31, 2023-01-31.
+PERIOD_STARTS = {"hourly": 1706655600, "daily": 1706572800, "weekly": 1706054400, "monthly": 1703980800, "yearly": 1675123200}
+
 PLACE = "((userid + 7 * (n % 3)) % 25 + 1)"
 
 # name -> (needed names, body)
 _CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "course": ((), f"""
         SELECT CAST(n_nationkey + 1 AS BIGINT) AS id, n_name AS shortname,
-               CAST({T0} + (n_nationkey % 3) * 86400 AS BIGINT) AS startdate,
+               CAST({T0} + (n_nationkey % 3) * 86400 - CASE WHEN n_nationkey % 4 = 3 THEN 250 * 86400 ELSE 0 END AS BIGINT) AS startdate,
                CAST(CASE WHEN n_nationkey % 5 = 0 THEN 0 ELSE {T0} + (21 + n_nationkey % 14) * 86400 END AS BIGINT) AS enddate
         FROM nation"""),
     "context": (("course",), "SELECT 1000 + id AS id, 50 AS contextlevel, id AS instanceid FROM course"),
@@ -49,7 +51,8 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
         FROM (SELECT *, ['mod_forum', 'mod_assign', 'mod_resource', 'mod_url', 'mod_page', 'mod_lesson'][k % 6 + 1] AS module
               FROM (SELECT event_id AS n, user_id AS userid, event_type,
                            CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
-                           CAST(floor(epoch(ts)) AS BIGINT) AS timecreated
+                           CAST(CASE event_id % 10 WHEN 3 THEN {AS_OF} - event_id * 37 % 3600 WHEN 6 THEN {AS_OF} - event_id * 7919 % 86400
+                                WHEN 9 THEN floor(epoch(ts)) - 86400 * (40 + event_id // 10 % 200) ELSE floor(epoch(ts)) END AS BIGINT) AS timecreated
                     FROM events) AS parsed) AS named"""),
     "assign": (("course",), "SELECT id * 10 + a AS id, id AS course FROM course, (VALUES (0), (1), (2), (3)) AS nth(a)"),
     "assign_submission": ((), f"""
@@ -67,10 +70,12 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
                timemodified + (n % 12) * 86400 AS timemodified
         FROM assign_submission WHERE n % 7 <> 0"""),
     "comments": (("assign_grades",), """
-        SELECT id, assignment, id AS grade,
+        SELECT 2 * id + copy AS id, assignment, id AS grade,
                text || CASE n % 4 WHEN 0 THEN ' Please REVIEW the rubric' WHEN 1 THEN ' keep it up'
                                   WHEN 2 THEN ' Focus on detail' ELSE '' END AS commenttext
-        FROM assign_grades JOIN documents ON doc_id = n // 15 WHERE n % 5 <> 0"""),
+        FROM (SELECT *, 0 AS copy, n // 15 AS document FROM assign_grades WHERE n % 5 <> 0
+              UNION ALL SELECT *, 1, n // 7 FROM assign_grades WHERE n % 7 = 1) AS written
+        JOIN documents ON doc_id = document"""),
     "forum_discussions": ((), "SELECT DISTINCT conv_id + 1 AS id, conv_id % 25 + 1 AS course FROM conversations"),
     "members": (("role_assignments",), """
         SELECT course, kind, userid, row_number() OVER (PARTITION BY course, kind ORDER BY userid) AS place,
@@ -79,11 +84,11 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
               FROM role_assignments) AS distinct_members"""),
     "forum_posts": (("members",), f"""
         SELECT conv_id * 10 + turn + 1 AS id, conv_id + 1 AS discussion,
-               CASE WHEN turn = 0 THEN 0 ELSE conv_id * 10 + turn END AS parent, userid,
+               CASE WHEN turn = 0 THEN 0 ELSE conv_id * 10 + turn END AS parent, coalesce(userid, -1 - conv_id) AS userid,
                {T0} + (conv_id * 18000) % (28 * 86400) + turn * 600 AS created,
                text || CASE WHEN c.role <> 'user' OR turn < 2 THEN '' WHEN conv_id % 3 = 0 THEN ' Thanks, that WORKED'
                             WHEN conv_id % 3 = 1 THEN ' still stuck' ELSE '' END AS message
-        FROM conversations c JOIN members m
+        FROM conversations c LEFT JOIN members m
           ON m.course = conv_id % 25 + 1 AND m.kind = c.role AND m.place = (conv_id // 25) % m.members + 1"""),
     # Steps shared by several queries.
     "holders": (("course", "context", "role_assignments", "role"), """
@@ -191,8 +196,12 @@ def with_steps(needed: Iterable[str], select: str, **extra: str) -> str:
 # -- student indicators ------------------------------------------------------------------------------------------
 
 
+def _window(time_range: str | None) -> tuple[int, int]:
+    return PERIOD_STARTS[time_range or "weekly"], AS_OF
+
+
 def _events_in_window(time_range: str | None) -> str:
-    start, end = reporting_window(time_range, AS_OF)
+    start, end = _window(time_range)
     return f"""
         SELECT l.id, l.userid AS student_id, l.courseid AS course_id, l.eventname, l.component, l.action, l.objectid,
                l.contextinstanceid, l.timecreated,
@@ -209,7 +218,7 @@ def student_totals(indicator_id: str, time_range: str | None = None, cap: int =
     """(needed steps, SQL giving student_id, course_id, total, further steps). Missing pairs are filled later."""
     gap = f"least(next_time - timecreated, {cap})"  # DuckDB's least skips nulls, so callers guard
     timed = {"gaps": _events_in_window(time_range)}
-    start, end = reporting_window(time_range, AS_OF)
+    start, end = _window(time_range)
     if indicator_id == "student_active_time":
         active = "(component LIKE 'mod_%' OR eventname = '\\core\\event\\course_viewed')"
         return ("log", "roster"), f"""
@@ -383,6 +392,23 @@ def state_counts(indicator_id: str, **p: float) -> str:
     return with_steps((*needed, "roster"), _PIE, states=states)
 
 
+# -- choices -----------------------------------------------------------------------------------------------------
+
+
+def in_courses(sql: str, course_ids: Iterable[int]) -> str:
+    """The same query over some courses: every query takes its courses from the role holders."""
+    found = _CTES["holders"][1]
+    assert found in sql
+    return sql.replace(found, f"{found} WHERE c.id IN ({', '.join(map(str, course_ids))})")
+
+
+def with_open_end(sql: str) -> str:
+    """The same query with open courses ending at the clock."""
+    found = "c.enddate AS course_end"
+    assert found in sql
+    return sql.replace(found, f"CASE WHEN c.enddate = 0 THEN {AS_OF} ELSE c.enddate END AS course_end")
+
+
 # -- dashboard ---------------------------------------------------------------------------------------------------
 
 _HAS_SOURCE = {
@@ -394,14 +420,18 @@ _HAS_SOURCE = {
 }
 
 
-def dashboard() -> str:
+def dashboard(group: str | None = None, configured: dict[str, float] | None = None) -> str:
+    """`configured` holds settings by the names the teacher queries use, and the session cap."""
+    configured = configured or {}
+    values = {"days": configured["timelyfeedbackdays"], **configured} if configured else {}
+    chosen = [d for d in INDICATORS.values() if group in (None, d.group)]
     needed: list[str] = ["roster"]
     steps: dict[str, str] = {}
     blocks = []
-    for i, definition in enumerate(INDICATORS.values(), start=1):
+    for i, definition in enumerate(chosen, start=1):
         tag = f"i{i}"
         if definition.id in _HAS_SOURCE:
-            names, states = teacher_states(definition.id)
+            names, states = teacher_states(definition.id, **values)
             needed += [*names, _HAS_SOURCE[definition.id]]
             steps[f"{tag}_states"] = states
             series = _PIE.replace("FROM states", f"FROM {tag}_states")
@@ -411,7 +441,7 @@ def dashboard() -> str:
             steps[f"{tag}_filled"] = _login_counts()
             series = f"SELECT {_bars(definition.id)} FROM {tag}_filled"
         else:
-            names, totals, extra = student_totals(definition.id)
+            names, totals, extra = student_totals(definition.id, cap=int(configured.get("sessioncap", 1800)))
             needed += names
             steps.update(extra)
             steps[f"{tag}_totals"] = totals
@@ -431,7 +461,7 @@ def dashboard() -> str:
 
 
 def steps() -> dict[str, str]:
-    start, end = reporting_window("weekly", AS_OF)
+    start, end = _window("weekly")
     return {
         "course_roster": with_steps(("roster",), "SELECT * FROM roster"),
         "teacher_roster": with_steps(("teachers",), "SELECT * FROM teachers"),
@@ -458,7 +488,7 @@ def steps() -> dict[str, str]:
             FROM gaps""", gaps=_events_in_window("weekly")),
         "login_course_access": with_steps(("login_access",), "SELECT * FROM login_access"),
         "assignment_durations": with_steps(
-            ("log", "roster"), "SELECT * FROM durations", **assignment_steps(*reporting_window("monthly", AS_OF))
+            ("log", "roster"), "SELECT * FROM durations", **assignment_steps(*_window("monthly"))
         ),
         "latest_submissions": with_steps(("latest_submissions",), "SELECT * FROM latest_submissions"),
         "graded_submissions": with_steps(

@@ -18,6 +18,15 @@ AS_OF = 1706659200  # 2024-01-31 00:00 UTC, the fixed clock
 COURSES = 25
 
 
+# The second of an event (independent of the session time zone), moved for three events in ten: into the last hour, into the last
+# day, or some months back.
+_LOG_TIME = f"""case event_id % 10
+    when 3 then {AS_OF} - event_id * 37 % 3600
+    when 6 then {AS_OF} - event_id * 7919 % 86400
+    else timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))
+         - if(event_id % 10 = 9, 86400 * (40 + event_id div 10 % 200), 0) end"""
+
+
 def _e(sql: str) -> Column:
     return F.expr(sql)
 
@@ -29,7 +38,8 @@ def sample_tables(spark: SparkSession, root: str) -> LearningTables:
     course = raw("nation").select(
         _e("cast(n_nationkey + 1 as bigint)").alias("id"),
         F.col("n_name").alias("shortname"),
-        _e(f"cast({T0} + (n_nationkey % 3) * 86400 as bigint)").alias("startdate"),
+        # a quarter of the courses began months before
+        _e(f"cast({T0} + (n_nationkey % 3) * 86400 - if(n_nationkey % 4 = 3, 250 * 86400, 0) as bigint)").alias("startdate"),
         _e(f"cast(if(n_nationkey % 5 = 0, 0, {T0} + (21 + n_nationkey % 14) * 86400) as bigint)").alias("enddate"),
     )
     role_assignments = _role_assignments(raw("events"))
@@ -115,7 +125,7 @@ def _log(events: DataFrame) -> DataFrame:
             _e("cast(k % 10 as bigint)").alias("objectid"),
             _e(f"({place}) * 10 + k % 4").alias("contextinstanceid"),
             # independent of the session time zone
-            _e("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))").alias("timecreated"),
+            _e(_LOG_TIME).alias("timecreated"),
         )
     )
 
@@ -142,15 +152,20 @@ def _submissions(orders: DataFrame) -> DataFrame:
 
 
 def _comments(orders: DataFrame, documents: DataFrame) -> DataFrame:
-    """Comments on most graded orders: a whole document (15 orders share one) and a closing phrase."""
-    written = orders.filter("o_orderkey % 7 <> 0 and o_orderkey % 5 <> 0").select(
+    """Comments on graded orders, each a whole document and a closing phrase.
+
+    Most graded orders share their document with the 14 orders next to it. Besides, every document is a comment of its own, on
+    the grade of order 7 * doc_id + 1, so that all documents are used at every size.
+    """
+    written = orders.filter("o_orderkey % 7 <> 0").select(
         "o_orderkey",
-        _e("o_orderkey div 15").alias("doc_id"),
         _e(f"((o_custkey div 10 + 7 * (o_orderkey % 3)) % {COURSES} + 1) * 10 + (o_orderkey div 3) % 4").alias("assignment"),
-    )
+        _e("inline(array(struct(0L as n, o_orderkey div 15 as doc_id, o_orderkey % 5 <> 0 as kept), "
+           "struct(1L as n, o_orderkey div 7 as doc_id, o_orderkey % 7 = 1 as kept)))"),
+    ).filter("kept")
     closing = "element_at(array(' Please REVIEW the rubric', ' keep it up', ' Focus on detail', ''), cast(o_orderkey % 4 as int) + 1)"
     return written.join(documents.select("doc_id", "text"), "doc_id").select(
-        _e("o_orderkey + 1").alias("id"),
+        _e("2 * (o_orderkey + 1) + n").alias("id"),
         "assignment",
         _e("o_orderkey + 1").alias("grade"),
         _e(f"concat(text, {closing})").alias("commenttext"),
@@ -158,7 +173,10 @@ def _comments(orders: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def _posts(conversations: DataFrame, role_assignments: DataFrame) -> DataFrame:
-    """Turns become posts of a course member: user turns of a student, assistant turns of a teacher."""
+    """Turns become posts of a course member: user turns of a student, assistant turns of a teacher.
+
+    A turn without such a member (system turns among them) is the post of a stranger with a negative id, in no roster.
+    """
     members = role_assignments.select(
         _e("contextid - 1000").alias("course"), _e("if(roleid = 5, 'user', 'assistant')").alias("role"), "userid"
     ).distinct()
@@ -171,14 +189,14 @@ def _posts(conversations: DataFrame, role_assignments: DataFrame) -> DataFrame:
     )
     return (
         conversations.withColumn("course", _e(f"conv_id % {COURSES} + 1"))
-        .join(sizes, ["course", "role"])
+        .join(sizes, ["course", "role"], "left")
         .withColumn("member_no", _e(f"(conv_id div {COURSES}) % members + 1"))
-        .join(numbered, ["course", "role", "member_no"])
+        .join(numbered, ["course", "role", "member_no"], "left")
         .select(
             _e("conv_id * 10 + turn + 1").alias("id"),
             _e("conv_id + 1").alias("discussion"),
             _e("if(turn = 0, 0L, conv_id * 10 + turn)").alias("parent"),
-            "userid",
+            _e("coalesce(userid, -1 - conv_id)").alias("userid"),
             _e(f"{T0} + (conv_id * 18000) % (28 * 86400) + turn * 600").alias("created"),
             _e(f"concat(text, {closing})").alias("message"),
         )
