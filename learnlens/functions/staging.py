@@ -1,33 +1,24 @@
-"""Intermediate tables that several later steps read, written once to shared storage.
+"""Intermediate results that several later steps read, written once to shared storage.
 
-A written table cuts the lineage: a lost executor costs a re-read, not a recomputation of everything before.
+A written result cuts the lineage: a lost executor costs a re-read, not a recomputation of everything before. The files are Spark
+checkpoints: they go when the result is no longer in use and `spark.cleaner.referenceTracking.cleanCheckpoints` is on.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in `spark.checkpoint.dir`. Only local mode may fall back to a temporary one."""
-    folder = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="learnlens-")
-    spark.conf.set(CHECKPOINT_DIR, folder)
-    return folder
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet under a fresh path of the shared folder and return a DataFrame that reads it."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """The folder named in `spark.checkpoint.dir`; where none is named, one below the warehouse, which is shared as well."""
+    return spark.conf.get(CHECKPOINT_DIR, None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write `df` and return a DataFrame that reads it."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()

@@ -159,6 +159,17 @@ def graded_submissions(
     )
 
 
+def with_comments(graded: DataFrame, comments: DataFrame) -> DataFrame:
+    """`graded` with the columns of `comments` (assignment_id, grade_id and more); rows without a comment keep nulls.
+
+    A left join could not broadcast its left side and would shuffle every comment ever written. So the comments first meet the
+    graded rows in an inner join, and only those found go on.
+    """
+    place = ["assignment_id", "grade_id"]
+    wanted = graded.filter(F.col("grade_id").isNotNull()).select(*place).distinct()
+    return graded.join(comments.join(wanted, place), place, "left")
+
+
 def feedback_records(
     t: LearningTables, course_ids: Sequence[int] | None = None, open_end_at: int | None = None
 ) -> DataFrame:
@@ -169,7 +180,7 @@ def feedback_records(
         F.col("grade").alias("grade_id"),
         F.col("commenttext").alias("feedback_text"),
     )
-    return graded_submissions(t, course_ids, open_end_at).join(comments, ["assignment_id", "grade_id"], "left")
+    return with_comments(graded_submissions(t, course_ids, open_end_at), comments)
 
 
 def on_time(submission_date, graded_date, days: int):

@@ -3,116 +3,145 @@
 The overlap of two texts is the number of words of the first, repeats included, that occur in the second. Comparing
 all pairs of an assignment is quadratic, and one assignment may hold a third of all records, so pairs are avoided:
 
-1. Equal texts are collapsed. A text that occurs twice overlaps fully with its copy and needs no search.
-2. For each other text a likely partner is picked from per-word aggregates and the overlap with it is counted. That
-   is a lower bound.
+1. Equal texts are collapsed by hash. A text that occurs twice overlaps fully with its copy and needs no search.
+2. For each other text the overlap with a few likely partners, picked from per-word aggregates, is counted. The largest is
+   a lower bound.
 3. The most frequent words of a text are set aside as long as they cannot beat the bound together. A better partner
    must share one of the remaining, rarer words, so only those are looked up. Pairs found this way are kept only while
    their best possible overlap still beats the bound, and then counted in full.
+4. A text whose remaining words would look up more than `LOOKUPS` rows is compared in tiles instead: blocks of such texts with
+   blocks of all texts of the assignment, as one matrix product per tile. No row per pair leaves a tile, only each
+   text's maximum.
 
-The result is exact: no partner is capped or sampled.
+So look-ups stay below LOOKUPS rows per text. Of n texts in one assignment that are built from the same frequent words, tiles take
+n / TILE copies of each text's words through the shuffle; that rest stays quadratic, a thousandth of the pairs. The
+result is exact: no partner is capped or sampled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from learnlens.functions.staging import stage
 from learnlens.functions.text import words
-from learnlens.operators.assessment import graded_submissions
+from learnlens.operators.assessment import graded_submissions, with_comments
 from learnlens.sources.tables import LearningTables
 
 TEXT = ["assignment_id", "text_id"]
+RECORD = ["course_id", "assignment_id", "student_id", "submission_id", "record_key"]
+PARTNERS = 3
+LOOKUPS = 2_000
+TILE = 1_000
+_COLUMNS = 4_096  # words of a tile that are multiplied at once
 
 
-def _records(t: LearningTables, course_ids: Sequence[int] | None, open_end_at: int | None) -> DataFrame:
-    """One row per (submission, grade, comment). A missing comment is the one-word text ''.
-
-    `record_key` is unique per text: a comment id, or the negative submission id where there is no comment.
-    """
-    comments = t.assignfeedback_comments.select(
+def _comments(t: LearningTables) -> DataFrame:
+    return t.assignfeedback_comments.select(
         F.col("id").alias("feedback_id"),
         F.col("assignment").alias("assignment_id"),
         F.col("grade").alias("grade_id"),
         F.coalesce("commenttext", F.lit("")).alias("text"),
     )
-    return (
-        graded_submissions(t, course_ids, open_end_at)
-        .join(comments, ["assignment_id", "grade_id"], "left")
-        .select(
-            "course_id", "assignment_id", "student_id", "submission_id",
-            F.coalesce(F.col("feedback_id"), -F.col("submission_id")).alias("record_key"),
-            F.coalesce("text", F.lit("")).alias("text"),
-            F.size(words(F.col("text"))).alias("n_words"),
-        )
+
+
+def _records(t: LearningTables, course_ids: Sequence[int] | None, open_end_at: int | None) -> DataFrame:
+    """One row per (submission, grade, comment), with two hashes and the word count of the text, but not the text.
+
+    A missing comment is the one-word text ''. `record_key` is unique per text: a comment id, or the negative submission
+    id where there is no comment.
+    """
+    empty = F.lit("")
+    marks = lambda text: (F.xxhash64(text), F.xxhash64(F.lit(1), text), F.size(words(text)))
+    named = ("hash_1", "hash_2", "n_words")
+    comments = _comments(t).select(
+        "feedback_id", "assignment_id", "grade_id", *[c.alias(n) for c, n in zip(marks(F.col("text")), named)]
+    )
+    return with_comments(graded_submissions(t, course_ids, open_end_at), comments).select(
+        *RECORD[:-1],
+        F.coalesce(F.col("feedback_id"), -F.col("submission_id")).alias("record_key"),
+        *[F.coalesce(F.col(n), c).alias(n) for c, n in zip(marks(empty), named)],
+    )
+
+
+def _texts(t: LearningTables, records: DataFrame) -> DataFrame:
+    """One row per different text of an assignment: copies, its smallest record key, and its words.
+
+    The text itself is read again, for one record of each, where the scan meets the narrow keys.
+    """
+    different = records.groupBy("assignment_id", "hash_1", "hash_2", "n_words").agg(
+        F.count(F.lit(1)).alias("copies"), F.min("record_key").alias("text_id")
     )
+    columns = [*TEXT, "copies", "n_words"]
+    missing = different.filter("text_id < 0").select(*columns, words(F.lit("")).alias("words"))
+    comments = _comments(t).select(F.col("feedback_id").alias("text_id"), words(F.col("text")).alias("words"))
+    return different.filter("text_id >= 0").select(*columns).join(comments, "text_id").select(*columns, "words").unionByName(missing)
 
 
 def feedback_uniqueness(
-    t: LearningTables,
-    course_ids: Sequence[int] | None = None,
-    open_end_at: int | None = None,
-    goal: float | None = None,
+    t: LearningTables, course_ids: Sequence[int] | None = None, open_end_at: int | None = None
 ) -> DataFrame:
-    """Every feedback record with its word count, largest overlap and uniqueness `1 - overlap / n_words`.
+    """Every feedback record with its word count, largest overlap and uniqueness `1 - overlap / n_words`."""
+    return _scored(t, course_ids, open_end_at, None).select(*RECORD, "n_words", "overlap", "uniqueness")
 
-    With `goal` (a percentage) the search stops as soon as a record is known to be below it or not: the comparison
-    with the goal is then exact, while the overlap itself may be a lower bound.
+
+def unique_feedback(
+    t: LearningTables, goal: float, course_ids: Sequence[int] | None = None, open_end_at: int | None = None
+) -> DataFrame:
+    """Every feedback record with `unique_enough`: its uniqueness is not below `goal`, a percentage.
+
+    The search stops as soon as a record is known to be below the goal or not.
     """
-    # Read twice, for the search and for the result; the second read needs no text.
-    records = stage(_records(t, course_ids, open_end_at), "records")
-    best = largest_overlaps(records.select("assignment_id", "record_key", "text", "n_words"), goal)
-    return records.join(
-        best.withColumnRenamed("text_id", "record_key"), ["assignment_id", "record_key"], "left"
-    ).select(
-        "course_id", "assignment_id", "student_id", "submission_id", "record_key",
-        F.col("n_words").cast("long").alias("n_words"),
-        # no row in `best`: the text has a copy
-        F.coalesce("overlap", F.col("n_words").cast("long")).alias("overlap"),
-        _uniqueness(F.coalesce("overlap", F.col("n_words").cast("long")), F.col("n_words")).alias("uniqueness"),
-    )
+    scored = _scored(t, course_ids, open_end_at, goal)
+    # The formula keeps its order of operations so that ties agree.
+    return scored.select(*RECORD, (~(F.col("uniqueness") < F.lit(float(goal) / 100))).alias("unique_enough"))
 
 
-def _uniqueness(overlap, n_words):
-    return F.lit(1.0) - overlap.cast("double") / n_words.cast("double")
+def _scored(t: LearningTables, course_ids: Sequence[int] | None, open_end_at: int | None, goal: float | None) -> DataFrame:
+    """Records with their overlap; with a goal only its side of the goal is certain."""
+    records = stage(_records(t, course_ids, open_end_at))
+    best = largest_overlaps(_texts(t, records), goal).withColumnRenamed("text_id", "record_key")
+    n_words = F.col("n_words").cast("long")
+    overlap = F.coalesce("overlap", n_words)  # no row in `best`: the text has a copy
+    return records.join(best, ["assignment_id", "record_key"], "left").select(
+        *RECORD, n_words.alias("n_words"), overlap.alias("overlap"), _uniqueness(overlap, F.col("n_words")).alias("uniqueness")
+    )
 
 
-def is_unique_enough(goal: float):
-    """Not below the goal; the formula keeps its order of operations so that ties agree."""
-    return ~(F.col("uniqueness") < F.lit(float(goal) / 100))
+def _uniqueness(overlap: Column, n_words: Column) -> Column:
+    return F.lit(1.0) - overlap.cast("double") / n_words.cast("double")
 
 
-def largest_overlaps(records: DataFrame, goal: float | None = None) -> DataFrame:
+def largest_overlaps(texts: DataFrame, goal: float | None = None) -> DataFrame:
     """assignment_id, text_id, overlap for every text that occurs once in its assignment.
 
-    Two tables are written on the way, because several steps read them: the words of the texts and the lower bounds.
+    `texts` has assignment_id, text_id, copies, n_words, words. Two results are staged on the way, because several steps read
+    them: the words of the texts and the lower bounds.
     """
-    own = stage(_words_of_texts(records), "words")
+    own = stage(_words_of_texts(texts))
     shared = own.filter((F.col("copies") == 1) & (F.col("df") > 1)).select(*TEXT, "n_words", "word", "tf", "df")
     holders = own.filter(F.col("df") > 1).select("assignment_id", F.col("text_id").alias("other_id"), "word")
 
-    bounds = stage(_lower_bounds(own, shared, holders), "bounds")
-    found = _better_partners(shared, holders, bounds, goal)
+    bounds = stage(_lower_bounds(own, shared, holders))
+    found = _better_partners(own, shared, holders, bounds, goal)
     return bounds.join(found, TEXT, "left").select(
         *TEXT, F.greatest("bound", F.coalesce("found", F.lit(0).cast("long"))).alias("overlap")
     )
 
 
-def _words_of_texts(records: DataFrame) -> DataFrame:
+def _words_of_texts(texts: DataFrame) -> DataFrame:
     """Words that a text shares with another one: tf in the text, df in the assignment, and a likely partner text.
 
     A word of one text only cannot overlap with anything and is left out, except a text's first word, which keeps
     every text in the table.
     """
-    texts = records.groupBy("assignment_id", "text", "n_words").agg(
-        F.count(F.lit(1)).alias("copies"), F.min("record_key").alias("text_id")
-    )
     tokens = (
-        texts.select(*TEXT, "copies", "n_words", F.posexplode(words(F.col("text"))).alias("pos", "word"))
+        texts.select(*TEXT, "copies", "n_words", F.posexplode("words").alias("pos", "word"))
         .groupBy(*TEXT, "copies", "n_words", "word")
         .agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("first_pos"))
         # always true; it keeps both columns in both uses of the tokens, so that they share one shuffle
@@ -130,25 +159,28 @@ def _words_of_texts(records: DataFrame) -> DataFrame:
 
 
 def _lower_bounds(own: DataFrame, shared: DataFrame, holders: DataFrame) -> DataFrame:
-    """bound: the overlap with the partner named by most words; 0 for a text that shares no word."""
-    named = F.when(F.col("partner").isNotNull(), F.col("weight"))
+    """bound: the largest overlap with the partners named by most words; 0 for a text that shares no word."""
+    weight = F.sum(F.when(F.col("partner").isNotNull(), F.col("tf")).otherwise(0)).alias("weight")
+    first = W.partitionBy(*TEXT).orderBy(F.desc("weight"), F.col("partner").isNull(), "partner")
     guess = (
         own.filter(F.col("copies") == 1)
-        .groupBy(*TEXT, "partner")
-        .agg(F.sum("tf").alias("weight"))
-        .groupBy(*TEXT)
-        .agg(F.max_by("partner", named).alias("other_id"))
+        .groupBy(*TEXT, F.col("partner").alias("partner"))
+        .agg(weight)
+        .withColumn("place", F.row_number().over(first))
+        .filter((F.col("place") <= PARTNERS) & (F.col("partner").isNotNull() | (F.col("place") == 1)))
+        .select(*TEXT, F.col("partner").alias("other_id"))
     )
     counted = (
         shared.join(guess.filter(F.col("other_id").isNotNull()), TEXT)
         .join(holders, ["assignment_id", "other_id", "word"])
-        .select(*TEXT, "tf")
+        .select(*TEXT, "other_id", "tf")
     )
-    unshared = guess.filter(F.col("other_id").isNull()).select(*TEXT, F.lit(0).cast("long").alias("tf"))
-    return counted.unionByName(unshared).groupBy(*TEXT).agg(F.sum("tf").alias("bound"))
+    unshared = guess.filter(F.col("other_id").isNull()).select(*TEXT, "other_id", F.lit(0).cast("long").alias("tf"))
+    by_partner = counted.unionByName(unshared).groupBy(*TEXT, "other_id").agg(F.sum("tf").alias("overlap"))
+    return by_partner.groupBy(*TEXT).agg(F.max("overlap").alias("bound"))
 
 
-def _better_partners(shared: DataFrame, holders: DataFrame, bounds: DataFrame, goal: float | None) -> DataFrame:
+def _better_partners(own: DataFrame, shared: DataFrame, holders: DataFrame, bounds: DataFrame, goal: float | None) -> DataFrame:
     """found: the largest overlap above the bound, for the texts that have one."""
     ranked = shared.join(bounds, TEXT)
     beaten = F.col("bound")
@@ -163,7 +195,10 @@ def _better_partners(shared: DataFrame, holders: DataFrame, bounds: DataFrame, g
     ranked = ranked.withColumn("beaten", beaten).withColumn("covered", F.sum("tf").over(frequent_first))
     aside = F.col("covered") <= F.col("beaten")
     slack = F.sum(F.when(aside, F.col("tf")).otherwise(0)).over(W.partitionBy(*TEXT))
-    ranked = ranked.withColumns({"aside": aside, "slack": slack})
+    lookups = F.sum(F.when(aside, 0).otherwise(F.col("df"))).over(W.partitionBy(*TEXT))
+    ranked = ranked.withColumns({"aside": aside, "slack": slack, "many": lookups > LOOKUPS})
+    tiled = _tiled(own, ranked.filter("many"), holders)
+    ranked = ranked.filter(~F.col("many"))
     candidates = (
         ranked.filter(~F.col("aside"))
         .select(*TEXT, "word", "tf", "slack", "beaten")
@@ -176,7 +211,7 @@ def _better_partners(shared: DataFrame, holders: DataFrame, bounds: DataFrame, g
     )
     # Only the words set aside are left to count; a text may have none of them.
     frequent = ranked.filter("aside").select(*TEXT, "word", "tf")
-    return (
+    looked_up = (
         candidates.join(frequent, TEXT, "left")
         .join(holders.withColumn("held", F.lit(True)), ["assignment_id", "other_id", "word"], "left")
         .groupBy(*TEXT, "other_id", "rare_overlap")
@@ -184,3 +219,39 @@ def _better_partners(shared: DataFrame, holders: DataFrame, bounds: DataFrame, g
         .groupBy(*TEXT)
         .agg(F.max(F.col("rare_overlap") + F.col("frequent_overlap")).alias("found"))
     )
+    return looked_up.unionByName(tiled)
+
+
+def _tiled(own: DataFrame, dense: DataFrame, holders: DataFrame) -> DataFrame:
+    """found: the largest overlap of each text in `dense` (its shared words) with any other text of its assignment."""
+    places = dense.select("assignment_id").distinct()
+    sizes = own.join(places, "assignment_id", "left_semi").groupBy(*TEXT).agg(F.lit(1).alias("one")).groupBy("assignment_id").agg(F.ceil(F.count("one") / TILE).alias("chunks"))
+    chunk = lambda column: F.pmod(F.xxhash64(column), F.col("chunks"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
+    code = F.xxhash64("word").alias("code")
+    left = dense.join(sizes, "assignment_id").select(*TEXT, code, "tf", chunk("text_id").alias("a"), every.alias("b"))
+    right = holders.join(sizes, "assignment_id").select(F.col("assignment_id").alias("place_id"), "other_id", code, chunk("other_id").alias("b"), every.alias("a"))
+    best = left.groupBy("assignment_id", "a", "b").cogroup(right.groupBy("place_id", "a", "b")).applyInPandas(_compare, "assignment_id long, text_id long, found long")
+    return best.groupBy(*TEXT).agg(F.max("found").alias("found"))
+
+
+def _compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """The largest overlap of each left text with a right one but itself, by products of word counts and word marks."""
+    if not len(left) or not len(right):
+        return pd.DataFrame({"assignment_id": [], "text_id": [], "found": []})
+    text, a = np.unique(left["text_id"], return_inverse=True)
+    other, b = np.unique(right["other_id"], return_inverse=True)
+    codes = np.unique(left["code"])
+    held = np.isin(right["code"], codes)
+    word_a, word_b = np.searchsorted(codes, left["code"]), np.searchsorted(codes, right["code"][held])
+    b, tf = b[held], left["tf"].to_numpy()
+    overlap = np.zeros((len(text), len(other)), dtype=np.float32)  # exact below 2 ** 24 words
+    for start in range(0, len(codes), _COLUMNS):
+        width = min(_COLUMNS, len(codes) - start)
+        in_a, in_b = (word_a >= start) & (word_a < start + width), (word_b >= start) & (word_b < start + width)
+        counts, marks = np.zeros((len(text), width), dtype=np.float32), np.zeros((len(other), width), dtype=np.float32)
+        counts[a[in_a], word_a[in_a] - start] = tf[in_a]
+        marks[b[in_b], word_b[in_b] - start] = 1
+        overlap += counts @ marks.T
+    overlap[text[:, None] == other[None, :]] = 0
+    return pd.DataFrame({"assignment_id": left["assignment_id"].iloc[0], "text_id": text, "found": overlap.max(axis=1).astype(np.int64)})

@@ -34,8 +34,7 @@ def personalized_feedback(
     open_end_at: int | None = None,
 ) -> DataFrame:
     """Is all feedback to the student unique enough within its assignment?"""
-    scored = uniqueness.feedback_uniqueness(t, course_ids, open_end_at, goal=feedbackgoal)
-    judged = scored.withColumn("unique_enough", uniqueness.is_unique_enough(feedbackgoal))
+    judged = uniqueness.unique_feedback(t, feedbackgoal, course_ids, open_end_at)
     return fill_states(course_roster(t, course_ids), fold_all_good(judged, "unique_enough"))
 
 

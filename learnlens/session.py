@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
+# Only a new session can take these. Checkpoint files of results that are no longer in use are deleted.
+STATIC_SETTINGS = {"spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -25,6 +27,6 @@ def build_session(master: str | None = None, app_name: str = "learnlens", **sett
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **settings}.items():
+    for key, value in {**SETTINGS, **STATIC_SETTINGS, **settings}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

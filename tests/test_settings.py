@@ -2,6 +2,10 @@
 
 from datetime import datetime, timezone
 
+import gc
+import time
+from pathlib import Path
+
 import pytest
 
 from learnlens.functions.periods import TimeRange, reporting_window
@@ -139,7 +143,22 @@ def test_tables_are_checked(spark):
         conform(spark.createDataFrame([(1, "x")], "id long, course string"), "assign")
 
 
-def test_staged_tables_go_to_the_named_folder(spark):
-    staged = stage(spark.range(5), "numbers")
-    assert spark.conf.get("spark.checkpoint.dir") in staged.inputFiles()[0]
-    assert staged.count() == 5
+def staged_files(spark):
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    return [p for p in folder.rglob("part-*") if p.is_file()]
+
+
+def test_staged_results_go_to_the_named_folder_and_leave_nothing(spark):
+    """Files go once their result is out of use, as a session of this library deletes them."""
+    gc.collect()
+    before = set(staged_files(spark))
+    staged = stage(spark.range(5))
+    assert staged.count() == 5 and set(staged_files(spark)) - before
+    del staged
+    for _ in range(40):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        if not set(staged_files(spark)) - before:
+            return
+        time.sleep(0.25)
+    raise AssertionError("staged files were left")
