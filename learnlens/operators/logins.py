@@ -24,7 +24,8 @@ def login_course_access(t: LearningTables, as_of: int, course_ids: Sequence[int]
     A view belongs to the latest login at or before it, by (time, id), so this is an as-of join. One user may own
     a third of the log, so it runs in two steps. First the events of one (user, day) are reduced to distinct seconds
     and ordered. Views with no earlier login that day are reduced to one row per (user, day, course) and meet
-    one row per (user, day) with that day's last login. No window sees more than a day of seconds, or one user's days.
+    one row per (user, day) with that day's last login. No window sees more than a day of (second, course)
+    pairs, or one user's days.
     """
     events = t.logstore_standard_log.filter(F.col("eventname").isin(LOGGED_IN, COURSE_VIEWED))
     if course_ids is not None:
@@ -60,13 +61,12 @@ def login_course_access(t: LearningTables, as_of: int, course_ids: Sequence[int]
         .groupBy("student_id", "day", "course_id", F.col("seen_login").alias("login_id"), F.col("seen_time").alias("login_time"))
         .agg(F.lit(1).alias("is_view"))
     )
-    # A second scan that reads logins only; one row per second first, then the last second of each day.
+    # The same reduced events give the last login of each day. No filter here: it would reach below the aggregate, and the
+    # two uses would no longer share one scan and shuffle.
     day_logins = (
-        t.logstore_standard_log.filter(F.col("eventname") == LOGGED_IN)
-        .groupBy(F.col("userid").alias("student_id"), F.col("timecreated").alias("login_time"))
-        .agg(F.max("id").alias("login_id"))
-        .groupBy("student_id", F.expr(f"login_time div {DAY}").alias("day"))
-        .agg(F.max_by("login_id", "login_time").alias("login_id"), F.max("login_time").alias("login_time"))
+        seconds.groupBy("student_id", "day")
+        .agg(F.max_by("login_id", login_time).alias("login_id"), F.max(login_time).alias("login_time"))
+        .filter(F.col("login_time").isNotNull())
         .select(
             "student_id", "day", F.lit(None).cast("long").alias("course_id"), "login_id", "login_time",
             F.lit(2).alias("is_view"),

@@ -15,22 +15,21 @@ from learnlens.sources.tables import LearningTables
 _SLOTS = f"greatest(1, (greatest(0, course_end - course_start) + {WEEK - 1}) div {WEEK})"
 
 
-def _active_weeks(t: LearningTables, as_of: int, course_ids: Sequence[int] | None) -> DataFrame:
-    """Non-empty slots only: teacher_id, course_id, week, interactions.
+def _active_weeks(t: LearningTables, as_of: int, teachers: DataFrame, course_ids: Sequence[int] | None) -> DataFrame:
+    """Non-empty slots of teachers only: teacher_id, course_id, week, interactions.
 
-    Every user's events are counted, by slot and before any join on users: partial counts shrink a hot teacher on the
-    map side. The teachers are picked from the counts.
+    The scan keeps the time that the courses span. Teachers are few, so the log meets them before anything is counted:
+    students' events go no further, and partial counts shrink a hot teacher on the map side.
     """
-    log = in_courses(t.logstore_standard_log, "courseid", course_ids).select("userid", "courseid", "timecreated")
     windows = course_windows(t, course_ids, open_end_at=as_of)
+    log = in_courses(t.logstore_standard_log, "courseid", course_ids).filter(
+        (F.col("timecreated") >= windows.agg(F.min("course_start")).scalar())
+        & (F.col("timecreated") < windows.agg(F.max("course_end")).scalar())
+    ).select("userid", "courseid", "timecreated")
     return (
-        log.join(windows, log["courseid"] == windows["course_id"])
+        log.join(teachers, (log["userid"] == teachers["teacher_id"]) & (log["courseid"] == teachers["course_id"]))
         .filter((F.col("timecreated") >= F.col("course_start")) & (F.col("timecreated") < F.col("course_end")))
-        .groupBy(
-            F.col("userid").alias("teacher_id"),
-            "course_id",
-            F.expr(f"(timecreated - course_start) div {WEEK}").alias("week"),
-        )
+        .groupBy("teacher_id", "course_id", F.expr(f"(timecreated - course_start) div {WEEK}").alias("week"))
         .agg(F.count(F.lit(1)).alias("interactions"))
     )
 
@@ -41,7 +40,7 @@ def weekly_interactions(t: LearningTables, as_of: int, course_ids: Sequence[int]
     slots = teachers.select(
         "teacher_id", "course_id", F.explode(F.expr(f"sequence(0L, {_SLOTS} - 1)")).alias("week")
     )
-    counts = _active_weeks(t, as_of, course_ids)
+    counts = _active_weeks(t, as_of, teachers, course_ids)
     return slots.join(counts, ["teacher_id", "course_id", "week"], "left").select(
         "teacher_id", "course_id", "week", F.coalesce("interactions", F.lit(0).cast("long")).alias("interactions")
     )
@@ -56,7 +55,7 @@ def teacher_consistency(
     """
     teachers = teacher_roster(t, as_of, course_ids)
     full = (
-        _active_weeks(t, as_of, course_ids)
+        _active_weeks(t, as_of, teachers, course_ids)
         .filter(F.col("interactions") >= F.lit(float(threshold)))
         .groupBy("teacher_id", "course_id")
         .agg(F.count(F.lit(1)).alias("full_weeks"))

@@ -14,11 +14,11 @@ from learnlens.functions.text import IMPROVEMENT_KEYWORDS, RESOLUTION_KEYWORDS,
 from learnlens.operators import activity, assessment, forum, logins, roster, uniqueness, weekly
 from learnlens.plans import student, teacher
 from learnlens.plans.dashboard import dashboard, refresh
-from learnlens.plans.registry import INDICATORS
+from learnlens.plans.registry import STUDENT, TEACHER
 from learnlens.plans.series import bar_series, state_counts, teacher_states
 from learnlens.plans.student import STUDENT_INDICATORS, StudentParams
 from learnlens.session import tune
-from learnlens.sources.sample import AS_OF, COURSES, sample_tables
+from learnlens.sources.sample import AS_OF, sample_tables
 from learnlens.sources.tables import LearningTables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,7 @@ Build = Callable[[SparkSession, LearningTables], DataFrame]
 WINDOWED = ("student_active_time", "time_spent_forums", "time_spent_assignments", "time_spent_lo")
 CAPPED = ("student_active_time", "time_spent_forums", "time_spent_lo")
 LONG_CAP = 43200
+SOME_COURSES = (1, 3, 8, 12)
 
 
 def _on_sample(build: Build) -> Query:
@@ -105,15 +106,22 @@ def _registered() -> dict[str, tuple[Build, str]]:
         entries[f"{name}_series"] = (
             lambda s, t, name=name: bar_series(t, name, StudentParams(AS_OF)), oracle.bar_series(name)
         )
+        entries[f"{name}_courses"] = (
+            _student(name, course_ids=SOME_COURSES), oracle.in_courses(oracle.student_indicator(name), SOME_COURSES)
+        )
     for name in WINDOWED:
         for period in (p.value for p in TimeRange):
             entries[f"{name}_{period}"] = (
                 _student(name, time_range=period), oracle.student_indicator(name, time_range=period)
             )
             entries[f"{name}_refresh_{period}"] = (
-                lambda s, t, name=name, period=period: refresh(s, t, name, range(1, COURSES + 1), period, AS_OF),
-                oracle.bar_series(name, time_range=period),
+                lambda s, t, name=name, period=period: refresh(s, t, name, SOME_COURSES, period, AS_OF),
+                oracle.in_courses(oracle.bar_series(name, time_range=period), SOME_COURSES),
             )
+        # An open course that ends at the clock, over a month: open courses have no window otherwise.
+        entries[f"{name}_open_end"] = (
+            _student(name, time_range="monthly", open_end_at=AS_OF), oracle.with_open_end(oracle.student_indicator(name, time_range="monthly"))
+        )
     for name in CAPPED:
         entries[f"{name}_long_cap"] = (
             _student(name, time_range="monthly", sessioncap=LONG_CAP),
@@ -129,6 +137,9 @@ def _registered() -> dict[str, tuple[Build, str]]:
     for name, (setting, values) in variants.items():
         key = name.replace("-", "_")
         entries[key] = (_teacher(name), oracle.teacher_indicator(name))
+        entries[f"{key}_courses"] = (
+            _teacher(name, course_ids=SOME_COURSES), oracle.in_courses(oracle.teacher_indicator(name), SOME_COURSES)
+        )
         entries[f"{key}_counts"] = (
             lambda s, t, name=name: state_counts(s, teacher_states(t, name, AS_OF)), oracle.state_counts(name)
         )
@@ -140,6 +151,13 @@ def _registered() -> dict[str, tuple[Build, str]]:
     for name, build in _steps().items():
         entries[name] = (build, step_sql[name])
     entries["dashboard"] = (lambda s, t: dashboard(s, t, AS_OF), oracle.dashboard())
+    settings = {"gradethreshold": 50.0, "feedbackgoal": 40.0, "timelyfeedbackdays": 3, "interactionthreshold": 1.0, "sessioncap": 600}
+    entries["dashboard_students"] = (
+        lambda s, t: dashboard(s, t, AS_OF, SOME_COURSES, group=STUDENT), oracle.in_courses(oracle.dashboard(group=STUDENT), SOME_COURSES)
+    )
+    entries["dashboard_configured_teachers"] = (
+        lambda s, t: dashboard(s, t, AS_OF, configured=settings, group=TEACHER), oracle.dashboard(group=TEACHER, configured=settings)
+    )
     return entries
 
 

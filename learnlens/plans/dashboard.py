@@ -62,7 +62,7 @@ def dashboard(
         for i, d in enumerate(chosen, start=1)
     ]
     if course_ids is not None and not list(course_ids):
-        blocks = []
+        return literal_rows(spark, [], BLOCK_COLUMNS + ", has_data boolean, position long, label string, value long")
     series = _union(
         chart_series(spark, t, d.id, as_of, course_ids, **d.defaults(configured)).select(
             F.lit(d.id).alias("indicator_id"), "position", "label", "value"

@@ -4,14 +4,13 @@ import re
 
 import pytest
 
-import __spark_entry__ as entrypoint
 from learnlens.operators import activity
-from learnlens.plans import student, teacher
+from learnlens.plans import catalog, student, teacher
 from learnlens.sources.sample import AS_OF, sample_tables
 from learnlens.sources.tables import SCHEMAS, LearningTables
 
 ROOT = "/root/testdata/sf0.001"
-QUERIES = entrypoint.queries()
+QUERIES = catalog.queries()
 
 
 def plan(df) -> str:
@@ -65,8 +64,16 @@ def test_no_single_task_over_events(stored):
     seconds = activity.activity_seconds(stored, 0, AS_OF)
     totals = activity.capped_totals(seconds, activity.ACTIVE, student.gap_or_null, 1800)
     assert "SinglePartition" not in plan(totals)
-    for states in (teacher.timely_feedback(stored), teacher.monitoring_forums(stored), teacher.consistent_use_lms(stored, AS_OF)):
+    for states in (teacher.timely_feedback(stored), teacher.monitoring_forums(stored)):
         assert "SinglePartition" not in plan(states)
+    # The first and last second of all courses are two small aggregates of the course table.
+    weeks = plan(teacher.consistent_use_lms(stored, AS_OF))
+    assert all("partial_min(course_start" in part.splitlines()[1] for part in weeks.split("Exchange SinglePartition")[1:])
+
+
+def test_only_teachers_events_are_counted(stored):
+    text = plan(teacher.consistent_use_lms(stored, AS_OF))
+    assert "Join" in text[text.index("partial_count(1)"):]
 
 
 def test_events_are_aggregated_before_they_are_shuffled(stored):
