@@ -1,88 +1,88 @@
 """Consecutive row numbers without a global window.
 
-A plain `row_number()` over an unpartitioned window pulls every row into one task. Here each row falls in a
-(coarse, fine) block whose order agrees with the row order. Only block sizes are summed up to get the offset of a
-block; rows are numbered inside their own block. Blocks of a unique integer key hold at most `BLOCK` rows, so a
-course or a student that owns a third of all rows is spread over many blocks.
+A plain `row_number()` over an unpartitioned window pulls every row into one task. Here rows fall in nested blocks whose order
+agrees with the row order: each level refines the one above into at most 65,536 blocks, by cutting 16 more bits of a
+64-bit key. Only block sizes are summed up, level by level, to get the offset of a block; rows are numbered inside their
+innermost block. So no window holds more than 65,536 rows, whether ids are dense or spread over all 64 bits, and a course or a
+student that owns a third of all rows is spread over many blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-BLOCK = 65536
 
+def block_of(column: str, bits: int = 16) -> Column:
+    """The block of 2 ** bits neighbouring keys; rounds down, so negative keys keep their order."""
+    return F.shiftright(F.col(column).cast("long"), bits)
 
-def block_of(column: str) -> Column:
-    return F.expr(f"{column} div {BLOCK}")
+
+def blocks_of(column: str) -> tuple[Column, ...]:
+    """Nested blocks of a 64-bit key, the innermost with at most 65,536 keys."""
+    return tuple(block_of(column, bits) for bits in (48, 32, 16))
 
 
 @dataclass(frozen=True)
 class RowOrder:
-    """Sort keys (together unique) with two integer block levels that follow the same order."""
+    """Sort keys (together unique within the `within` columns) and nested block levels that follow the same order.
+
+    Numbers start again for each value of `within`.
+    """
 
     keys: tuple[str, ...]
-    coarse: tuple[Column, ...]
-    fine: Column
+    levels: tuple[Column, ...]
+    within: tuple[Column, ...] = ()
 
 
 # Roster rows: unique per (student, course).
 def by_course_student() -> RowOrder:
-    return RowOrder(("course_id", "student_id"), (F.col("course_id"),), block_of("student_id"))
+    return RowOrder(("course_id", "student_id"), (*blocks_of("course_id"), F.col("course_id"), *blocks_of("student_id")))
 
 
 def by_student_course() -> RowOrder:
-    return RowOrder(("student_id", "course_id"), (block_of("student_id"),), F.col("student_id"))
+    """The innermost window holds the courses of one student."""
+    return RowOrder(("student_id", "course_id"), (*blocks_of("student_id"), F.col("student_id")))
 
 
 def by_student() -> RowOrder:
-    return RowOrder(("student_id",), (block_of("student_id"),), F.lit(0).cast("long"))
+    return RowOrder(("student_id",), blocks_of("student_id"))
 
 
 def number_rows(
-    rows: DataFrame,
-    order: RowOrder,
-    name: str,
-    *,
-    restart: bool = False,
-    total: str | None = None,
-    counted: str | None = None,
+    rows: DataFrame, order: RowOrder, name: str, *, total: str | None = None, counted: str | None = None
 ) -> DataFrame:
-    """Add `name`: 1, 2, ... in `order`, starting again in every coarse block if `restart`.
+    """Add `name`: 1, 2, ... in `order`.
 
-    `total` names an extra column with the row count of the coarse block. The rows are read twice, for the block sizes
+    `total` names an extra column with the row count of the `within` group. The rows are read twice, for the block sizes
     and for the numbers. So number a narrow frame and join values to it afterwards; or, if the rows come from a costly
     aggregate, name that aggregate in `counted` (it must never be null): both uses then share its shuffles.
     """
-    coarse = [f"__coarse_{i}" for i in range(len(order.coarse))]
+    within = [f"__within_{i}" for i in range(len(order.within))]
+    levels = [f"__level_{i}" for i in range(len(order.levels))]
     # Never null: otherwise each join below would add its own null filter to the shared plan of `rows`.
-    blocks = {**dict(zip(coarse, order.coarse)), "__fine": order.fine}
-    tagged = rows.withColumns({name: F.coalesce(block, F.lit(-1).cast("long")) for name, block in blocks.items()})
-    fine_sizes = tagged.groupBy(*coarse, "__fine").agg(F.count(counted or F.lit(1)).alias("__size"))
-    # One row per block: at most (largest id / BLOCK) rows in each of these windows.
-    before = W.partitionBy(*coarse).orderBy("__fine").rowsBetween(W.unboundedPreceding, -1)
-    offsets = fine_sizes.withColumn("__offset", F.coalesce(F.sum("__size").over(before), F.lit(0)))
-    coarse_sizes = fine_sizes.groupBy(*coarse).agg(F.sum("__size").alias("__total"))
-    if not restart:
-        # One row per coarse block (a course, or 65536 students), never one per input row.
-        earlier = W.orderBy(*coarse).rowsBetween(W.unboundedPreceding, -1)
-        starts = coarse_sizes.withColumn("__start", F.coalesce(F.sum("__total").over(earlier), F.lit(0)))
-        offsets = _join_blocks(offsets, starts, coarse).withColumn("__offset", F.col("__offset") + F.col("__start"))
-    elif total is not None:
-        offsets = _join_blocks(offsets, coarse_sizes, coarse)
-    inside = W.partitionBy(*coarse, "__fine").orderBy(*order.keys)
-    numbered = tagged.withColumn("__inside", F.row_number().over(inside))
-    result = _join_blocks(numbered, offsets, [*coarse, "__fine"])
-    added = {name: (F.col("__offset") + F.col("__inside")).cast("long")}
+    blocks = dict(zip([*within, *levels], [*order.within, *order.levels]))
+    tagged = rows.withColumns({key: F.coalesce(block, F.lit(-1).cast("long")) for key, block in blocks.items()})
+    sizes = tagged.groupBy(*within, *levels).agg(F.count(counted or F.lit(1)).alias("__size"))
+    offsets: list[tuple[list[str], DataFrame]] = []
+    for depth in reversed(range(len(levels))):
+        path = [*within, *levels[: depth + 1]]
+        before = W.partitionBy(*path[:-1]).orderBy(path[-1]).rowsBetween(W.unboundedPreceding, -1)
+        offset = F.coalesce(F.sum("__size").over(before), F.lit(0)).alias(f"__offset_{depth}")
+        offsets.append((path, sizes.select(*path, offset)))
+        sizes = sizes.groupBy(*path[:-1]).agg(F.sum("__size").alias("__size"))
+    if total is not None:
+        offsets.append((within, sizes.withColumnRenamed("__size", "__total")))
+    places = offsets[0][1]
+    for path, more in offsets[1:]:
+        places = places.join(more, path)
+    inside = W.partitionBy(*within, *levels).orderBy(*order.keys)
+    numbered = tagged.withColumn("__inside", F.row_number().over(inside)).join(places, [*within, *levels])
+    number = sum((F.col(f"__offset_{depth}") for depth in range(len(levels))), F.col("__inside"))
+    added = {name: number.cast("long")}
     if total is not None:
         added[total] = F.col("__total")
-    return result.withColumns(added).select(*rows.columns, *added)
-
-
-def _join_blocks(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return left.join(right, list(keys), "inner")
+    return numbered.withColumns(added).select(*rows.columns, *added)

@@ -141,8 +141,8 @@ def _submissions(orders: DataFrame) -> DataFrame:
         _e(f"cast({T0} + (datediff(o_orderdate, date'1995-01-01') % 30) * 86400 + o_orderkey % 86400 as bigint)").alias("timecreated"),
         _e("if(o_orderstatus = 'P', 'draft', 'submitted')").alias("status"),
     )
-    order = RowOrder(("orderkey",), (F.col("userid"), F.col("assignment")), block_of("orderkey"))
-    numbered = number_rows(placed, order, "attempt", restart=True, total="attempts")
+    order = RowOrder(("orderkey",), (block_of("orderkey"),), within=(F.col("userid"), F.col("assignment")))
+    numbered = number_rows(placed, order, "attempt", total="attempts")
     return numbered.select(
         "*",
         _e("timecreated + 3600 * (orderkey % 5)").alias("timemodified"),
@@ -180,8 +180,10 @@ def _posts(conversations: DataFrame, role_assignments: DataFrame) -> DataFrame:
     members = role_assignments.select(
         _e("contextid - 1000").alias("course"), _e("if(roleid = 5, 'user', 'assistant')").alias("role"), "userid"
     ).distinct()
-    order = RowOrder(("userid",), (F.col("course"), F.when(F.col("role") == "user", 1).otherwise(0)), block_of("userid"))
-    numbered = number_rows(members, order, "member_no", restart=True)
+    order = RowOrder(
+        ("userid",), (block_of("userid"),), within=(F.col("course"), F.when(F.col("role") == "user", 1).otherwise(0))
+    )
+    numbered = number_rows(members, order, "member_no")
     sizes = members.groupBy("course", "role").agg(F.count(F.lit(1)).alias("members"))
     closing = (
         "case when role = 'user' and turn >= 2 and conv_id % 3 = 0 then ' Thanks, that WORKED' "

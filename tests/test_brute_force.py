@@ -153,6 +153,25 @@ def test_row_numbers_cross_blocks(spark, order):
     assert sorted(r.n for r in number_rows(df, spec, "n").collect()) == list(range(1, len(pairs) + 1))
 
 
+@pytest.mark.parametrize("order", [by_course_student, by_student_course, by_student])
+def test_row_numbers_of_spread_ids(spark, order):
+    """Ids over all 64 bits, negative ones too. No window is larger than 65,536 rows, however many blocks there are."""
+    rng = random.Random(10)
+    ids = [rng.randint(-(2**63), 2**63 - 1) for _ in range(120)] + [-1, 0, 1, -65536, 65536, -(2**63), 2**63 - 1]
+    pairs = {(s, rng.choice(ids[:5] + [0, -1])) for s in ids}
+    spec = order()
+    df = spark.createDataFrame(list(pairs), "student_id long, course_id long").repartition(3)
+    got = {r.n: tuple(r[k] for k in spec.keys) for r in number_rows(df, spec, "n").collect()}
+    assert [got[n] for n in range(1, len(pairs) + 1)] == sorted(tuple(dict(zip(("student_id", "course_id"), p))[k] for k in spec.keys) for p in pairs)
+    names = [f"l{i}" for i in range(len(spec.levels))]
+    blocks = df.select(*[level.alias(n) for level, n in zip(spec.levels, names)]).distinct().collect()
+    for depth in range(len(names)):
+        below = defaultdict(set)
+        for row in blocks:
+            below[row[:depth]].add(row[depth])
+        assert max(max(v) - min(v) for v in below.values()) < 65536
+
+
 def test_row_numbers_of_single_key(spark):
     df = spark.range(0, 500_000, 25_000).withColumnRenamed("id", "student_id").repartition(4)
     assert {(r.student_id, r.n) for r in number_rows(df, by_student(), "n").collect()} == {(i * 25_000, i + 1) for i in range(20)}
