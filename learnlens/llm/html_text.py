@@ -40,9 +40,11 @@ BAD_WORDS = frozenset(
     """
     ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs
     sidebar footer masthead cookie cookies consent gdpr notice notices newsletter subscribe subscription signup login share sharing social
-    related recommended recommendations comment comments disqus respond popup modal overlay toolbar pagination pager search form skip copyright alert widget
+    related recommended recommendations comment comments disqus respond popup modal overlay toolbar pagination pager search form skip copyright alert alerts widget
+    topnav sidenav subnav menubar topbar navlist adbox adslot adblock cookiebar commentlist replies responses discussion announcement notification notifications disclaimer warning toast
     """.split()
 )
+TEXT_WORDS = frozenset("article content post entry story".split())  # in names of the article's element where it is no article or main
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK_TAGS = frozenset(
     """
@@ -96,8 +98,9 @@ class _Block:
     heading: bool
 
 
-def _marks(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether an element is bad, and whether so even for an article inside it."""
+def _marks(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is bad, whether so even for an article inside it, and whether it is named like an article."""
+    named = False
     held = tag == "aside"
     bad = tag in BAD_TAGS or (tag == "header" and not in_article)
     if "=" in attrs or "hidden" in attrs:
@@ -105,15 +108,16 @@ def _marks(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
             name, value = name.lower(), a or b or c
             if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
                 words = set(_NAMES.findall(_CAMEL.sub(" ", value).lower()))
+                named |= bool(words & TEXT_WORDS) and tag in ("div", "section", "td")
                 bad |= bool(words & BAD_WORDS) or (not in_article and "header" in words)
-                held |= bool(words & {"comment", "comments", "related", "recommended", "recommendations", "sidebar"})
+                held |= bool(words & {"comment", "comments", "commentlist", "replies", "responses", "related", "recommended", "recommendations", "sidebar"})
             elif name in ("class", "id") and tag == "article" and {"comment", "comments"} & set(_NAMES.findall(value.lower())):
                 bad = held = True
             elif name == "role":
                 bad |= value.strip().lower() in BAD_ROLES and not (in_article and value.strip().lower() == "banner")
             elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
                 bad = True
-    return bad, held or (bad and tag in ("article", "main"))
+    return bad, held or (bad and tag in ("article", "main")), named and not bad
 
 
 def blocks(html: str) -> list[_Block]:
@@ -181,7 +185,7 @@ def blocks(html: str) -> list[_Block]:
                 if stack[k].tag in until or (stack[k].tag in BLOCK_TAGS and tag not in ("body", "li", "dd", "dt", "tr", "td", "th")):
                     break
         top = stack[-1] if stack else root
-        bad, held = _marks(tag, m["attrs"], top.article)
+        bad, held, named = _marks(tag, m["attrs"], top.article)
         opens = tag in ("article", "main") or re.search(r"role\s*=\s*[\"']?main\b", m["attrs"]) is not None
         if opens and not top.held:  # an element left open before the article does not swallow it
             stack.append(_Open(tag, bad, held, not bad, False, False))
@@ -191,7 +195,7 @@ def blocks(html: str) -> list[_Block]:
             heading = tag in HEADINGS or (top.heading and tag not in BLOCK_TAGS)
             # Inside an article, of its own header only the headings belong to the text.
             aside = tag == "header" and top.article
-            stack.append(_Open(tag, (top.bad and not (heading and top.tag in ("header", "hgroup") and top.article and not top.held)) or bad or aside, top.held or held, top.article, top.link or tag == "a", heading))
+            stack.append(_Open(tag, (top.bad and not (heading and top.tag in ("header", "hgroup") and top.article and not top.held)) or bad or aside, top.held or held, top.article or (named and not top.bad), top.link or tag == "a", heading))
     put(html[at:])
     end()
     return out

@@ -176,6 +176,13 @@ def test_page_without_article():
     assert html_text.main_text(page).split("\n") == ["Heading", "The story of the man who was in the house and had no idea that it was on fire for a long time.", "Yes."]
 
 
+def test_page_with_a_named_container():
+    page = """<div id=wrap><div class="topnav"><a href=1>Home</a></div><div class="post-content"><h1>Head</h1><p>thanon | ndwhan | thingesth | haanntinged | eratst | eaersh | ention | theaen | ertio</p><p>x</p></div>
+    <div class="side-bar sidebar"><p>The other things that are in the bar at the side of the page and that you can read</p></div>
+    <ol class="commentlist"><li><div class="content"><p>I think that it is the worst of all of the things that I have read in my life so far</p></div></ol><div class=footer-content>All</div></div>"""
+    assert html_text.main_text(page).split("\n") == ["Head", "thanon | ndwhan | thingesth | haanntinged | eratst | eaersh | ention | theaen | ertio", "x"]
+
+
 @pytest.mark.parametrize("page,text", [(None, ""), ("", ""), ("<p>Hi</p>", "Hi"), ("a < b &amp; c", "a < b & c"), ("<!-- x", ""), ("<p title='it>x", "x"), ("<article><p>A<p><b>B<br><p>C</article>", "A\nB\nC"), ("<" * 50, "<" * 50)])
 def test_small_pages(page, text):
     assert html_text.main_text(page) == text
