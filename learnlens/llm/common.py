@@ -24,6 +24,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bounded_batches(df: DataFrame, rows: int = 2_000) -> DataFrame:
+    """`df`, after asking its session for smaller batches of rows to Python, as whole texts are long."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the documents kept apart from every training set: crc32 of the id as text leaves 1 when divided by 3."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))

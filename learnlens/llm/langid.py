@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from learnlens.llm.common import held_out, slices, texts
+from learnlens.llm.common import bounded_batches, held_out, slices, texts
 
 PROFILE = 400
 NONE = "und"
@@ -155,7 +155,7 @@ def predict_documents(docs: DataFrame, length: int = PROFILE, sample: int = SAMP
                 found = [profiles.predict(t) for t in texts(part)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([f[0] for f in found], type=pa.string()), pa.array([f[1] for f in found], type=pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
@@ -168,4 +168,4 @@ def identified_documents(docs: DataFrame, least: float = 0.0, length: int = PROF
         found = [profiles.predict(t) if isinstance(t, str) else (NONE, 0.0) for t in text]
         return text.__class__([name != NONE and score >= least for name, score in found], dtype=bool, index=text.index)
 
-    return docs.where(known(F.col("text").cast("string")))
+    return bounded_batches(docs).where(known(F.col("text").cast("string")))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from learnlens.llm.byte_bpe import default_path, load
-from learnlens.llm.common import cut, record, slices, texts
+from learnlens.llm.common import bounded_batches, cut, record, slices, texts
 
 CAPACITY = 2048
 END = 0
@@ -56,7 +56,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
                 yield record(out, PIECE)
 
     # Rows are spread by their place, not by their id, so that repeats of one id do not meet in one group.
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
     return rows.mapInArrow(run, PIECE_DDL)
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from learnlens.llm.common import record, slices, texts
+from learnlens.llm.common import bounded_batches, record, slices, texts
 
 DEFAULT_MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -294,7 +294,7 @@ def load(path: str) -> Pieces:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def encode(docs: DataFrame, model: str | None = None, kind: int | None = None) -> DataFrame:

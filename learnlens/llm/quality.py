@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from learnlens.llm.common import cut, held_out, slices, texts
+from learnlens.llm.common import bounded_batches, cut, held_out, slices, texts
 
 #: Labelled rows that a model is fitted on, at most: the first in the order of a hash of their id.
 SAMPLE = 20_000
@@ -76,7 +76,7 @@ def features(docs: DataFrame) -> DataFrame:
                 rows = [measures(t) for t in texts(part)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows, type=pa.list_(pa.float64()))], names=["doc_id", "x"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, x array<double>")
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, x array<double>")
 
 
 @dataclass(frozen=True)
@@ -200,7 +200,7 @@ def with_scores(docs: DataFrame, model: Model) -> DataFrame:
         found = [measures(t) if isinstance(t, str) else measures("") for t in text]
         return text.__class__(model.scores(np.array(found, dtype=float).reshape(len(found), len(FEATURES))), dtype="float64", index=text.index)
 
-    return docs.withColumn("quality_score", score(F.col("text").cast("string")))
+    return bounded_batches(docs).withColumn("quality_score", score(F.col("text").cast("string")))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -25,12 +25,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from learnlens.llm.common import cut, slices, texts
+from learnlens.llm.common import bounded_batches, cut, slices, texts
 from learnlens.llm.components import connected_components
 
 SEED = 42
 BITS = 64
 PIECE = 8
+MOST_SENT = 1_000_000  # ids of 8 bytes
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -66,7 +67,8 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
                 found = np.array([fingerprint(t, words) for t in texts(part)], dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found)], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, fp long")
 
 
 def bit_counts(distinct: DataFrame) -> tuple[int, np.ndarray]:
@@ -234,16 +236,19 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, parts: i
     return marked.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame:
+def representatives(docs: DataFrame, words: int = 3, distance: int = 3, most_sent: int = MOST_SENT) -> DataFrame:
     """The rows of `docs`, all their columns, whose doc_id is the smallest of their component.
 
-    Repeated rows of such an id stay once. Rows without an id cannot be told apart and stay.
+    Repeated rows of such an id stay once. Rows without an id cannot be told apart and stay. Up to `most_sent` ids that go are sent to
+    every task, so that no text is shuffled; more of them meet the documents in a shuffle join.
     """
-    found = near_duplicates(docs, words, distance)
-    first = cut(found.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_times")))
-    own = F.col("doc_id").cast("long") == F.col("_kept")
-    kept = docs.join(first.where("_times = 1"), own, "left_semi").union(docs.where(F.col("doc_id").isNull()))
-    again = first.where("_times > 1")
+    found = near_duplicates(docs, words, distance).where(F.col("doc_id").isNotNull())
+    marked = cut(found.groupBy(F.col("doc_id").alias("_id")).agg(F.max("component_id").alias("_least"), F.count("*").alias("_times")))
+    gone, again = marked.where("_id <> _least").select("_id"), marked.where("_id = _least and _times > 1").select("_id")
+    sent = lambda ids: F.broadcast(ids) if ids.count() <= most_sent else ids
+    own = F.col("doc_id").cast("long") == F.col("_id")
+    kept = docs.join(sent(gone), own, "left_anti")
     if again.isEmpty():
         return kept
-    return kept.union(docs.join(again, own, "left_semi").dropDuplicates(["doc_id"]))
+    again = sent(again)
+    return kept.join(again, own, "left_anti").union(kept.join(again, own, "left_semi").dropDuplicates(["doc_id"]))

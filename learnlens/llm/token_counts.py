@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from learnlens.llm.byte_bpe import default_path, load
-from learnlens.llm.common import record, slices, texts
+from learnlens.llm.common import bounded_batches, record, slices, texts
 
 #: Sections of a text in order, without overlap, as (begin, end) in code points.
 Cutter = Callable[[str], list[tuple[int, int]]]
@@ -87,5 +87,5 @@ def count_by_section(docs: DataFrame, cutter: Cutter = lines, tokenizer: str | N
                             out[name].append(value)
                 yield record(out, OUT)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, OUT_DDL)
