@@ -17,6 +17,9 @@ def spark(tmp_path_factory):
             # Tiny inputs: compiling generated code would take most of the time.
             "spark.sql.codegen.wholeStage": "false",
             "spark.sql.codegen.factoryMode": "NO_CODEGEN",
+            # over a hundred plans in one session
+            "spark.driver.memory": "4g",
+            "spark.sql.ui.retainedExecutions": "10",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
