@@ -1,9 +1,10 @@
 """Main text of web pages by two-pass block rules.
 
 A page is cut into blocks at block-level tags. The first pass decides each block it can: blocks inside menus, headers, footers, sidebars, notices,
-adverts, forms and reader comments are bad, and so are blocks made of links; long blocks are good if they hold enough
-stop words or stand inside the page's article element, else bad. Short blocks stay open. In the second pass an open block takes
-the label of its nearest decided neighbour; headings look at what follows them first.
+adverts, forms and reader comments are bad, and so are blocks made of links (inside the page's article only those in lists). Others are good if
+they stand inside the page's article element, hold enough stop words, or are long and hold some; those of middle length with hardly any are
+bad. The rest stays open, as do all short blocks. In the second pass an open block takes the label of its nearest decided neighbour; headings
+look at what follows them first. On a page without a good block the open ones are all the text there is, and stay.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from learnlens.llm.common import slices, texts
 
-SHORT = 70
-STOP_SHARE = 0.2
+SHORT, LONG = 70, 200
+STOP_SHARE, SOME_STOPS = 0.2, 0.05
 LINK_SHARE = 0.5
 
 # Frequent function words of English, French, German and Spanish.
@@ -96,6 +97,7 @@ class _Block:
     bad: bool
     article: bool
     heading: bool
+    item: bool
 
 
 def _marks(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool, bool]:
@@ -134,7 +136,8 @@ def blocks(html: str) -> list[_Block]:
         text = " ".join("".join(parts).split())
         if text:
             top = stack[-1] if stack else root
-            out.append(_Block(text, len(" ".join("".join(linked).split())), top.bad, top.article, top.heading))
+            links = len(" ".join("".join(linked).split()))
+            out.append(_Block(text, links, top.bad, top.article, top.heading, links > 0 and any(x.tag == "li" for x in stack[-8:])))
         parts.clear()
         linked.clear()
         breaks = 0
@@ -206,21 +209,32 @@ def _stop_share(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
+def _first_label(block: _Block, marked: bool) -> int | None:
+    """1 good, 0 bad, None open."""
+    n = len(block.text)
+    if block.bad or (marked and not block.article):
+        return 0
+    if block.links > LINK_SHARE * n:
+        return None if marked and not block.item else 0
+    if n < SHORT:
+        return None
+    if marked:
+        return 1
+    stops = _stop_share(block.text)
+    if stops >= STOP_SHARE or (n >= LONG and stops >= SOME_STOPS):
+        return 1
+    return 0 if n < LONG and stops < SOME_STOPS else None
+
+
 def main_text(html: str | None) -> str:
     """The article of a page, one block a line. No html: an empty text."""
     if not html:
         return ""
     found = blocks(html)
     marked = any(b.article and not b.bad for b in found)
-    # First pass: 1 good, 0 bad, None open.
-    label: list[int | None] = []
-    for b in found:
-        if b.bad or (marked and not b.article) or b.links > LINK_SHARE * len(b.text):
-            label.append(0)
-        elif len(b.text) < SHORT:
-            label.append(None)
-        else:
-            label.append(1 if marked or _stop_share(b.text) >= STOP_SHARE else 0)
+    label = [_first_label(b, marked) for b in found]
+    if 1 not in label:  # nothing tells the text from the rest
+        return "\n".join(b.text for b, x in zip(found, label) if x is None)
     # Second pass. Of a marked article only its own blocks are neighbours.
     own = [k for k, b in enumerate(found) if not marked or (b.article and not b.bad)]
     before: dict[int, int] = {}

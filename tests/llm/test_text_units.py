@@ -183,6 +183,24 @@ def test_page_with_a_named_container():
     assert html_text.main_text(page).split("\n") == ["Head", "thanon | ndwhan | thingesth | haanntinged | eratst | eaersh | ention | theaen | ertio", "x"]
 
 
+def test_page_of_short_blocks_next_to_comments():
+    page = """<div id="main"><h1>T</h1><p>The dog was in the house and it was not for us.</p><p>Short one.</p><div class="comments"><h3>Comments</h3>
+    <p>I think that the dog was in the house and that it is a good thing for us to be in it.</p></div></div>"""
+    assert html_text.main_text(page) == "T\nThe dog was in the house and it was not for us.\nShort one."
+
+
+def test_links_of_an_article_stay_unless_they_are_a_list():
+    page = "<main><p>The text.</p><p><a href=x>The whole report</a></p><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul></main>"
+    assert html_text.main_text(page) == "The text.\nThe whole report"
+
+
+def test_stop_words_of_long_and_middle_blocks():
+    long, some, none = ("zzz qqq xxx yyy vvv of " * 12).strip(), "A block of some middle length: " + "qqq " * 14 + "zzz", ("zzz qqq " * 10).strip()
+    assert len(long) >= html_text.LONG > len(some) and len(none) >= html_text.SHORT
+    # Good; open, so it follows its neighbour; bad.
+    assert html_text.main_text(f"<div>{long}</div><p>{some}</p><div>{none}</div>") == f"{long}\n{some}"
+
+
 @pytest.mark.parametrize("page,text", [(None, ""), ("", ""), ("<p>Hi</p>", "Hi"), ("a < b &amp; c", "a < b & c"), ("<!-- x", ""), ("<p title='it>x", "x"), ("<article><p>A<p><b>B<br><p>C</article>", "A\nB\nC"), ("<" * 50, "<" * 50)])
 def test_small_pages(page, text):
     assert html_text.main_text(page) == text
