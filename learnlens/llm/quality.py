@@ -192,17 +192,6 @@ def learn(measured: DataFrame, chosen: DataFrame) -> Model:
     return fit(x, np.array([r.y for r in rows], dtype=float))
 
 
-def with_scores(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` with a column `quality_score`, from the whole text of each row."""
-
-    @F.pandas_udf("double")
-    def score(text):
-        found = [measures(t) if isinstance(t, str) else measures("") for t in text]
-        return text.__class__(model.scores(np.array(found, dtype=float).reshape(len(found), len(FEATURES))), dtype="float64", index=text.index)
-
-    return bounded_batches(docs).withColumn("quality_score", score(F.col("text").cast("string")))
-
-
 def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of `docs` (doc_id, text; all else is ignored).
 
@@ -229,6 +218,10 @@ def good_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     chosen = cut(training_labels(labels, sample))
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id", "left_semi")
     model = learn(features(some), chosen)
-    kept = with_scores(docs.withColumnRenamed("quality_score", "_quality_score") if "quality_score" in docs.columns else docs, model)
-    kept = kept.where(F.col("quality_score") >= 0.5).drop("quality_score")
-    return kept.withColumnRenamed("_quality_score", "quality_score")
+
+    @F.pandas_udf("boolean")
+    def good(text):
+        found = [measures(t) if isinstance(t, str) else measures("") for t in text]
+        return text.__class__(model.scores(np.array(found, dtype=float).reshape(len(found), len(FEATURES))) >= 0.5, dtype=bool, index=text.index)
+
+    return bounded_batches(docs).where(good(F.col("text").cast("string")))

@@ -243,12 +243,15 @@ def representatives(docs: DataFrame, words: int = 3, distance: int = 3, most_sen
     every task, so that no text is shuffled; more of them meet the documents in a shuffle join.
     """
     found = near_duplicates(docs, words, distance).where(F.col("doc_id").isNotNull())
-    marked = cut(found.groupBy(F.col("doc_id").alias("_id")).agg(F.max("component_id").alias("_least"), F.count("*").alias("_times")))
-    gone, again = marked.where("_id <> _least").select("_id"), marked.where("_id = _least and _times > 1").select("_id")
-    sent = lambda ids: F.broadcast(ids) if ids.count() <= most_sent else ids
-    own = F.col("doc_id").cast("long") == F.col("_id")
-    kept = docs.join(sent(gone), own, "left_anti")
+    marked = cut(found.groupBy("doc_id").agg(F.max("component_id").alias("least"), F.count("*").alias("times")))
+    # The ids' column gets a name that no column of the documents has.
+    own = "id" + "_" * max(map(len, docs.columns))
+    ids = marked.withColumnRenamed("doc_id", own)
+    gone, again = ids.where(f"{own} <> least").select(own), ids.where(f"{own} = least and times > 1").select(own)
+    sent = lambda some: F.broadcast(some) if some.count() <= most_sent else some
+    same = F.col("doc_id").cast("long") == F.col(own)
+    kept = docs.join(sent(gone), same, "left_anti")
     if again.isEmpty():
         return kept
     again = sent(again)
-    return kept.join(again, own, "left_anti").union(kept.join(again, own, "left_semi").dropDuplicates(["doc_id"]))
+    return kept.join(again, same, "left_anti").union(kept.join(again, same, "left_semi").dropDuplicates(["doc_id"]))

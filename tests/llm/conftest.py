@@ -14,7 +14,7 @@ def spark(spark):
     return spark
 
 
-DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long, fp string, row string, l string, x string, quality_score string"
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long, fp string, row string, l string, x string, quality_score string, _id string, least string, times string"
 
 
 @pytest.fixture
@@ -22,7 +22,7 @@ def documents(spark):
     """Documents from (doc_id, text[, lang]) rows, with extra columns whose names the operators use inside."""
 
     def build(rows):
-        full = [(*(r + ("en",))[:3], "src", len(r[1] or ""), "f", "r", "l", "x", "q") for r in rows]
+        full = [(*(r + ("en",))[:3], "src", len(r[1] or ""), "f", "r", "l", "x", "q", "i", "e", "t") for r in rows]
         return spark.createDataFrame(full, DOCUMENTS)
 
     return build
