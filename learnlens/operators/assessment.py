@@ -18,39 +18,45 @@ ASSIGNMENT_SUBMITTED = r"\mod_assign\event\assessable_submitted"
 ATTEMPT = ("assignment_id", "student_id", "attempt_number")
 
 
-def first_views(
-    t: LearningTables, start: int, end: int, course_ids: Sequence[int] | None = None, open_end_at: int | None = None
+def _module_marks(
+    t: LearningTables, start: int, end: int, course_ids: Sequence[int] | None, open_end_at: int | None
 ) -> DataFrame:
-    """First view of every assignment module inside both windows, per (student_id, course_id, module_id)."""
-    log = log_between(t, course_ids, start, end).filter(F.col("eventname") == ASSIGNMENT_VIEWED)
+    """Per (student_id, course_id, module_id) inside both windows: a row with the first view, and one per second with a submit event.
+
+    `first_view_time` is null in the rows of submits; `submit_time` is -1 in that of the view, never null, so that no filter inferred from
+    a join reaches the scan and all uses of this frame share one scan and one shuffle. Distinct seconds bound a hot module.
+    """
+    time, viewed = F.col("timecreated"), F.col("eventname") == ASSIGNMENT_VIEWED
+    log = log_between(t, course_ids, start, end).filter(F.col("eventname").isin(ASSIGNMENT_VIEWED, ASSIGNMENT_SUBMITTED))
     return (
         clip_to_course(log, course_windows(t, course_ids, open_end_at))
-        .groupBy(F.col("userid").alias("student_id"), "course_id", F.col("contextinstanceid").alias("module_id"))
-        .agg(F.min("timecreated").alias("first_view_time"))
+        .groupBy(
+            F.col("userid").alias("student_id"), "course_id", F.col("contextinstanceid").alias("module_id"),
+            F.coalesce(F.when(~viewed, time), F.lit(-1).cast("long")).alias("submit_time"),
+        )
+        .agg(F.min(F.when(viewed, time)).alias("first_view_time"))
     )
 
 
+def first_views(
+    t: LearningTables, start: int, end: int, course_ids: Sequence[int] | None = None, open_end_at: int | None = None
+) -> DataFrame:
+    """First view of every assignment module inside both windows, per (student_id, course_id, module_id)."""
+    marks = _module_marks(t, start, end, course_ids, open_end_at)
+    return marks.filter(F.col("first_view_time").isNotNull()).drop("submit_time")
+
+
 def first_submissions(
     t: LearningTables, start: int, end: int, course_ids: Sequence[int] | None = None, open_end_at: int | None = None
 ) -> DataFrame:
     """First views that were followed by a submit event, with the first one: adds `first_submit_time`.
 
-    A submit at or after the view is also at or after `start` and the course start, so the log scan keeps both
-    bounds. Submits are reduced to distinct seconds before the join, which bounds a hot module.
+    A submit at or after the view is also at or after `start` and the course start, so the log scan keeps both bounds.
     """
-    views = first_views(t, start, end, course_ids, open_end_at)
-    log = log_between(t, course_ids, start, end).filter(F.col("eventname") == ASSIGNMENT_SUBMITTED)
-    submits = (
-        clip_to_course(log, course_windows(t, course_ids, open_end_at))
-        .select(
-            F.col("userid").alias("student_id"), "course_id", F.col("contextinstanceid").alias("module_id"),
-            F.col("timecreated").alias("submit_time"),
-        )
-        .distinct()
-    )
     module = ["student_id", "course_id", "module_id"]
+    submits = _module_marks(t, start, end, course_ids, open_end_at).filter(F.col("first_view_time").isNull()).drop("first_view_time")
     return (
-        submits.join(views, module)
+        submits.join(first_views(t, start, end, course_ids, open_end_at), module)
         .filter(F.col("submit_time") >= F.col("first_view_time"))
         .groupBy(*module, "first_view_time")
         .agg(F.min("submit_time").alias("first_submit_time"))

@@ -21,6 +21,9 @@ BLOCK_COLUMNS = (
     "student_success boolean, control string"
 )
 
+#: Indicators whose counts come from one scan where both are asked for.
+VIEW_COUNTS = {"lo_access_frequency", "number_forums_viewed"}
+
 
 def _union(frames: Iterable[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
@@ -64,8 +67,11 @@ def dashboard(
     ]
     if course_ids is not None and not list(course_ids):
         return literal_rows(spark, [], BLOCK_COLUMNS + ", has_data boolean, position long, label string, value long")
+    both_views = VIEW_COUNTS <= {d.id for d in chosen}
     series = _union(
-        chart_series(spark, t, d.id, as_of, course_ids, **d.defaults(configured)).select(
+        chart_series(
+            spark, t, d.id, as_of, course_ids, **d.defaults(configured), **({"shared_views": both_views} if d.id in VIEW_COUNTS else {})
+        ).select(
             F.lit(d.id).alias("indicator_id"), "position", "label", "value"
         )
         for d in chosen

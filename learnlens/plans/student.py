@@ -21,7 +21,10 @@ SESSION_CAP = SETTINGS["sessioncap"].default
 
 @dataclass(frozen=True)
 class StudentParams:
-    """Arguments shared by the student indicators. `as_of` is the clock; nothing reads the system time."""
+    """Arguments shared by the student indicators. `as_of` is the clock; nothing reads the system time.
+
+    `shared_views` takes both view counts from one scan, for a job that holds both indicators.
+    """
 
     as_of: int
     course_ids: Sequence[int] | None = None
@@ -29,6 +32,7 @@ class StudentParams:
     sessioncap: int = SESSION_CAP
     tz: str = "UTC"
     open_end_at: int | None = None
+    shared_views: bool = False
 
     @property
     def window(self) -> tuple[int, int]:
@@ -68,6 +72,18 @@ def _assignment_time(t: LearningTables, p: StudentParams) -> DataFrame:
     return assessment.assignment_totals(t, *p.window, p.course_ids, p.open_end_at)
 
 
+def _accesses(t: LearningTables, p: StudentParams) -> DataFrame:
+    if p.shared_views:
+        return counts.view_totals(t, p.course_ids).withColumnRenamed("accesses", "total")
+    return counts.learning_object_accesses(t, p.course_ids)
+
+
+def _discussions(t: LearningTables, p: StudentParams) -> DataFrame:
+    if p.shared_views:
+        return counts.view_totals(t, p.course_ids).withColumnRenamed("discussions", "total")
+    return counts.discussions_viewed(t, p.course_ids)
+
+
 def _logins(t: LearningTables, p: StudentParams) -> DataFrame:
     # A login that reached several courses counts once.
     return (
@@ -90,7 +106,7 @@ STUDENT_INDICATORS: dict[str, StudentIndicator] = {
     ),
     "lo_access_frequency": StudentIndicator(
         "learning_object_access_frequency",
-        lambda t, p: counts.learning_object_accesses(t, p.course_ids),
+        _accesses,
         by_course_student,
         by_student_course,
     ),
@@ -105,7 +121,7 @@ STUDENT_INDICATORS: dict[str, StudentIndicator] = {
     ),
     "number_forums_viewed": StudentIndicator(
         "forums_viewed_count",
-        lambda t, p: counts.discussions_viewed(t, p.course_ids),
+        _discussions,
         by_course_student,
         by_course_student,
     ),

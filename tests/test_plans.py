@@ -6,6 +6,8 @@ import pytest
 
 from learnlens.operators import activity
 from learnlens.plans import catalog, student, teacher
+from learnlens.plans.dashboard import dashboard
+from learnlens.plans.registry import STUDENT
 from learnlens.sources.sample import AS_OF, sample_tables
 from learnlens.sources.tables import SCHEMAS, LearningTables
 
@@ -100,3 +102,14 @@ def test_numbering_an_aggregate_reads_the_log_once(stored):
     df.collect()
     final = plan(df).split("== Initial Plan ==")[0]
     assert len(log_scans(final)) == 1
+
+
+def test_dashboard_reads_the_log_once_per_kind_of_event(spark, stored):
+    """Logins, activity in the period, assignments, all-time views: one scan each."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else shared shuffles show only after the run
+    try:
+        text = plan(dashboard(spark, stored, AS_OF, group=STUDENT))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    # by the file's name, as the scan of views reads no time
+    assert len([line for line in text.splitlines() if "FileScan" in line and "logstore_standard_log" in line]) == 4
