@@ -237,12 +237,17 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, parts: i
 
 
 def representatives(docs: DataFrame, words: int = 3, distance: int = 3, most_sent: int = MOST_SENT) -> DataFrame:
-    """The rows of `docs`, all their columns, whose doc_id is the smallest of their component.
+    """The rows of `docs`, all their columns, whose doc_id is the smallest of their component; see `keep_least`."""
+    return keep_least(docs, near_duplicates(docs, words, distance), most_sent)
+
+
+def keep_least(docs: DataFrame, found: DataFrame, most_sent: int = MOST_SENT) -> DataFrame:
+    """The rows of `docs`, all their columns, whose doc_id is the smallest of their component in `found`, a result of near_duplicates.
 
     Repeated rows of such an id stay once. Rows without an id cannot be told apart and stay. Up to `most_sent` ids that go are sent to
     every task, so that no text is shuffled; more of them meet the documents in a shuffle join.
     """
-    found = near_duplicates(docs, words, distance).where(F.col("doc_id").isNotNull())
+    found = found.where(F.col("doc_id").isNotNull())
     marked = cut(found.groupBy("doc_id").agg(F.max("component_id").alias("least"), F.count("*").alias("times")))
     # The ids' column gets a name that no column of the documents has.
     own = "id" + "_" * max(map(len, docs.columns))
