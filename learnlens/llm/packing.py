@@ -4,7 +4,7 @@ Every document is encoded once; ids never leave the task, only the length and ch
 groups of bounded size by a hash. A group is packed best fit, largest first, and improved by local search: documents are
 moved, exchanged one for one or two for one between underfull bins whenever that raises the sum of squared fills, so that some
 bins fill up and others empty. What a group cannot fill goes to the next round, where such rests of many groups meet again in
-groups of the same bounded size, until one group is left or a round saves no bin.
+groups of the same bounded size, until one group is left or a round saves no bin. The last round, also where a bound on rounds ends them, keeps all its bins.
 """
 
 from __future__ import annotations
@@ -196,10 +196,10 @@ def pack_group(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarr
     return bin_of, offset, fill
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, group: int = GROUP, rest: float = 0.995) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, group: int = GROUP, rest: float = 0.995, rounds: int = 64) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every row of `docs` (doc_id, text).
 
-    Bins filled to less than `rest` of the capacity go to the next round. Null texts are empty, null ids stay null, repeated rows
+    Bins filled to less than `rest` of the capacity go to the next round; after the last of `rounds` (1 to 64) they stay as they are. Null texts are empty, null ids stay null, repeated rows
     are packed as often as they come, other columns are ignored, and an empty table gives an empty result.
     """
 
@@ -211,7 +211,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     left = cut(pieces(docs, capacity, tokenizer))
     closed: list[DataFrame] = []
     bins = None
-    for step in range(64):
+    for step in range(rounds):
         n = left.count()
         if not n and closed:
             break
@@ -220,7 +220,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
         packed = packed.withColumn("sequence_id", F.col("bin") * 64 + step)
         open_bins = F.col("fill") < int(rest * capacity)
         now = packed.where(open_bins & (F.col("offset") == 0)).count()
-        if groups == 1 or (bins is not None and now >= bins):
+        if groups == 1 or step == rounds - 1 or (bins is not None and now >= bins):
             closed.append(packed)
             break
         bins = now

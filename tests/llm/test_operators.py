@@ -158,6 +158,16 @@ def test_packing(documents):
     assert len(bins) <= math.ceil(sum(r.length for r in found) / 64) + 2
 
 
+def test_packing_keeps_the_bins_of_the_last_round(documents):
+    """Documents above half the capacity fill no bin; where the bound on rounds ends the search, they still come back."""
+    rows = [(k, "some words " * (18 + k % 9)) for k in range(200)]
+    whole = Counter((r.doc_id, r.piece, r.length, r.ids_crc32) for r in packing.pieces(documents(rows), 64).collect())
+    for rounds in (1, 2):
+        found = packing.pack(documents(rows), capacity=64, group=20, rounds=rounds).collect()
+        assert Counter((r.doc_id, r.piece, r.length, r.ids_crc32) for r in found) == whole
+        assert all(sum(r.length for r in found if r.sequence_id == x) <= 64 for x in {r.sequence_id for r in found})
+
+
 def test_token_counts(documents):
     encoder = packing.load(packing.default_path())
     rows = AWKWARD + [(20, "é\n\nzwei\nthree four")]
