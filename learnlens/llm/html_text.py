@@ -84,7 +84,7 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 class _Open:
     tag: str
     bad: bool
-    held: bool  # bad also for an article inside
+    held: int  # bad also for an article inside: 2, or 1 by one word of a compound name, which may be the page's layout
     article: bool
     link: bool
     heading: bool
@@ -100,10 +100,13 @@ class _Block:
     item: bool
 
 
-def _marks(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool, bool]:
+HELD_WORDS = frozenset("comment comments commentlist replies responses related recommended recommendations sidebar".split())
+
+
+def _marks(tag: str, attrs: str, in_article: bool) -> tuple[bool, int, bool]:
     """Whether an element is bad, whether so even for an article inside it, and whether it is named like an article."""
     named = False
-    held = tag == "aside"
+    held = 2 if tag == "aside" else 0
     bad = tag in BAD_TAGS or (tag == "header" and not in_article)
     if "=" in attrs or "hidden" in attrs:
         for name, a, b, c in _ATTR.findall(attrs):
@@ -112,24 +115,29 @@ def _marks(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool, bool]:
                 words = set(_NAMES.findall(_CAMEL.sub(" ", value).lower()))
                 named |= bool(words & TEXT_WORDS) and tag in ("div", "section", "td")
                 bad |= bool(words & BAD_WORDS) or (not in_article and "header" in words)
-                held |= bool(words & {"comment", "comments", "commentlist", "replies", "responses", "related", "recommended", "recommendations", "sidebar"})
+                if words & HELD_WORDS:
+                    alone = any(len(own) == 1 and own <= HELD_WORDS for own in (set(_NAMES.findall(_CAMEL.sub(" ", x).lower())) for x in value.split()))
+                    held = max(held, 2 if alone else 1)
             elif name in ("class", "id") and tag == "article" and {"comment", "comments"} & set(_NAMES.findall(value.lower())):
-                bad = held = True
+                bad, held = True, 2
             elif name == "role":
                 bad |= value.strip().lower() in BAD_ROLES and not (in_article and value.strip().lower() == "banner")
             elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
                 bad = True
-    return bad, held or (bad and tag in ("article", "main")), named and not bad
+    return bad, 2 if bad and tag in ("article", "main") else held, named and not bad
 
 
-def blocks(html: str) -> list[_Block]:
-    """The blocks of a page that hold text, in page order, with white space as single blanks."""
+def blocks(html: str, least_held: int = 1) -> list[_Block]:
+    """The blocks of a page that hold text, in page order, with white space as single blanks.
+
+    An article inside what is `held` by `least_held` or more stays bad; a main element only inside what is held by 2.
+    """
     out: list[_Block] = []
     stack: list[_Open] = []
     parts: list[str] = []
     linked: list[str] = []
     breaks = 0
-    root = _Open("", False, False, False, False, False)
+    root = _Open("", False, 0, False, False, False)
 
     def end() -> None:
         nonlocal breaks
@@ -189,8 +197,8 @@ def blocks(html: str) -> list[_Block]:
                     break
         top = stack[-1] if stack else root
         bad, held, named = _marks(tag, m["attrs"], top.article)
-        opens = tag in ("article", "main") or re.search(r"role\s*=\s*[\"']?main\b", m["attrs"]) is not None
-        if opens and not top.held:  # an element left open before the article does not swallow it
+        main = tag == "main" or re.search(r"role\s*=\s*[\"']?main\b", m["attrs"]) is not None
+        if main and top.held < 2 or tag == "article" and top.held < least_held:  # an element left open before the article does not swallow it
             stack.append(_Open(tag, bad, held, not bad, False, False))
         elif tag not in BLOCK_TAGS and len(stack) > 4096:
             continue
@@ -198,7 +206,7 @@ def blocks(html: str) -> list[_Block]:
             heading = tag in HEADINGS or (top.heading and tag not in BLOCK_TAGS)
             # Inside an article, of its own header only the headings belong to the text.
             aside = tag == "header" and top.article
-            stack.append(_Open(tag, (top.bad and not (heading and top.tag in ("header", "hgroup") and top.article and not top.held)) or bad or aside, top.held or held, top.article or (named and not top.bad), top.link or tag == "a", heading))
+            stack.append(_Open(tag, (top.bad and not (heading and top.tag in ("header", "hgroup") and top.article and not top.held)) or bad or aside, max(top.held, held), top.article or (named and not top.bad), top.link or tag == "a", heading))
     put(html[at:])
     end()
     return out
@@ -226,13 +234,20 @@ def _first_label(block: _Block, marked: bool) -> int | None:
     return 0 if n < LONG and stops < SOME_STOPS else None
 
 
+def _labelled(found: list[_Block]) -> tuple[list[_Block], bool, list[int | None]]:
+    marked = any(b.article and not b.bad for b in found)
+    return found, marked, [_first_label(b, marked) for b in found]
+
+
 def main_text(html: str | None) -> str:
     """The article of a page, one block a line. No html: an empty text."""
     if not html:
         return ""
-    found = blocks(html)
-    marked = any(b.article and not b.bad for b in found)
-    label = [_first_label(b, marked) for b in found]
+    found, marked, label = _labelled(blocks(html))
+    if 1 not in label:  # the page's article may stand in a layout with a name like "layout-with-sidebar"
+        again = _labelled(blocks(html, 2))
+        if again[1]:
+            found, marked, label = again
     if 1 not in label:  # nothing tells the text from the rest
         return "\n".join(b.text for b, x in zip(found, label) if x is None)
     # Second pass. Of a marked article only its own blocks are neighbours.

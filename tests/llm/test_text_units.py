@@ -170,6 +170,17 @@ def test_page_with_article():
     assert html_text.main_text(PAGE) == "Title & more\nOne boldtext <x> and the rest of it is here for you, a sentence which is long enough.\nShort.\na\nb"
 
 
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "layout-with-sidebar", "has-sidebar", "hasSidebar", "no-comments"])
+@pytest.mark.parametrize("tag", ["main", "article", "div role=main"])
+def test_page_in_a_layout_named_after_a_sidebar(name, tag):
+    text = "The story of the man who was in the house and had no idea that it was on fire for a long time."
+    end = tag.split()[0]
+    side = '<div class="sidebar"><article><p>The other things that are in the bar at the side of the page and that you can read</p></article></div>'
+    related = '<div class="related-posts"><article><p>The next story of the man who was in the house and that you can read</p></article></div>'
+    assert html_text.main_text(f'<body><div class="{name}"><{tag}><h1>Head</h1><p>{text}</p></{end}>{side}</div></body>') == f"Head\n{text}"
+    assert html_text.main_text(f"<body><{tag}><p>{text}</p></{end}>{related}</body>") == text
+
+
 def test_page_without_article():
     page = """<div><a href=1>Home</a> <a href=2>News</a></div><h2>Heading</h2><div>The story of the man who was in the house and had no idea that it was on fire for a long time.</div>
     <p>Yes.</p><div><a>One</a><br><a>Two</a></div><div>Foo</div><div>""" + "zzz qqq " * 30 + "</div><p>Bar</p>"
