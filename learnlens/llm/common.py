@@ -24,6 +24,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this package has written, through the file system that Spark itself uses for it."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def bounded_batches(df: DataFrame, rows: int = 2_000) -> DataFrame:
     """`df`, after asking its session for smaller batches of rows to Python, as whole texts are long."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -21,6 +21,7 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -219,44 +220,68 @@ def links(distinct: DataFrame, distance: int = 3, parts: int = 2) -> DataFrame:
     return met.where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, parts: int = 2) -> DataFrame:
-    """`doc_id, fingerprint, component_id` for every row of `docs` (columns doc_id, text; others are ignored).
-
-    component_id is the smallest doc_id reachable through links. Null and wordless texts have fingerprint zero and link
-    like any other. Repeated rows come back as often as they came; rows without doc_id come back with the component of their
-    fingerprint, or a null one if no document there has an id. An empty table gives an empty result.
-    """
+def _placed(docs: DataFrame, words: int, distance: int, parts: int) -> DataFrame:
+    """doc_id, fp, root, component_id of every row of `docs`; root is the component's smallest fingerprint."""
     marked = cut(fingerprints(docs, words))
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = connected_components(links(distinct, distance, parts), "a", "b")
     placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     component = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     # All rows of a hot fingerprint meet one row; the join can be split, as nothing above it needs them together.
-    by_fp = placed.join(component, "root").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return marked.join(placed.join(component, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "fp", "root", "component_id")
+
 
+def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, parts: int = 2) -> DataFrame:
+    """`doc_id, fingerprint, component_id` for every row of `docs` (columns doc_id, text; others are ignored).
+
+    component_id is the smallest doc_id reachable through links. Null and wordless texts have fingerprint zero and link
+    like any other. Repeated rows come back as often as they came; rows without doc_id come back with the component of their
+    fingerprint, or a null one if no document there has an id. An empty table gives an empty result.
+    """
+    return _placed(docs, words, distance, parts).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
-def representatives(docs: DataFrame, words: int = 3, distance: int = 3, most_sent: int = MOST_SENT) -> DataFrame:
-    """The rows of `docs`, all their columns, whose doc_id is the smallest of their component; see `keep_least`."""
-    return keep_least(docs, near_duplicates(docs, words, distance), most_sent)
 
+def representatives(docs: DataFrame, words: int = 3, distance: int = 3, parts: int = 2, most_sent: int = MOST_SENT) -> DataFrame:
+    """One row of `docs`, with all its columns, for each component: that of the smallest doc_id, ids before none.
 
-def keep_least(docs: DataFrame, found: DataFrame, most_sent: int = MOST_SENT) -> DataFrame:
-    """The rows of `docs`, all their columns, whose doc_id is the smallest of their component in `found`, a result of near_duplicates.
+    Rows are told apart by id and fingerprint. Where an id comes with several texts, each text stays or goes with its own component; of
+    several texts of the smallest id in one component the one with the smallest fingerprint stays, and of rows alike in both the smallest by
+    text and then by a hash of the other columns. An empty table gives an empty result.
 
-    Repeated rows of such an id stay once. Rows without an id cannot be told apart and stay. Up to `most_sent` ids that go are sent to
-    every task, so that no text is shuffled; more of them meet the documents in a shuffle join.
+    Ids that come once are decided by themselves: up to `most_sent` ids that go are sent to every task, so that no text is shuffled; more of them
+    meet the documents in a shuffle join. Only rows whose id is null or repeated are fingerprinted again.
     """
-    found = found.where(F.col("doc_id").isNotNull())
-    marked = cut(found.groupBy("doc_id").agg(F.max("component_id").alias("least"), F.count("*").alias("times")))
-    # The ids' column gets a name that no column of the documents has.
-    own = "id" + "_" * max(map(len, docs.columns))
-    ids = marked.withColumnRenamed("doc_id", own)
-    gone, again = ids.where(f"{own} <> least").select(own), ids.where(f"{own} = least and times > 1").select(own)
+    placed = cut(_placed(docs, words, distance, parts))
+    ids = cut(placed.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("times"), F.min("component_id").alias("least")))
+    own = "id" + "_" * max(map(len, docs.columns))  # a name that no column of the documents has
+    gone = ids.where("times = 1 and doc_id <> least").select(F.col("doc_id").alias(own))
+    again = ids.where("times > 1").select(F.col("doc_id").alias(own))
     sent = lambda some: F.broadcast(some) if some.count() <= most_sent else some
-    same = F.col("doc_id").cast("long") == F.col(own)
-    kept = docs.join(sent(gone), same, "left_anti")
-    if again.isEmpty():
-        return kept
-    again = sent(again)
-    return kept.join(again, same, "left_anti").union(kept.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
+    doc_id = F.col("doc_id").cast("long")
+    same = doc_id == F.col(own)
+    kept = docs.where(doc_id.isNotNull()).join(sent(gone), same, "left_anti")
+    odd = []
+    if not again.isEmpty():
+        again = sent(again)
+        kept = kept.join(again, same, "left_anti")
+        odd.append(docs.join(again, same, "left_semi"))
+    if not placed.where("doc_id is null").isEmpty():
+        odd.append(docs.where(doc_id.isNull()))
+    for rows in odd:
+        kept = kept.union(_winners(rows, placed, words, own))
+    return kept
+
+
+def _winners(rows: DataFrame, placed: DataFrame, words: int, own: str) -> DataFrame:
+    """Those of `rows` that stay for their component, once each."""
+
+    @F.pandas_udf("long")
+    def fp(column: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t or "", words) for t in column], dtype=np.uint64).view(np.int64))
+
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp"))
+    best = placed.groupBy("root").agg(first.alias("w")).select(F.col("w.doc_id").alias(own), F.col("w.fp").alias(own + "f"))
+    others = [c for c in rows.columns if c not in ("doc_id", "text")]
+    marked = rows.select(F.struct(*rows.columns).alias("row"), F.col("doc_id").cast("long").alias("i"), fp(F.col("text").cast("string")).alias("f"), F.struct(F.col("text"), F.xxhash64(F.lit(0), *others)).alias("order"))
+    met = marked.join(best, F.col("i").eqNullSafe(F.col(own)) & (F.col("f") == F.col(own + "f")), "left_semi")
+    return met.groupBy("i", "f").agg(F.min_by("row", "order").alias("row")).select("row.*")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from learnlens.llm import ann, html_text, langid, packing, pieces, quality, queries, shingle_join, simhash, subspace, token_counts, url_filter
+from learnlens.llm import ann, html_text, langid, packing, pieces, quality, queries, simhash, subspace, token_counts, url_filter
 from learnlens.llm.components import connected_components
 from tests.compare import connect, difference
 from tests.llm.conftest import AWKWARD
@@ -75,65 +75,32 @@ def test_simhash(documents, parts):
 def test_representatives(documents):
     rows = [(1, None), (2, ""), (6, "one two three four"), (6, "one two three four"), (7, "one two three four"), (None, "one two three four"), (9, "other words are in this")]
     found = [(r.doc_id, r.text) for r in simhash.representatives(documents(rows)).collect()]
-    assert sorted(found, key=str) == sorted([(1, None), (6, "one two three four"), (9, "other words are in this"), (None, "one two three four")], key=str)
-
-
-def similar_by_brute_force(rows):
-    sets = [shingle_join.shingle_set(t or "") for _, t in rows]
+    assert sorted(found, key=str) == sorted([(1, None), (6, "one two three four"), (9, "other words are in this")], key=str)
+
+
+@pytest.mark.parametrize("swap", [False, True])
+def test_representatives_of_ids_with_several_texts(documents, swap):
+    """Each text of an id stays or goes with its own component, in any order of rows and on a re-run."""
+    a, b, c, d = ("alpha beta gamma delta", "one two three four five", "red green blue black white", "north south east west")
+    rows = [(1, a), (6, a), (6, b), (7, b), (8, c), (8, d), (8, d), (None, a), (None, "no id here at all"), (None, "no id here at all")]
+    docs = documents(rows[::-1] if swap else rows)
+    expected = sorted([(1, a), (6, b), (8, c), (8, d), (None, "no id here at all")], key=str)
+    for _ in range(2):
+        kept = simhash.representatives(docs)
+        assert kept.columns == docs.columns
+        assert sorted([(r.doc_id, r.text) for r in kept.collect()], key=str) == expected
+    assert sorted([(r.doc_id, r.text) for r in simhash.representatives(docs, most_sent=0).collect()], key=str) == expected
+
+
+def test_representatives_keep_one_row_of_each_component(documents):
+    rows = near_copies(60) + [(1000 + k, f"other words of text {k} " * 30) for k in range(5)] + AWKWARD
+    of = {}
     order = range(len(rows))
-
-    def similar(s, t):
-        both = len(np.intersect1d(s, t))
-        return 5 * both >= 4 * (len(s) + len(t) - both)
-
-    reach = groups([(a, b) for a in order for b in order if a < b and similar(sets[a], sets[b])], order)
-    least = defaultdict(list)
-    for k, r in reach.items():
-        least[r] += [rows[k][0]] if rows[k][0] is not None else []
-    return Counter((i, min(least[reach[k]], default=None)) for k, (i, _) in enumerate(rows))
-
-
-def changed_copies(bases=12, copies=14):
-    """Copies with a few changed words, so that similarities lie on both sides of 0.8; a passage that all share."""
-    rng = np.random.default_rng(8)
-    passage = [f"p{k}" for k in range(30)]
-    out = []
-    for base in range(bases):
-        words = [f"w{k}" for k in rng.integers(0, 4000, 90 + 10 * base)] + passage
-        for _ in range(copies):
-            own = list(words)
-            for at in rng.integers(0, len(own), rng.integers(0, 6)):
-                own[at] = f"c{rng.integers(1 << 40)}"
-            out.append((int(rng.integers(1 << 40)), " ".join(own)))
-    return out
-
-
-def test_shingle_join(documents):
-    for rows in (changed_copies() + AWKWARD, AWKWARD, []):
-        found = Counter((r.doc_id, r.component_id) for r in shingle_join.near_duplicates(documents(rows)).collect())
-        assert found == similar_by_brute_force(rows)
-
-
-def test_shingle_join_in_any_order_of_shingles(spark):
-    """Whatever counts as frequent, and with ids too many to send, the same documents are joined."""
-    docs = spark.createDataFrame(changed_copies(4, 12), "doc_id long, text string")
-    whole = shingle_join.near_duplicates(docs).collect()
-    sets = shingle_join._sets(docs.dropDuplicates(["text"]), 5).dropDuplicates(["sig"]).select("sig", "n", "set")
-    for frequent_from in (2, 10**6):
-        roots = {r.node: r.root for r in connected_components(shingle_join.links(sets, 0, frequent_from)).collect()}
-        least = {}
-        for r in whole:
-            key = roots.get(r.fingerprint, r.fingerprint)
-            least.setdefault(key, set()).add(r.component_id)
-        assert all(len(x) == 1 for x in least.values()) and len(least) == len({r.component_id for r in whole})
-
-
-def test_pipeline_stage_finds_copies_with_changed_words(documents):
-    """Similar texts whose 3-word fingerprints differ in more than 3 bits."""
-    rows = changed_copies()
-    kept = {i for i, c in similar_by_brute_force(rows) if i == c}
-    assert kept != {i for i, _, c in near_by_brute_force(rows) if i == c}
-    assert {r.doc_id for r in dict(corpus_pipeline.STAGES)["simhash_near_dedup"](None, documents(rows), "").collect()} == kept
+    fps = [simhash.fingerprint(t or "") for _, t in rows]
+    for k, root in groups([(a, b) for a in order for b in order if a < b and bin(fps[a] ^ fps[b]).count("1") <= 3], order).items():
+        of.setdefault(root, []).append((rows[k][0] is None, rows[k][0], np.uint64(fps[k]).astype(np.int64), rows[k][1] or ""))
+    expected = Counter((i, t) for _, i, _, t in map(min, of.values()))
+    assert Counter((r.doc_id, r.text or "") for r in simhash.representatives(documents(rows)).collect()) == expected
 
 
 def test_packing(documents):
