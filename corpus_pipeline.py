@@ -10,8 +10,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from learnlens.llm import langid, packing, quality, shingle_join
-from learnlens.llm.common import shared_folder
+from learnlens.llm import langid, packing, quality, simhash
+from learnlens.llm.common import drop_folder, shared_folder
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +25,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near-duplicates: five-word shingles, a similarity of 0.8 or more."""
-    return shingle_join.representatives(docs).select(docs.columns)
+    """Keep one document of each group of near-duplicates: fingerprints of three-word shingles, linked at 3 or fewer differing bits."""
+    return simhash.representatives(docs, words=3, distance=3).select(docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,11 +46,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to the documents table; each stage's rows are written to the shared folder and read again by the next."""
+    """Apply the stages to the documents table; each stage's rows are written to the shared folder and read again by the next.
+
+    What a stage wrote is deleted once the next has written its own; the last result stays for the caller.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder, before = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
         path = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            drop_folder(spark, before)
+        before = path
     return docs
