@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from learnlens.llm import ann, html_text, langid, packing, pieces, quality, simhash, subspace, token_counts, url_filter
+from learnlens.llm import ann, centroids, decontamination, hard_negatives, html_text, langid, packing, pieces, quality, simhash, subspace, token_counts, url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -68,6 +68,23 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(_table(spark, folder, "pages"), [url_filter.parse_rule(rule, verdict) for verdict, rule in URL_RULES])
 
 
+def op11_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that lie in passages of the benchmark, and the items they come from."""
+    return decontamination.digests(decontamination.occurrences(_table(spark, folder, "documents"), _table(spark, folder, "benchmark")))
+
+
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every vector whose id is divisible by 50; labels of ids divisible by 7 are shifted first."""
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = _table(spark, folder, "embeddings").select("vec_id", shifted.alias("label"), "embedding")
+    return hard_negatives.mine(vectors, F.col("vec_id") % 50 == 0)
+
+
+def op13_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """The cluster of every vector after three rounds, with inertia and digests of the centroids."""
+    return centroids.cluster(_table(spark, folder, "embeddings"))
+
+
 VECTOR_SQL = """
 WITH RECURSIVE v AS (
   SELECT row_number() OVER () AS n, vec_id, embedding::DOUBLE[] AS e,
@@ -101,10 +118,83 @@ FROM parts LEFT JOIN (SELECT * FROM fitting WHERE place = 1) USING (n)
 """
 
 
+NEGATIVES_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS n, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scores AS (
+  SELECT a.n AS a, b.n AS b, a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+    list_sum([a.e[i] * b.e[i] FOR i IN range(1, len(a.e) + 1)])::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.n <> b.n AND len(a.e) = len(b.e)
+), positives AS (
+  SELECT * FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, other_id, b) <= 5
+), found AS (
+  SELECT p.anchor_id, p.other_id AS positive_id, s.other_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.other_id, s.b) AS rank
+  FROM positives p JOIN scores s ON s.a = p.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM found WHERE rank <= 3
+"""
+
+
+PASSAGE_SQL = r"""
+WITH folded AS (
+  SELECT row_number() OVER () AS n, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), items AS (
+  SELECT item_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS size, w[i:i + least(10, len(w)) - 1] AS win
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM items WHERE len(w) > 0)
+), places AS (
+  SELECT n, size, i, w[i:i + size - 1] AS win
+  FROM (SELECT n, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM folded, (SELECT DISTINCT size FROM windows))
+), met AS (SELECT n, i, size, item_id FROM places JOIN windows USING (size, win)),
+hit AS (SELECT n, count(DISTINCT j) AS n_hit FROM (SELECT n, unnest(range(i, i + size)) AS j FROM met) GROUP BY n),
+named AS (SELECT n, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM met GROUP BY n)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM folded LEFT JOIN hit USING (n) LEFT JOIN named USING (n)
+"""
+
+
+def _centroid_sql(rounds: int = 3) -> str:
+    """Each round: the nearest centroid of every vector, then new centroids from exact sums; empty clusters keep theirs."""
+    parts = [
+        """
+  v AS MATERIALIZED (
+    SELECT row_number() OVER () AS n, vec_id, [floor(64 * x::DOUBLE)::BIGINT FOR x IN embedding] AS e FROM embeddings
+    WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+  ), c0 AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), e) - 1 AS cluster, e AS c FROM v QUALIFY cluster < 16
+  )"""
+    ]
+    nearest = """a{k} AS MATERIALIZED (
+    SELECT n, min(struct_pack(distance := list_sum([(e[i] - c[i]) * (e[i] - c[i]) FOR i IN range(1, 65)])::BIGINT, cluster := cluster)) AS best FROM v, c{k} GROUP BY n
+  )"""
+    for k in range(rounds):
+        parts.append(nearest.format(k=k))
+        parts.append(f"""s{k} AS MATERIALIZED (
+    SELECT best.cluster AS cluster, i, sum(e[i])::BIGINT AS s, count(*) AS m FROM a{k} JOIN v USING (n), range(1, 65) r(i) GROUP BY ALL
+  ), c{k + 1} AS MATERIALIZED (
+    SELECT cluster, coalesce(moved, c) AS c FROM c{k} LEFT JOIN (SELECT cluster, list((s - ((s % m) + m) % m) // m ORDER BY i) AS moved FROM s{k} GROUP BY cluster) USING (cluster)
+  )""")
+    parts.append(nearest.format(k=rounds))
+    return f"""
+WITH {", ".join(parts)}
+SELECT vec_id, best.cluster::INT AS cluster, best.distance AS distance, (sum(best.distance) OVER (PARTITION BY best.cluster))::BIGINT AS cluster_inertia,
+  (sum(best.distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (n) JOIN c{rounds} ON c{rounds}.cluster = best.cluster
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_html_text, op2_simhash, op3_best_fit_packing, op4_token_counts, op5_quality_classifier, op6_nearest_neighbours, op7_language_id, op8_embedding_near_dedup, op9_sentence_pieces, op10_url_filter)}
+    return {q.__name__: q for q in (op1_html_text, op2_simhash, op3_best_fit_packing, op4_token_counts, op5_quality_classifier, op6_nearest_neighbours, op7_language_id, op8_embedding_near_dedup, op9_sentence_pieces, op10_url_filter, op11_decontamination, op12_hard_negatives, op13_centroid_clusters)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {"op8_embedding_near_dedup": VECTOR_SQL, "op10_url_filter": URL_SQL}
+    return {"op8_embedding_near_dedup": VECTOR_SQL, "op10_url_filter": URL_SQL, "op11_decontamination": PASSAGE_SQL, "op12_hard_negatives": NEGATIVES_SQL, "op13_centroid_clusters": _centroid_sql()}
