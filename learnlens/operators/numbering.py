@@ -1,88 +1,85 @@
 """Consecutive row numbers without a global window.
 
-A plain `row_number()` over an unpartitioned window pulls every row into one task. Here rows fall in nested blocks whose order
-agrees with the row order: each level refines the one above into at most 65,536 blocks, by cutting 16 more bits of a
-64-bit key. Only block sizes are summed up, level by level, to get the offset of a block; rows are numbered inside their
-innermost block. So no window holds more than 65,536 rows, whether ids are dense or spread over all 64 bits, and a course or a
-student that owns a third of all rows is spread over many blocks.
+A plain `row_number()` over an unpartitioned window pulls every row into one task. Here splitters cut the order of the keys into intervals: the
+`SPLITTERS` keys with the smallest hashes are a uniform sample of all keys, whatever their spread, found in one pass in which every task keeps
+only so many. An interval is a block; block sizes are summed up in a window of at most that many rows, and rows are numbered inside their
+block. Splitters are whole keys, so a course that owns a third of all rows is cut by its students. About one row in `SPLITTERS` falls
+between two neighbours: blocks are even, up to the logarithm of their number.
+
+Splitters and block offsets are scalar subqueries of the plan. So nothing runs while the plan is built, and numbering costs one shuffle of the
+rows and three small exchanges.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+# Orders of roster rows, unique per (student, course).
+BY_COURSE_STUDENT = ("course_id", "student_id")
+BY_STUDENT_COURSE = ("student_id", "course_id")
+BY_STUDENT = ("student_id",)
 
-def block_of(column: str, bits: int = 16) -> Column:
-    """The block of 2 ** bits neighbouring keys; rounds down, so negative keys keep their order."""
-    return F.shiftright(F.col(column).cast("long"), bits)
+SPLITTERS = 4096
+_CUTS, _KEY, _BLOCK = "__cuts", "__key", "__block"
 
 
-def blocks_of(column: str) -> tuple[Column, ...]:
-    """Nested blocks of a 64-bit key, the innermost with at most 65,536 keys."""
-    return tuple(block_of(column, bits) for bits in (48, 32, 16))
+def splitters(rows: DataFrame, keys: Sequence[str], most: int = SPLITTERS, kept: str | None = None) -> Column:
+    """Up to `most` - 1 keys of `rows`, in order, as a scalar array of structs.
 
-
-@dataclass(frozen=True)
-class RowOrder:
-    """Sort keys (together unique within the `within` columns) and nested block levels that follow the same order.
-
-    Numbers start again for each value of `within`.
+    The smallest key of the sample is left out, so that no block is empty. `kept` names a column that the pass reads as well.
     """
-
-    keys: tuple[str, ...]
-    levels: tuple[Column, ...]
-    within: tuple[Column, ...] = ()
+    also = [kept] if kept else []
+    sample = rows.select(F.struct(*keys).alias("key"), *also).orderBy(F.xxhash64(*keys), "key", *also).limit(most)
+    return sample.agg(F.slice(F.array_sort(F.collect_list("key")), 2, most)).scalar()
 
 
-# Roster rows: unique per (student, course).
-def by_course_student() -> RowOrder:
-    return RowOrder(("course_id", "student_id"), (*blocks_of("course_id"), F.col("course_id"), *blocks_of("student_id")))
+def with_block(rows: DataFrame, keys: Sequence[str], cuts: Column, most: int = SPLITTERS) -> DataFrame:
+    """Add `__block`: how many of the `cuts` are at or below the key, by binary search.
 
+    Each step is a projection of its own. They all run in one generated loop, in which the array is a reference and never part of a row.
+    """
+    found = rows.withColumns({_CUTS: cuts, _KEY: F.struct(*keys), _BLOCK: F.lit(0)})
+    for bit in reversed(range((most - 1).bit_length())):
+        at = F.get(_CUTS, F.col(_BLOCK) + (2**bit - 1))  # null beyond the end
+        found = found.withColumn(_BLOCK, F.col(_BLOCK) + F.when(at <= F.col(_KEY), 2**bit).otherwise(0))
+    return found.select(*rows.columns, _BLOCK)
 
-def by_student_course() -> RowOrder:
-    """The innermost window holds the courses of one student."""
-    return RowOrder(("student_id", "course_id"), (*blocks_of("student_id"), F.col("student_id")))
 
+def number_rows(rows: DataFrame, keys: Sequence[str], name: str, *, counted: str | None = None, most: int = SPLITTERS) -> DataFrame:
+    """Add `name`: 1, 2, ... in the order of `keys`, which are together unique.
 
-def by_student() -> RowOrder:
-    return RowOrder(("student_id",), blocks_of("student_id"))
+    The rows are read three times: for the splitters, the block sizes and the numbers. So number a narrow frame and join values to it
+    afterwards; or, if the rows come from a costly aggregate, name that aggregate in `counted` (it must never be null): all uses then share
+    its shuffles. `most` bounds the number of blocks.
+    """
+    tagged = with_block(rows, keys, splitters(rows, keys, most, counted), most)
+    sizes = tagged.groupBy(_BLOCK).agg(F.count(counted or F.lit(1)).alias("size"))
+    before = F.coalesce(F.sum("size").over(W.orderBy(_BLOCK).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(_BLOCK, before.alias("before")).agg(F.array_sort(F.collect_list(F.struct(_BLOCK, "before"))).alias("of")).select("of.before").scalar()
+    inside = F.row_number().over(W.partitionBy(_BLOCK).orderBy(*keys))
+    number = F.element_at(offsets, F.col(_BLOCK) + 1) + inside
+    return tagged.withColumn(name, number.cast("long")).select(*rows.columns, name)
 
 
-def number_rows(
-    rows: DataFrame, order: RowOrder, name: str, *, total: str | None = None, counted: str | None = None
-) -> DataFrame:
-    """Add `name`: 1, 2, ... in `order`.
+def number_within(rows: DataFrame, within: Sequence[str], key: str, name: str, *, total: str | None = None) -> DataFrame:
+    """Add `name`: 1, 2, ... by `key`, again for each value of the `within` columns; `total` names an extra column with the group's row count.
 
-    `total` names an extra column with the row count of the `within` group. The rows are read twice, for the block sizes
-    and for the numbers. So number a narrow frame and join values to it afterwards; or, if the rows come from a costly
-    aggregate, name that aggregate in `counted` (it must never be null): both uses then share its shuffles.
+    Rows are numbered in blocks of 65,536 neighbouring keys, and the sizes of a group's blocks are summed up, so that a hot group is spread.
     """
-    within = [f"__within_{i}" for i in range(len(order.within))]
-    levels = [f"__level_{i}" for i in range(len(order.levels))]
-    # Never null: otherwise each join below would add its own null filter to the shared plan of `rows`.
-    blocks = dict(zip([*within, *levels], [*order.within, *order.levels]))
-    tagged = rows.withColumns({key: F.coalesce(block, F.lit(-1).cast("long")) for key, block in blocks.items()})
-    sizes = tagged.groupBy(*within, *levels).agg(F.count(counted or F.lit(1)).alias("__size"))
-    offsets: list[tuple[list[str], DataFrame]] = []
-    for depth in reversed(range(len(levels))):
-        path = [*within, *levels[: depth + 1]]
-        before = W.partitionBy(*path[:-1]).orderBy(path[-1]).rowsBetween(W.unboundedPreceding, -1)
-        offset = F.coalesce(F.sum("__size").over(before), F.lit(0)).alias(f"__offset_{depth}")
-        offsets.append((path, sizes.select(*path, offset)))
-        sizes = sizes.groupBy(*path[:-1]).agg(F.sum("__size").alias("__size"))
-    if total is not None:
-        offsets.append((within, sizes.withColumnRenamed("__size", "__total")))
-    places = offsets[0][1]
-    for path, more in offsets[1:]:
-        places = places.join(more, path)
-    inside = W.partitionBy(*within, *levels).orderBy(*order.keys)
-    numbered = tagged.withColumn("__inside", F.row_number().over(inside)).join(places, [*within, *levels])
-    number = sum((F.col(f"__offset_{depth}") for depth in range(len(levels))), F.col("__inside"))
-    added = {name: number.cast("long")}
+    block = _BLOCK
+    tagged = rows.withColumn(block, F.shiftright(F.col(key).cast("long"), 16))
+    group = W.partitionBy(*within)
+    sizes = tagged.groupBy(*within, block).agg(F.count(F.lit(1)).alias("__size")).select(
+        *within, block,
+        F.coalesce(F.sum("__size").over(group.orderBy(block).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
+        F.sum("__size").over(group).alias("__total"),
+    )
+    numbered = tagged.withColumn("__inside", F.row_number().over(W.partitionBy(*within, block).orderBy(key))).join(sizes, [*within, block])
+    added = {name: (F.col("__before") + F.col("__inside")).cast("long")}
     if total is not None:
         added[total] = F.col("__total")
     return numbered.withColumns(added).select(*rows.columns, *added)

@@ -28,7 +28,7 @@ def state_counts(spark: SparkSession, states: DataFrame) -> DataFrame:
 def bar_series(t: LearningTables, indicator_id: str, params: StudentParams) -> DataFrame:
     """position, label, value: one bar per indicator row in its sort order, seconds as hours rounded up."""
     spec = STUDENT_INDICATORS[indicator_id]
-    rows = student_rows(t, indicator_id, params, spec.sort_order(), number="position")
+    rows = student_rows(t, indicator_id, params, spec.sort_order, number="position")
     value = F.col(spec.value)
     if spec.in_hours:
         value = F.expr(f"({spec.value} + {HOUR - 1}) div {HOUR}")

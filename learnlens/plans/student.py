@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from learnlens.functions.gaps import gap_or_null, gap_or_zero, least_gap
 from learnlens.functions.periods import reporting_window
 from learnlens.operators import activity, assessment, counts, logins
-from learnlens.operators.numbering import RowOrder, by_course_student, by_student, by_student_course, number_rows
+from learnlens.operators.numbering import BY_COURSE_STUDENT, BY_STUDENT, BY_STUDENT_COURSE, number_rows
 from learnlens.operators.roster import course_roster
 from learnlens.plans.settings import SETTINGS
 from learnlens.sources.tables import LearningTables
@@ -45,8 +45,8 @@ class StudentIndicator:
 
     value: str
     totals: Callable[[LearningTables, StudentParams], DataFrame]
-    record_order: Callable[[], RowOrder] | None
-    sort_order: Callable[[], RowOrder]
+    record_order: tuple[str, ...] | None
+    sort_order: tuple[str, ...]
     in_hours: bool = False
     fill_roster: bool = True
 
@@ -94,49 +94,49 @@ def _logins(t: LearningTables, p: StudentParams) -> DataFrame:
 
 
 STUDENT_INDICATORS: dict[str, StudentIndicator] = {
-    "login_frequency": StudentIndicator("login_frequency", _logins, None, by_student),
+    "login_frequency": StudentIndicator("login_frequency", _logins, None, BY_STUDENT),
     "student_active_time": StudentIndicator(
-        "active_time_seconds", _active_time, by_course_student, by_student_course, in_hours=True
+        "active_time_seconds", _active_time, BY_COURSE_STUDENT, BY_STUDENT_COURSE, in_hours=True
     ),
     "time_spent_forums": StudentIndicator(
-        "total_seconds_spent", _forum_time, by_student_course, by_student_course, in_hours=True, fill_roster=False
+        "total_seconds_spent", _forum_time, BY_STUDENT_COURSE, BY_STUDENT_COURSE, in_hours=True, fill_roster=False
     ),
     "time_spent_assignments": StudentIndicator(
-        "assignment_time_seconds", _assignment_time, by_student_course, by_student_course, in_hours=True
+        "assignment_time_seconds", _assignment_time, BY_STUDENT_COURSE, BY_STUDENT_COURSE, in_hours=True
     ),
     "lo_access_frequency": StudentIndicator(
         "learning_object_access_frequency",
         _accesses,
-        by_course_student,
-        by_student_course,
+        BY_COURSE_STUDENT,
+        BY_STUDENT_COURSE,
     ),
     "forum_posting_frequency": StudentIndicator(
         "forum_post_frequency",
         lambda t, p: counts.forum_posts_written(t, p.course_ids),
-        by_course_student,
-        by_course_student,
+        BY_COURSE_STUDENT,
+        BY_COURSE_STUDENT,
     ),
     "time_spent_lo": StudentIndicator(
-        "learning_object_view_time_seconds", _object_time, by_course_student, by_course_student, in_hours=True
+        "learning_object_view_time_seconds", _object_time, BY_COURSE_STUDENT, BY_COURSE_STUDENT, in_hours=True
     ),
     "number_forums_viewed": StudentIndicator(
         "forums_viewed_count",
         _discussions,
-        by_course_student,
-        by_course_student,
+        BY_COURSE_STUDENT,
+        BY_COURSE_STUDENT,
     ),
 }
 
 
 def student_rows(
-    t: LearningTables, indicator_id: str, p: StudentParams, order: RowOrder | None, number: str = "recordid"
+    t: LearningTables, indicator_id: str, p: StudentParams, order: Sequence[str] | None, number: str = "recordid"
 ) -> DataFrame:
     """Unsorted rows of an indicator: keys, value and, with `order`, their number in that order.
 
     The narrow roster is numbered before the totals are joined to it, so the totals are computed once.
     """
     spec = STUDENT_INDICATORS[indicator_id]
-    keys = ["student_id"] if spec.sort_order().keys == ("student_id",) else ["student_id", "course_id"]
+    keys = ["student_id"] if spec.sort_order == BY_STUDENT else ["student_id", "course_id"]
     totals = spec.totals(t, p).select(*keys, F.col("total").alias(spec.value))
     roster = course_roster(t, p.course_ids).select(*keys)
     roster = roster.distinct() if keys == ["student_id"] else roster
@@ -154,8 +154,7 @@ def student_rows(
 
 def _indicator(t: LearningTables, indicator_id: str, p: StudentParams) -> DataFrame:
     spec = STUDENT_INDICATORS[indicator_id]
-    order = spec.record_order() if spec.record_order else None
-    return student_rows(t, indicator_id, p, order).orderBy(*spec.sort_order().keys)
+    return student_rows(t, indicator_id, p, spec.record_order).orderBy(*spec.sort_order)
 
 
 def login_frequency(t: LearningTables, as_of: int, course_ids: Sequence[int] | None = None) -> DataFrame:

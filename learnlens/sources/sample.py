@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from learnlens.functions.literals import literal_rows
-from learnlens.operators.numbering import RowOrder, block_of, number_rows
+from learnlens.operators.numbering import number_within
 from learnlens.sources.tables import LearningTables, conform
 
 T0 = 1704067200  # 2024-01-01 00:00 UTC
@@ -141,8 +141,7 @@ def _submissions(orders: DataFrame) -> DataFrame:
         _e(f"cast({T0} + (datediff(o_orderdate, date'1995-01-01') % 30) * 86400 + o_orderkey % 86400 as bigint)").alias("timecreated"),
         _e("if(o_orderstatus = 'P', 'draft', 'submitted')").alias("status"),
     )
-    order = RowOrder(("orderkey",), (block_of("orderkey"),), within=(F.col("userid"), F.col("assignment")))
-    numbered = number_rows(placed, order, "attempt", total="attempts")
+    numbered = number_within(placed, ("userid", "assignment"), "orderkey", "attempt", total="attempts")
     return numbered.select(
         "*",
         _e("timecreated + 3600 * (orderkey % 5)").alias("timemodified"),
@@ -180,10 +179,7 @@ def _posts(conversations: DataFrame, role_assignments: DataFrame) -> DataFrame:
     members = role_assignments.select(
         _e("contextid - 1000").alias("course"), _e("if(roleid = 5, 'user', 'assistant')").alias("role"), "userid"
     ).distinct()
-    order = RowOrder(
-        ("userid",), (block_of("userid"),), within=(F.col("course"), F.when(F.col("role") == "user", 1).otherwise(0))
-    )
-    numbered = number_rows(members, order, "member_no")
+    numbered = number_within(members, ("course", "role"), "userid", "member_no")
     sizes = members.groupBy("course", "role").agg(F.count(F.lit(1)).alias("members"))
     closing = (
         "case when role = 'user' and turn >= 2 and conv_id % 3 = 0 then ' Thanks, that WORKED' "

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from learnlens.functions.gaps import least_gap
 from learnlens.operators import activity, uniqueness
 from learnlens.operators.logins import login_course_access
-from learnlens.operators.numbering import by_course_student, by_student, by_student_course, number_rows
+from learnlens.operators.numbering import BY_COURSE_STUDENT, BY_STUDENT, BY_STUDENT_COURSE, number_rows, number_within, splitters, with_block
 from learnlens.plans import student
 from learnlens.sources.tables import SCHEMAS, LearningTables
 from tests.conftest import COURSE_VIEW, LOGIN, ROLES, STUDENT, event
@@ -142,39 +142,56 @@ def test_days_bound_every_window(spark):
 # -- row numbers
 
 
-@pytest.mark.parametrize("order", [by_course_student, by_student_course])
-def test_row_numbers_cross_blocks(spark, order):
+ORDERS = (BY_COURSE_STUDENT, BY_STUDENT_COURSE)
+
+
+def numbered(df, keys, **options):
+    """The keys in the order of their numbers, which must be 1, 2, .."""
+    rows = sorted(number_rows(df, keys, "n", **options).collect(), key=lambda r: r.n)
+    assert [r.n for r in rows] == list(range(1, len(rows) + 1))
+    return [tuple(r[k] for k in keys) for r in rows]
+
+
+@pytest.mark.parametrize("keys", ORDERS)
+@pytest.mark.parametrize("most", [1, 2, 20, 300, 4096])
+def test_row_numbers_cross_blocks(spark, keys, most):
+    """With few rows in a block, one block, or a splitter for every row."""
     rng = random.Random(9)
-    pairs = {(rng.choice([1, 2, 3]), rng.randint(0, 400_000)) for _ in range(300)}
+    pairs = {(rng.choice([1, 2, 3]), rng.randint(0, 400_000)) for _ in range(600)}
     df = spark.createDataFrame([(s, c) for c, s in pairs], "student_id long, course_id long").repartition(5)
-    spec = order()
-    got = [tuple(r[k] for k in spec.keys) for r in sorted(number_rows(df, spec, "n").collect(), key=lambda r: r.n)]
+    got = numbered(df, keys, most=most)
     assert got == sorted(got) and len(got) == len(pairs)
-    assert sorted(r.n for r in number_rows(df, spec, "n").collect()) == list(range(1, len(pairs) + 1))
 
 
-@pytest.mark.parametrize("order", [by_course_student, by_student_course, by_student])
-def test_row_numbers_of_spread_ids(spark, order):
-    """Ids over all 64 bits, negative ones too. No window is larger than 65,536 rows, however many blocks there are."""
+@pytest.mark.parametrize("keys", [*ORDERS, BY_STUDENT])
+def test_row_numbers_of_spread_ids(spark, keys):
+    """Ids over all 64 bits, negative ones too."""
     rng = random.Random(10)
     ids = [rng.randint(-(2**63), 2**63 - 1) for _ in range(120)] + [-1, 0, 1, -65536, 65536, -(2**63), 2**63 - 1]
     pairs = {(s, rng.choice(ids[:5] + [0, -1])) for s in ids}
-    spec = order()
     df = spark.createDataFrame(list(pairs), "student_id long, course_id long").repartition(3)
-    got = {r.n: tuple(r[k] for k in spec.keys) for r in number_rows(df, spec, "n").collect()}
-    assert [got[n] for n in range(1, len(pairs) + 1)] == sorted(tuple(dict(zip(("student_id", "course_id"), p))[k] for k in spec.keys) for p in pairs)
-    names = [f"l{i}" for i in range(len(spec.levels))]
-    blocks = df.select(*[level.alias(n) for level, n in zip(spec.levels, names)]).distinct().collect()
-    for depth in range(len(names)):
-        below = defaultdict(set)
-        for row in blocks:
-            below[row[:depth]].add(row[depth])
-        assert max(max(v) - min(v) for v in below.values()) < 65536
-
-
-def test_row_numbers_of_single_key(spark):
-    df = spark.range(0, 500_000, 25_000).withColumnRenamed("id", "student_id").repartition(4)
-    assert {(r.student_id, r.n) for r in number_rows(df, by_student(), "n").collect()} == {(i * 25_000, i + 1) for i in range(20)}
+    expected = sorted(tuple(dict(zip(("student_id", "course_id"), p))[k] for k in keys) for p in pairs)
+    for most in (30, 4096):
+        assert numbered(df, keys, most=most) == expected
+    assert numbered(df.limit(0), keys) == [] and len(numbered(df.limit(1), keys)) == 1
+
+
+def test_blocks_of_a_skewed_table_are_even(spark):
+    """One course owns most rows, and its students' ids are dense; the other ids are spread over all 64 bits."""
+    rows = spark.range(60_000).selectExpr("if(id % 10 < 9, 7, xxhash64(id)) course_id", "if(id % 10 < 9, id, xxhash64(id, 1)) student_id")
+    for most in (64, 1000):
+        sizes = [r["count"] for r in with_block(rows, BY_COURSE_STUDENT, splitters(rows, BY_COURSE_STUDENT, most), most).groupBy("__block").count().collect()]
+        assert len(sizes) == most and sum(sizes) == 60_000 and max(sizes) < 60_000 / most * 12
+
+
+def test_numbers_within_groups(spark):
+    rng = random.Random(12)
+    rows = list({(rng.randint(1, 3), rng.randint(-200_000, 200_000)) for _ in range(400)})
+    df = spark.createDataFrame(rows, "g long, k long").repartition(3)
+    got = {(r.g, r.k): (r.n, r.all) for r in number_within(df, ["g"], "k", "n", total="all").collect()}
+    for g in (1, 2, 3):
+        own = sorted(k for h, k in rows if h == g)
+        assert [got[g, k] for k in own] == [(i, len(own)) for i in range(1, len(own) + 1)]
 
 
 # -- feedback overlap

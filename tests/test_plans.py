@@ -97,19 +97,35 @@ def test_stored_tables_give_the_same_result(spark, stored):
     assert result == [tuple(r) for r in student.student_active_time(derived, AS_OF).collect()]
 
 
-def test_numbering_an_aggregate_reads_the_log_once(stored):
-    df = student.time_spent_forums(stored, AS_OF)
-    df.collect()
-    final = plan(df).split("== Initial Plan ==")[0]
-    assert len(log_scans(final)) == 1
+def fixed_plan(spark, build) -> str:
+    """The plan without adaptive execution, which shows shared shuffles before the run."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return plan(build())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_numbering_an_aggregate_reads_the_log_once(spark, stored):
+    assert len(log_scans(fixed_plan(spark, lambda: student.time_spent_forums(stored, AS_OF)))) == 1
+
+
+def exchanges(spark, build) -> int:
+    """Shuffles of a plan, those that it shares counted once."""
+    return sum(bool(re.search(r"(?<!Reused)Exchange (hash|range|Single|Round)", x)) for x in fixed_plan(spark, build).splitlines() if "ReusedExchange" not in x)
+
+
+@pytest.mark.parametrize("indicator", [n for n, spec in student.STUDENT_INDICATORS.items() if spec.record_order])
+def test_numbers_cost_few_shuffles(spark, stored, indicator):
+    """One of the rows, the others of at most 4096 rows; no Python, no join."""
+    p = student.StudentParams(AS_OF)
+    build = lambda order: student.student_rows(stored, indicator, p, order)
+    order = student.STUDENT_INDICATORS[indicator].record_order
+    assert 0 < exchanges(spark, lambda: build(order)) - exchanges(spark, lambda: build(None)) <= 4
 
 
 def test_dashboard_reads_the_log_once_per_kind_of_event(spark, stored):
     """Logins, activity in the period, assignments, all-time views: one scan each."""
-    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else shared shuffles show only after the run
-    try:
-        text = plan(dashboard(spark, stored, AS_OF, group=STUDENT))
-    finally:
-        spark.conf.unset("spark.sql.adaptive.enabled")
+    text = fixed_plan(spark, lambda: dashboard(spark, stored, AS_OF, group=STUDENT))
     # by the file's name, as the scan of views reads no time
     assert len([line for line in text.splitlines() if "FileScan" in line and "logstore_standard_log" in line]) == 4
