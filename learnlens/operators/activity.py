@@ -25,7 +25,7 @@ LEARNING_OBJECT_VIEWS = tuple(
 
 # Bits of an event's kind.
 ACTIVE, FORUM_VIEW, LEARNING_OBJECT_VIEW = 1, 2, 4
-_ANY_FORUM_VIEW = 8
+ANY_FORUM_VIEW = 8
 
 Gap = Callable[[Column, Column, int], Column]
 
@@ -132,13 +132,17 @@ def activity_seconds(
     )
     # Both aggregates feed one column, so the plan up to here is the same for every indicator and its shuffle is
     # reused when several run in one job.
-    kind = F.col("last_kind") + F.when(F.col("forum_bit") > 0, _ANY_FORUM_VIEW).otherwise(0)
+    kind = F.col("last_kind") + F.when(F.col("forum_bit") > 0, ANY_FORUM_VIEW).otherwise(0)
     return seconds.select("student_id", "course_id", "timecreated", _day().alias("day"), kind.alias("kind"))
 
 
 def capped_totals(seconds: DataFrame, bit: int, gap: Gap, cap: int) -> DataFrame:
-    """Per (student_id, course_id): `total`, the capped gaps after events with `bit`, and `saw_forum`."""
-    in_day = W.partitionBy("student_id", "course_id", "day").orderBy("timecreated")
+    """Per (student_id, course_id): `total`, the capped gaps after events with `bit`, and `saw_forum`.
+
+    Rows of the same second are told apart by `last_id`, where there is one; see `facts.moments`.
+    """
+    order = [c for c in ("timecreated", "last_id") if c in seconds.columns]
+    in_day = W.partitionBy("student_id", "course_id", "day").orderBy(*order)
     counted = F.col("kind").bitwiseAND(bit) > 0
     days = (
         seconds.withColumn("next_time", F.lead("timecreated").over(in_day))
@@ -149,8 +153,8 @@ def capped_totals(seconds: DataFrame, bit: int, gap: Gap, cap: int) -> DataFrame
             ).alias("inside"),
             F.min("timecreated").alias("first_time"),
             F.max("timecreated").alias("last_time"),
-            F.max_by("kind", "timecreated").alias("kind"),
-            F.max(F.col("kind").bitwiseAND(_ANY_FORUM_VIEW)).alias("forum_bit"),
+            F.max_by("kind", F.struct(*order) if len(order) > 1 else "timecreated").alias("kind"),
+            F.max(F.col("kind").bitwiseAND(ANY_FORUM_VIEW)).alias("forum_bit"),
         )
     )
     over_days = W.partitionBy("student_id", "course_id").orderBy("day")

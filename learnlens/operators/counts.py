@@ -37,25 +37,6 @@ def discussions_viewed(t: LearningTables, course_ids: Sequence[int] | None = Non
     )
 
 
-def view_totals(t: LearningTables, course_ids: Sequence[int] | None = None) -> DataFrame:
-    """student_id, course_id, accesses, discussions: both counts above from one scan and one shuffle, for jobs that need both.
-
-    Alone each is cheaper: this one shuffles a row per (user, course, discussion) for the accesses too.
-    """
-    log = in_courses(t.logstore_standard_log, "courseid", course_ids)
-    event = F.col("eventname")
-    return (
-        log.filter(event.isin([*MODULE_VIEWS, DISCUSSION_VIEWED]))
-        .groupBy(F.col("userid").alias("student_id"), F.col("courseid").alias("course_id"))
-        .agg(
-            F.count(F.when(event != DISCUSSION_VIEWED, F.col("id"))).alias("accesses"),
-            F.countDistinct(F.when(event == DISCUSSION_VIEWED, F.col("objectid"))).alias("discussions"),
-        )
-        # always true; it keeps both columns in both uses, so that they share one shuffle
-        .filter(F.col("accesses") + F.col("discussions") >= 0)
-    )
-
-
 def forum_posts_written(t: LearningTables, course_ids: Sequence[int] | None = None) -> DataFrame:
     """student_id, course_id, total: posts per author, counted per discussion before the course is looked up."""
     per_discussion = t.forum_posts.groupBy("discussion", F.col("userid").alias("student_id")).agg(

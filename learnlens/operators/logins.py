@@ -17,21 +17,13 @@ LOGGED_IN = r"\core\event\user_loggedin"
 _SPREAD = 64
 
 
-def login_course_access(t: LearningTables, as_of: int, course_ids: Sequence[int] | None = None) -> DataFrame:
-    """Distinct (student_id, login_id, login_time, course_id): a login inside the course window, followed before
-    the user's next login by a view of that course. Open courses end at `as_of`; the view itself is not clipped.
-
-    A view belongs to the latest login at or before it, by (time, id), so this is an as-of join. One user may own
-    a third of the log, so it runs in two steps. First the events of one (user, day) are reduced to distinct seconds
-    and ordered. Views with no earlier login that day are reduced to one row per (user, day, course) and meet
-    one row per (user, day) with that day's last login. No window sees more than a day of (second, course)
-    pairs, or one user's days.
-    """
+def login_seconds(t: LearningTables, course_ids: Sequence[int] | None = None) -> DataFrame:
+    """Logins (without a course) and views of the chosen courses, reduced to distinct seconds: student_id, timecreated, course_id, is_view, login_id, day."""
     events = t.logstore_standard_log.filter(F.col("eventname").isin(LOGGED_IN, COURSE_VIEWED))
     if course_ids is not None:
         events = events.filter((F.col("eventname") == LOGGED_IN) | F.col("courseid").isin(list(course_ids)))
     is_login = F.col("eventname") == LOGGED_IN
-    seconds = (
+    return (
         events.select(
             F.col("userid").alias("student_id"),
             "timecreated",
@@ -43,6 +35,21 @@ def login_course_access(t: LearningTables, as_of: int, course_ids: Sequence[int]
         .agg(F.max("login_id").alias("login_id"))
         .withColumn("day", F.expr(f"timecreated div {DAY}"))
     )
+
+
+def login_course_access(
+    t: LearningTables, as_of: int, course_ids: Sequence[int] | None = None, seconds: DataFrame | None = None
+) -> DataFrame:
+    """Distinct (student_id, login_id, login_time, course_id): a login inside the course window, followed before
+    the user's next login by a view of that course. Open courses end at `as_of`; the view itself is not clipped.
+
+    A view belongs to the latest login at or before it, by (time, id), so this is an as-of join. One user may own
+    a third of the log, so it runs in two steps. First the events of one (user, day) are reduced to distinct seconds
+    (`seconds`, if they are at hand) and ordered. Views with no earlier login that day are reduced to one row per (user, day, course) and meet
+    one row per (user, day) with that day's last login. No window sees more than a day of (second, course)
+    pairs, or one user's days.
+    """
+    seconds = login_seconds(t, course_ids) if seconds is None else seconds
     # Logins sort before views of the same second, so a view at the login's second counts for it.
     running = (
         W.partitionBy("student_id", "day")

@@ -13,7 +13,8 @@ from learnlens.functions.literals import literal_rows
 from learnlens.operators import assessment, forum
 from learnlens.operators.roster import course_ids_of, course_roster, teacher_roster
 from learnlens.plans.registry import INDICATORS, params_for_filter
-from learnlens.plans.series import chart_series
+from learnlens.plans.series import bar_table, chart_series, state_counts, teacher_states
+from learnlens.plans.student import StudentParams
 from learnlens.sources.tables import LearningTables
 
 BLOCK_COLUMNS = (
@@ -21,9 +22,6 @@ BLOCK_COLUMNS = (
     "student_success boolean, control string"
 )
 
-#: Indicators whose counts come from one scan where both are asked for.
-VIEW_COUNTS = {"lo_access_frequency", "number_forums_viewed"}
-
 
 def _union(frames: Iterable[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
@@ -67,15 +65,14 @@ def dashboard(
     ]
     if course_ids is not None and not list(course_ids):
         return literal_rows(spark, [], BLOCK_COLUMNS + ", has_data boolean, position long, label string, value long")
-    both_views = VIEW_COUNTS <= {d.id for d in chosen}
-    series = _union(
-        chart_series(
-            spark, t, d.id, as_of, course_ids, **d.defaults(configured), **({"shared_views": both_views} if d.id in VIEW_COUNTS else {})
-        ).select(
-            F.lit(d.id).alias("indicator_id"), "position", "label", "value"
-        )
-        for d in chosen
-    )
+    bars = {d.id: StudentParams(as_of, course_ids, shared=True, **d.defaults(configured)) for d in chosen if d.axis is not None}
+    columns = ("indicator_id", "position", "label", "value")
+    frames = [bar_table(t, bars).select(*columns)] if bars else []
+    for d in chosen:
+        if d.axis is None:
+            states = state_counts(spark, teacher_states(t, d.id, as_of, course_ids, **d.defaults(configured)))
+            frames.append(states.select(F.lit(d.id).alias("indicator_id"), *columns[1:]))
+    series = _union(frames)
     pies = [d.id for d in chosen if d.axis is None]
     if pies:
         present = _pie_sources(t, as_of, course_ids).select("indicator_id", F.lit(True).alias("has_source"))

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from learnlens.functions.literals import literal_rows
 from learnlens.functions.periods import HOUR
+from learnlens.operators.numbering import number_rows
 from learnlens.operators.states import STATES
 from learnlens.plans import teacher
-from learnlens.plans.student import STUDENT_INDICATORS, StudentParams, student_rows
+from learnlens.plans.student import STUDENT_INDICATORS, StudentParams, roster_rows, student_rows, student_totals
 from learnlens.sources.tables import LearningTables
 
 
@@ -29,10 +31,34 @@ def bar_series(t: LearningTables, indicator_id: str, params: StudentParams) -> D
     """position, label, value: one bar per indicator row in its sort order, seconds as hours rounded up."""
     spec = STUDENT_INDICATORS[indicator_id]
     rows = student_rows(t, indicator_id, params, spec.sort_order, number="position")
-    value = F.col(spec.value)
-    if spec.in_hours:
-        value = F.expr(f"({spec.value} + {HOUR - 1}) div {HOUR}")
-    return rows.select("position", F.col("student_id").cast("string").alias("label"), value.cast("long").alias("value"))
+    return rows.select("position", F.col("student_id").cast("string").alias("label"), _bar(indicator_id).alias("value"))
+
+
+def bar_table(t: LearningTables, params: Mapping[str, StudentParams]) -> DataFrame:
+    """indicator_id, position, label, value: the rows of `bar_series` of several indicators. Those with the same rows and order share their numbers."""
+    shared: dict[tuple[str, ...], list[str]] = {}
+    for indicator_id in params:
+        spec = STUDENT_INDICATORS[indicator_id]
+        if spec.fill_roster:
+            shared.setdefault(spec.sort_order, []).append(indicator_id)
+    frames = [
+        bar_series(t, i, p).withColumn("indicator_id", F.lit(i)) for i, p in params.items() if not STUDENT_INDICATORS[i].fill_roster
+    ]
+    for order, ids in shared.items():
+        rows = number_rows(roster_rows(t, order, params[ids[0]].course_ids), order, "position")
+        bars = []
+        for i in ids:
+            rows = rows.join(student_totals(t, i, params[i]), list(order), "left")
+            bars.append(F.struct(F.lit(i).alias("indicator_id"), _bar(i).alias("value")))
+        frames.append(rows.select("position", F.col("student_id").cast("string").alias("label"), F.inline(F.array(*bars))))
+    return reduce(DataFrame.unionByName, frames)
+
+
+def _bar(indicator_id: str) -> Column:
+    """An indicator's value, 0 where there is none; seconds as hours rounded up."""
+    spec = STUDENT_INDICATORS[indicator_id]
+    value = F.coalesce(spec.value, F.lit(0).cast("long"))
+    return (F.expr(f"(coalesce({spec.value}, 0) + {HOUR - 1}) div {HOUR}") if spec.in_hours else value).cast("long")
 
 
 def teacher_states(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from learnlens.functions.gaps import gap_or_null, gap_or_zero, least_gap
 from learnlens.functions.periods import reporting_window
-from learnlens.operators import activity, assessment, counts, logins
+from learnlens.operators import activity, assessment, counts, facts, logins
 from learnlens.operators.numbering import BY_COURSE_STUDENT, BY_STUDENT, BY_STUDENT_COURSE, number_rows
 from learnlens.operators.roster import course_roster
 from learnlens.plans.settings import SETTINGS
@@ -23,7 +23,7 @@ SESSION_CAP = SETTINGS["sessioncap"].default
 class StudentParams:
     """Arguments shared by the student indicators. `as_of` is the clock; nothing reads the system time.
 
-    `shared_views` takes both view counts from one scan, for a job that holds both indicators.
+    `shared` takes the totals from the two passes of `facts`, for a job that holds most of the indicators.
     """
 
     as_of: int
@@ -32,7 +32,7 @@ class StudentParams:
     sessioncap: int = SESSION_CAP
     tz: str = "UTC"
     open_end_at: int | None = None
-    shared_views: bool = False
+    shared: bool = False
 
     @property
     def window(self) -> tuple[int, int]:
@@ -52,7 +52,8 @@ class StudentIndicator:
 
 
 def _seconds(t: LearningTables, p: StudentParams) -> DataFrame:
-    return activity.activity_seconds(t, *p.window, p.course_ids, p.open_end_at)
+    events = facts.moments if p.shared else activity.activity_seconds
+    return events(t, *p.window, p.course_ids, p.open_end_at)
 
 
 def _active_time(t: LearningTables, p: StudentParams) -> DataFrame:
@@ -69,25 +70,28 @@ def _object_time(t: LearningTables, p: StudentParams) -> DataFrame:
 
 
 def _assignment_time(t: LearningTables, p: StudentParams) -> DataFrame:
+    if p.shared:
+        return facts.assignment_totals(_seconds(t, p))
     return assessment.assignment_totals(t, *p.window, p.course_ids, p.open_end_at)
 
 
 def _accesses(t: LearningTables, p: StudentParams) -> DataFrame:
-    if p.shared_views:
-        return counts.view_totals(t, p.course_ids).withColumnRenamed("accesses", "total")
+    if p.shared:
+        return facts.view_totals(facts.history(t, p.course_ids)).withColumnRenamed("accesses", "total")
     return counts.learning_object_accesses(t, p.course_ids)
 
 
 def _discussions(t: LearningTables, p: StudentParams) -> DataFrame:
-    if p.shared_views:
-        return counts.view_totals(t, p.course_ids).withColumnRenamed("discussions", "total")
+    if p.shared:
+        return facts.view_totals(facts.history(t, p.course_ids)).withColumnRenamed("discussions", "total")
     return counts.discussions_viewed(t, p.course_ids)
 
 
 def _logins(t: LearningTables, p: StudentParams) -> DataFrame:
+    seconds = facts.login_seconds(facts.history(t, p.course_ids)) if p.shared else None
     # A login that reached several courses counts once.
     return (
-        logins.login_course_access(t, p.as_of, p.course_ids)
+        logins.login_course_access(t, p.as_of, p.course_ids, seconds)
         .groupBy("student_id")
         .agg(F.countDistinct("login_id").alias("total"))
     )
@@ -128,6 +132,22 @@ STUDENT_INDICATORS: dict[str, StudentIndicator] = {
 }
 
 
+def _keys(spec: StudentIndicator) -> list[str]:
+    return sorted(spec.sort_order, reverse=True)  # the student first
+
+
+def roster_rows(t: LearningTables, keys: Sequence[str], course_ids: Sequence[int] | None) -> DataFrame:
+    """The distinct keys of the enrolled students."""
+    roster = course_roster(t, course_ids).select(*keys)
+    return roster if "course_id" in keys else roster.distinct()
+
+
+def student_totals(t: LearningTables, indicator_id: str, p: StudentParams) -> DataFrame:
+    """Keys and value of the students for whom the log has something to count."""
+    spec = STUDENT_INDICATORS[indicator_id]
+    return spec.totals(t, p).select(*_keys(spec), F.col("total").alias(spec.value))
+
+
 def student_rows(
     t: LearningTables, indicator_id: str, p: StudentParams, order: Sequence[str] | None, number: str = "recordid"
 ) -> DataFrame:
@@ -136,10 +156,9 @@ def student_rows(
     The narrow roster is numbered before the totals are joined to it, so the totals are computed once.
     """
     spec = STUDENT_INDICATORS[indicator_id]
-    keys = ["student_id"] if spec.sort_order == BY_STUDENT else ["student_id", "course_id"]
-    totals = spec.totals(t, p).select(*keys, F.col("total").alias(spec.value))
-    roster = course_roster(t, p.course_ids).select(*keys)
-    roster = roster.distinct() if keys == ["student_id"] else roster
+    keys = _keys(spec)
+    totals = student_totals(t, indicator_id, p)
+    roster = roster_rows(t, keys, p.course_ids)
     if spec.fill_roster:
         rows = roster if order is None else number_rows(roster, order, number)
         value = F.coalesce(spec.value, F.lit(0).cast("long"))

@@ -139,6 +139,38 @@ def test_days_bound_every_window(spark):
     assert sizes.agg(F.max("count")).collect()[0][0] <= DAY
 
 
+# -- shared passes
+
+
+def busy_log(seed, n=500):
+    """Many events in the same seconds, assignment views and submissions among them; some without module, user or object."""
+    rng = random.Random(seed)
+    kinds = ["login", "course", "page", "forum", "assign", "assign", "submit", "discussion", "profile"]
+    log = []
+    for id in range(1, n + 1):
+        kind = rng.choice(kinds)
+        row = list(event(id, rng.choice([1, 1, 2, 3, 4, None]), 0 if kind == "login" else rng.randint(1, 3), rng.randint(0, 6) * DAY + rng.choice([0, 1, 2, 3, DAY - 1]), kind))
+        row[6], row[7] = rng.choice([None, 1, 2, 3]), rng.choice([None, 1, 2])
+        log.append(tuple(row))
+    return log
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_indicators_from_shared_passes(spark, seed):
+    t = tables(spark, COURSES, ENROLMENTS, busy_log(seed))
+    seen = 0
+    for indicator, spec in student.STUDENT_INDICATORS.items():
+        ranges = ("weekly", "yearly") if spec.in_hours else (None,)
+        for time_range in ranges:
+            rows = [
+                sorted(map(tuple, student.student_rows(t, indicator, student.StudentParams(AS_OF, time_range=time_range, sessioncap=90_000, shared=shared), None).collect()))
+                for shared in (False, True)
+            ]
+            assert rows[0] == rows[1], indicator
+            seen += sum(r[-1] > 0 for r in rows[0])
+    assert seen > 40
+
+
 # -- row numbers
 
 
