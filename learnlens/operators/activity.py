@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from learnlens.functions.periods import DAY
+from learnlens.functions.staging import stage
+from learnlens.operators.membership import key_bitmap, may_hold
 from learnlens.operators.roster import course_roster, course_windows, in_courses, teacher_roster
 from learnlens.sources.tables import LearningTables
 
@@ -79,23 +81,38 @@ def windowed_log(
     )
 
 
-def teacher_events(t: LearningTables, as_of: int, course_ids: Sequence[int] | None = None) -> DataFrame:
-    """Teachers with each of their events in `[course_start, course_end)`; a teacher with none keeps one null row.
+def teacher_log(t: LearningTables, as_of: int, teachers: DataFrame, course_ids: Sequence[int] | None = None) -> DataFrame:
+    """The log events of `teachers` (see `teacher_roster`) in `[course_start, course_end)`: event_id, event_time and the teacher's columns.
 
-    Inner join plus the teachers left over: a left join would put the large log on the side Spark can neither
-    broadcast nor split when one teacher's key is hot.
+    One scan, of the time that the courses span; a bitmap of the (teacher, course) pairs lets nearly only their rows through it, so students' rows
+    meet no shuffle also where teachers are too many to broadcast.
     """
-    teachers = teacher_roster(t, as_of, course_ids)
-    log = in_courses(t.logstore_standard_log, "courseid", course_ids).select(
+    windows = course_windows(t, course_ids, open_end_at=as_of)
+    log = in_courses(t.logstore_standard_log, "courseid", course_ids).filter(
+        (F.col("timecreated") >= windows.agg(F.min("course_start")).scalar())
+        & (F.col("timecreated") < windows.agg(F.max("course_end")).scalar())
+    )
+    log = log.filter(may_hold(key_bitmap(teachers, ("teacher_id", "course_id")), ("userid", "courseid"))).select(
         F.col("id").alias("event_id"), "userid", "courseid", F.col("timecreated").alias("event_time")
     )
-    found = log.join(
+    return log.join(
         teachers,
         (log["userid"] == teachers["teacher_id"])
         & (log["courseid"] == teachers["course_id"])
         & (F.col("event_time") >= F.col("course_start"))
         & (F.col("event_time") < F.col("course_end")),
     ).select("teacher_id", "course_id", "course_start", "course_end", "event_id", "event_time")
+
+
+def teacher_events(t: LearningTables, as_of: int, course_ids: Sequence[int] | None = None) -> DataFrame:
+    """Teachers with each of their events in `[course_start, course_end)`; a teacher with none keeps one null row.
+
+    Inner join plus the teachers left over: a left join would put the large log on the side Spark can neither
+    broadcast nor split when one teacher's key is hot. What is found (teachers' events only) is staged, so that both parts read it
+    and the log is scanned once.
+    """
+    teachers = teacher_roster(t, as_of, course_ids)
+    found = stage(teacher_log(t, as_of, teachers, course_ids))
     silent = teachers.join(found.select("teacher_id", "course_id").distinct(), ["teacher_id", "course_id"], "left_anti")
     nothing = F.lit(None).cast("long")
     return found.unionByName(

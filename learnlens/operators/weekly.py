@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from learnlens.functions.periods import WEEK
-from learnlens.operators.roster import course_windows, in_courses, teacher_roster
+from learnlens.operators.activity import teacher_log
+from learnlens.operators.roster import teacher_roster
 from learnlens.operators.states import state_of
 from learnlens.sources.tables import LearningTables
 
@@ -18,18 +19,11 @@ _SLOTS = f"greatest(1, (greatest(0, course_end - course_start) + {WEEK - 1}) div
 def _active_weeks(t: LearningTables, as_of: int, teachers: DataFrame, course_ids: Sequence[int] | None) -> DataFrame:
     """Non-empty slots of teachers only: teacher_id, course_id, week, interactions.
 
-    The scan keeps the time that the courses span. Teachers are few, so the log meets them before anything is counted:
-    students' events go no further, and partial counts shrink a hot teacher on the map side.
+    Students' events go at the scan; partial counts shrink a hot teacher on the map side.
     """
-    windows = course_windows(t, course_ids, open_end_at=as_of)
-    log = in_courses(t.logstore_standard_log, "courseid", course_ids).filter(
-        (F.col("timecreated") >= windows.agg(F.min("course_start")).scalar())
-        & (F.col("timecreated") < windows.agg(F.max("course_end")).scalar())
-    ).select("userid", "courseid", "timecreated")
     return (
-        log.join(teachers, (log["userid"] == teachers["teacher_id"]) & (log["courseid"] == teachers["course_id"]))
-        .filter((F.col("timecreated") >= F.col("course_start")) & (F.col("timecreated") < F.col("course_end")))
-        .groupBy("teacher_id", "course_id", F.expr(f"(timecreated - course_start) div {WEEK}").alias("week"))
+        teacher_log(t, as_of, teachers, course_ids)
+        .groupBy("teacher_id", "course_id", F.expr(f"(event_time - course_start) div {WEEK}").alias("week"))
         .agg(F.count(F.lit(1)).alias("interactions"))
     )
 

@@ -89,7 +89,7 @@ def _steps() -> dict[str, Build]:
             F.col("id").alias("post_id"), contains_any(F.col("message"), RESOLUTION_KEYWORDS).alias("has_keyword")
         ),
         "participant_posts": lambda s, t: forum.participant_posts(t),
-        "resolved_chains": lambda s, t: forum.resolved_chains(forum.participant_posts(t)),
+        "resolved_chains": lambda s, t: forum.resolved_chains(t),
         "feedback_uniqueness": lambda s, t: uniqueness.feedback_uniqueness(t),
         "feedback_latency": lambda s, t: assessment.feedback_latency(t),
         "weekly_interactions": lambda s, t: weekly.weekly_interactions(t, AS_OF),

@@ -37,7 +37,7 @@ def _pie_sources(t: LearningTables, as_of: int, course_ids: Sequence[int] | None
         "course_performance_feedback": assessment.latest_submissions(t, course_ids).select("course_id"),
         "personalized_feedback": enrolled,
         "timely_feedback": enrolled,
-        "monitoring_forums": forum.participant_posts(t, course_ids).select("course_id"),
+        "monitoring_forums": forum.member_posts(t, course_ids).select("course_id"),
         "consistent-use-lms": teacher_roster(t, as_of, course_ids).select("course_id"),
     }
     return _union(

@@ -56,11 +56,11 @@ def monitoring_forums(
     open_end_at: int | None = None,
 ) -> DataFrame:
     """Did a student's forum question get a teacher reply that the student called resolved?"""
-    posts = forum.participant_posts(t, course_ids, keywords, open_end_at)
+    posts = forum.member_posts(t, course_ids, open_end_at)
     posted = posts.filter(F.col("author_is_student") == 1).select(
         F.col("author_id").alias("student_id"), "course_id", F.lit(False).alias("resolved")
     )
-    resolved = forum.resolved_chains(posts).withColumn("resolved", F.lit(True))
+    resolved = forum.resolved_chains(t, course_ids, keywords, open_end_at).withColumn("resolved", F.lit(True))
     return fill_states(course_roster(t, course_ids), fold_any_good(posted.unionByName(resolved), "resolved"))
 
 

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from learnlens.operators import activity
+from learnlens.operators import activity, forum, weekly
 from learnlens.plans import catalog, student, teacher
 from learnlens.plans.dashboard import dashboard
 from learnlens.plans.registry import STUDENT
@@ -31,7 +31,7 @@ def stored(spark, tmp_path_factory):
 
 # One name per plan shape. The staged searches run jobs while they are built; the oracle tests cover those.
 VARIANTS = ("_refresh_", "hourly", "daily", "weekly", "yearly", "monthly", "_cap", "_counts", "threshold_", "days_")
-STAGED = ("personalized", "feedback_uniqueness", "dashboard")
+STAGED = ("personalized", "feedback_uniqueness", "dashboard", "teacher_events", "resolved_chains", "monitoring_forums")
 SHAPES = [n for n in QUERIES if not any(part in n for part in VARIANTS + STAGED) or n == "weekly_interactions"]
 
 
@@ -66,11 +66,47 @@ def test_no_single_task_over_events(stored):
     seconds = activity.activity_seconds(stored, 0, AS_OF)
     totals = activity.capped_totals(seconds, activity.ACTIVE, student.gap_or_null, 1800)
     assert "SinglePartition" not in plan(totals)
-    for states in (teacher.timely_feedback(stored), teacher.monitoring_forums(stored)):
-        assert "SinglePartition" not in plan(states)
+    assert "SinglePartition" not in plan(teacher.timely_feedback(stored))
+    assert "SinglePartition" not in plan(forum.member_posts(stored))
     # The first and last second of all courses are two small aggregates of the course table.
     weeks = plan(teacher.consistent_use_lms(stored, AS_OF))
-    assert all("partial_min(course_start" in part.splitlines()[1] for part in weeks.split("Exchange SinglePartition")[1:])
+    singles = [part.splitlines()[1] for part in weeks.split("Exchange SinglePartition")[1:]]
+    assert all("partial_min(course_start" in x or "partial_collect_list(struct(word" in x for x in singles)
+
+
+def test_students_rows_meet_no_shuffle(spark, stored):
+    """With broadcasts off, the log's rows pass the bitmap of the teachers below the first exchange."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = fixed_plan(spark, lambda: weekly.weekly_interactions(stored, AS_OF))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = text.splitlines()
+    scan = next(i for i, x in enumerate(lines) if "FileScan" in x and "logstore_standard_log" in x)
+    above = lines[:scan][::-1]
+    column = lines[scan].index("FileScan") - 3
+    # upwards from the scan, the operators of its own branch
+    branch = [x for x in above if x[:column].strip(" :") == "" or x.lstrip(" :").startswith("+-")]
+    bits = next(i for i, x in enumerate(branch) if "getbit(" in x)
+    shuffled = next(i for i, x in enumerate(branch) if "Exchange hashpartitioning(userid" in x)
+    assert bits < shuffled
+    assert sum("FileScan" in x and "logstore_standard_log" in x for x in lines) == 1
+
+
+def test_only_follow_ups_are_searched(spark, stored):
+    """One scan reads messages; its filter asks the follow-ups' bitmap before the keywords, and all else reads keys only."""
+    text = fixed_plan(spark, lambda: forum.resolved_chains(stored))
+    reading = [x for x in text.splitlines() if "FileScan" in x and "message" in x]
+    searching = [x for x in text.splitlines() if "Contains" in x and "FileScan" not in x]
+    assert len(reading) == 1 and len(searching) == 1
+    assert searching[0].index("getbit(") < searching[0].index("Contains(")
+    assert not any("Exchange" in x and "message" in x for x in text.splitlines())
+
+
+def test_teacher_events_scan_the_log_once(stored):
+    """While it is built: both parts of its plan read what is staged then."""
+    text = plan(activity.teacher_events(stored, AS_OF))
+    assert "logstore_standard_log" not in text and "Scan ExistingRDD" in text
 
 
 def test_only_teachers_events_are_counted(stored):
