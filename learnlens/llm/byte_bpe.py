@@ -21,20 +21,23 @@ def default_path() -> str:
 
 
 class ByteBPE:
-    """A vocabulary. The texts of special tokens are ordinary text."""
+    """A vocabulary. As in the `tokenizers` library, a special token's text inside a text is that token."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             model = json.load(file)
-        special = {x["id"] for x in model.get("added_tokens", []) if x.get("special")}
+        special = {x["content"]: x["id"] for x in model.get("added_tokens", []) if x.get("special")}
         to_byte = _byte_of_symbol()
-        ranks = {bytes(to_byte[c] for c in token): number for token, number in model["model"]["vocab"].items() if number not in special}
-        self._encoding = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.sizes = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
-        for token, number in ranks.items():
+        ranks = {bytes(to_byte[c] for c in token): number for token, number in model["model"]["vocab"].items() if number not in special.values()}
+        self._encoding = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self._special = tuple(special)
+        self.sizes = np.zeros(max([*ranks.values(), *special.values()]) + 1, dtype=np.int64)
+        for token, number in [*ranks.items(), *((text.encode(), number) for text, number in special.items())]:
             self.sizes[number] = len(token)
 
     def encode(self, text: str) -> np.ndarray:
+        if any(x in text for x in self._special):
+            return np.array(self._encoding.encode(text, allowed_special="all"), dtype=np.uint32)
         return np.array(self._encoding.encode_ordinary(text), dtype=np.uint32)
 
 

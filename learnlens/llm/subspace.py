@@ -3,9 +3,10 @@
 Unit vectors with cosine c or more are at a squared distance of at most 2 - 2c. Vectors are rotated to their principal axes, the axes are dealt
 to `blocks` low-dimensional blocks, and each block gets a share of the squared distance in proportion to its variance. If two
 vectors are near, at least one block keeps to its share. Each block is joined by range: a grid over its leading axes, with
-cells twice as wide as the block's radius, brings together a vector's home cell and the cells its radius reaches. Within a
-cell, pairs that keep to the block's share are verified on the original vectors. A pair counts in the first block that keeps to
-its share, so the union of all blocks holds it once.
+cells twice as wide as the block's radius, brings together a vector's home cell and the cells its radius reaches. Within a cell, the rows at home
+meet each other and the visitors: both sides are halved again and again along the widest axis of the block, with the radius as margin, so that what is
+left to compare comes near what keeps to the share. Such pairs are verified on the original vectors. A pair counts in the first block that
+keeps to its share, so the union of all blocks holds it once.
 
 Equal vectors are one class with a count; cells are cut into tiles, so that a hot cell is spread over many tasks; links are counted
 where they are found, and only a spanning forest of each tile leaves it.
@@ -14,7 +15,7 @@ where they are found, and only a spanning forest of each tile leaves it.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import product
+from itertools import chain, product
 
 import numpy as np
 import pandas as pd
@@ -25,9 +26,10 @@ from learnlens.llm.common import cut
 from learnlens.llm.components import connected_components
 from learnlens.llm.vectors import element, matrix, packed, usable
 
-BLOCKS = 8
+BLOCKS = 4
 AXES = 2
 TILE = 12_288
+LEAF = 1 << 18  # pairs that are compared without another split
 _SLACK = 1e-9
 
 
@@ -96,24 +98,50 @@ def _key(cells: np.ndarray) -> np.ndarray:
     return out
 
 
-def _pairs(y: np.ndarray, home: np.ndarray, side: np.ndarray | None, budget: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows, at least one of them at home, whose block distance keeps to the budget; rows of both sides, if there are two."""
-    order = np.argsort(y[:, -1], kind="stable")
-    y, home = np.ascontiguousarray(y[order], dtype=np.float32), home[order]
-    side = None if side is None else side[order]
-    norm = (y**2).sum(axis=1)
-    reach = float(np.sqrt(budget)) + 1e-5
-    last = y[:, -1]
-    for a in range(0, len(y), 512):
-        b = min(a + 512, len(y))
-        c = int(np.searchsorted(last, last[b - 1] + reach, side="right"))
-        near = norm[a:b, None] + norm[None, a:c] - 2 * (y[a:b] @ y[a:c].T) <= budget + 1e-5
-        i, j = np.nonzero(near)
-        keep = (j > i) & (home[a + i] | home[a + j])
-        if side is not None:
-            keep &= side[a + i] != side[a + j]
-        if keep.any():
-            yield order[a + i[keep]], order[a + j[keep]]
+class _Near:
+    """The rows of a cell in one block, from which pairs within the block's budget are searched."""
+
+    def __init__(self, y: np.ndarray, budget: float):
+        self.y = np.ascontiguousarray(y, dtype=np.float32)
+        norm = (self.y**2).sum(axis=1, keepdims=True)
+        one = np.ones_like(norm)
+        # One product of these gives all squared distances.
+        self.left, self.right = np.concatenate([-2 * self.y, norm, one], axis=1), np.concatenate([self.y, one, norm], axis=1)
+        self.budget, self.reach = np.float32(budget + 1e-5), float(np.sqrt(budget)) + 1e-5
+
+    def pairs(self, left: np.ndarray, right: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of a row of `left` and one of `right`, without common rows; or, without `right`, all pairs within `left`, once each."""
+        todo = [(left, left if right is None else right, right is None)]
+        while todo:
+            a, b, same = todo.pop()
+            axis = None
+            if len(a) * len(b) > LEAF:
+                some = np.concatenate([self.y[a], self.y[b]])
+                low, high = some.min(axis=0), some.max(axis=0)
+                axis = int((high - low).argmax())
+            if axis is None or high[axis] - low[axis] < 3 * self.reach:  # no axis tells enough rows apart
+                yield from self._compared(a, b, same)
+                continue
+            # Rows across the middle that can be near are no further apart than twice the reach, so this comes to an end.
+            middle = np.median(some[:, axis])
+            middle = middle if middle > low[axis] else (low[axis] + high[axis]) / 2
+            x, z = self.y[a, axis], self.y[b, axis]
+            low, high = (a[x < middle], b[z < middle]), (a[x >= middle], b[z >= middle])
+            todo += [(*low, same), (*high, same), (a[(x < middle) & (x > middle - self.reach)], b[(z >= middle) & (z < middle + self.reach)], False)]
+            if not same:
+                todo.append((a[(x >= middle) & (x < middle + self.reach)], b[(z < middle) & (z > middle - self.reach)], False))
+
+    def _compared(self, a: np.ndarray, b: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for i in range(0, len(a), 512):
+            for j in range(i if same else 0, len(b), 2048):
+                some, others = a[i : i + 512], b[j : j + 2048]
+                hit = np.flatnonzero((self.left[some] @ self.right[others].T).ravel() <= self.budget)
+                if len(hit):
+                    p, q = hit // len(others), hit % len(others)
+                    if same:
+                        keep = i + p < j + q
+                        p, q = p[keep], q[keep]
+                    yield some[p], others[q]
 
 
 def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
@@ -203,10 +231,15 @@ def _links_of(classes: DataFrame, kind: str, dim: int, reach: float, cosine: flo
         unit = x / np.sqrt((x**2).sum(axis=1, keepdims=True))
         turned = turn.turn(x)
         own, home = rows["own"].to_numpy(), rows["home"].to_numpy()
-        two = own.min() != own.max()
         links = np.zeros(len(ids), dtype=np.int64)
         lefts, rights = [], []
-        for left, right in _pairs(turned[block], home, own if two else None, float(turn.budget[block])):
+        near = _Near(turned[block], float(turn.budget[block]))
+        one, other = own == own.min(), own == own.max()
+        if own.min() == own.max():
+            met = [near.pairs(np.flatnonzero(home)), near.pairs(np.flatnonzero(home), np.flatnonzero(~home))]
+        else:  # of two chunks only pairs across; those within one are in the tile of that chunk alone
+            met = [near.pairs(np.flatnonzero(one & home), np.flatnonzero(other)), near.pairs(np.flatnonzero(one & ~home), np.flatnonzero(other & home))]
+        for left, right in chain.from_iterable(met):
             for at in range(0, len(left), 1 << 16):
                 i, j = left[at : at + (1 << 16)], right[at : at + (1 << 16)]
                 keep = (unit[i] * unit[j]).sum(axis=1) >= cosine
@@ -219,7 +252,6 @@ def _links_of(classes: DataFrame, kind: str, dim: int, reach: float, cosine: flo
                 np.add.at(links, j, n[i])
                 lefts.append(i)
                 rights.append(j)
-        # A tile of two chunks holds nothing of a pair within one chunk: the tile of that chunk alone does.
         i, j = (np.concatenate(s) if s else np.zeros(0, dtype=np.int64) for s in (lefts, rights))
         linked = np.flatnonzero(links)
         order = np.argsort(ids, kind="stable")

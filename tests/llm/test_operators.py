@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from learnlens.llm import ann, html_text, langid, packing, pieces, quality, queries, simhash, subspace, token_counts, url_filter
@@ -104,12 +105,12 @@ def test_representatives_keep_one_row_of_each_component(documents):
 
 
 def test_packing(documents):
-    rows = AWKWARD + [(100 + k, "some words " * k) for k in range(60)]
+    rows = AWKWARD + [(100 + k, "some words " * k) for k in range(60)] + [(200, "a<|endoftext|>b" * 20)]
     found = packing.pack(documents(rows), capacity=64, group=20).collect()
-    encoder = packing.load(packing.default_path())
+    library = Tokenizer.from_file(packing.default_path())
     expected = Counter()
     for i, text in rows:
-        ids = np.append(encoder.encode(text or ""), 0).astype("<u4")
+        ids = np.array(library.encode(text or "", add_special_tokens=False).ids + [0], dtype="<u4")
         at = packing.cuts(len(ids), 64)
         expected.update((i, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(at, at[1:])))
     assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in found) == expected
@@ -217,7 +218,7 @@ def is_good(i, v):
 
 def test_subspace_join(spark):
     rows = awkward_vectors()
-    for tile, blocks in ((10_000, 8), (20, 4)):
+    for tile, blocks in ((10_000, 8), (20, 4), (60, 2)):
         found = Counter(map(tuple, subspace.near_vectors(vectors(spark, rows), blocks=blocks, tile=tile).collect()))
         unit = [np.array(v, dtype=float) / np.linalg.norm(v) if is_good(i, v) else None for i, v in rows]
         pairs = [(a, b) for a in range(len(rows)) for b in range(a) if unit[a] is not None and unit[b] is not None and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.95]

@@ -8,7 +8,7 @@ import sentencepiece
 from sentencepiece import sentencepiece_model_pb2
 from tokenizers import Tokenizer
 
-from learnlens.llm import byte_bpe, html_text, langid, packing, pieces, quality, simhash, token_counts, url_filter
+from learnlens.llm import byte_bpe, html_text, langid, packing, pieces, quality, simhash, subspace, token_counts, url_filter
 
 WORDS = [" ", "  ", "\n", "a", "bc", "é", "日本", "'s", "12", ".", "\t", " the", "▁", "<s>", "<|endoftext|>", "😀", "ing", "tion", "A", "\u0301", "   ", "\x1c", "\x85", "\r\n"]
 
@@ -21,8 +21,7 @@ def odd_texts(n, seed=1):
 def test_byte_bpe_ids_are_those_of_tokenizers():
     encoder = byte_bpe.load(byte_bpe.default_path())
     library = Tokenizer.from_file(byte_bpe.default_path())
-    library.encode_special_tokens = True
-    texts = odd_texts(2000)
+    texts = odd_texts(2000) + ["a<|endoftext|>b", "<|endoftext|>", "<|endoftext|><|endoftext|> <|endoftext|", "é <|endoftext|>\n\n日本<|ENDOFTEXT|>", "<|endof<|endoftext|>text|>"]
     for text, expected in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
         ids = encoder.encode(text)
         assert ids.tolist() == expected.ids, text
@@ -227,3 +226,21 @@ def test_rules_longest_wins():
     assert trie.find("com", "/x/y") == ("com/x/", "block")
     with pytest.raises(ValueError):
         url_filter.Trie([("maybe", "x", "/")])
+
+
+@pytest.mark.parametrize("leaf", [1, 500, 1 << 18])
+def test_pairs_within_a_budget(monkeypatch, leaf):
+    """Every pair once, whether sides are halved to the end or compared at once; a ball of rows that no axis splits."""
+    monkeypatch.setattr(subspace, "LEAF", leaf)
+    rng = np.random.default_rng(4)
+    y = np.concatenate([rng.standard_normal((250, 5)) * 0.4, 0.02 * rng.standard_normal((60, 5)), np.zeros((5, 5))]).astype(np.float32)
+    budget = 0.06
+    near = subspace._Near(y, budget)
+    far = ((y[:, None].astype(float) - y[None]) ** 2).sum(axis=2)
+    sure = {(i, j) for i, j in zip(*np.nonzero(far <= budget - 2e-5)) if i < j}
+    may = {(i, j) for i, j in zip(*np.nonzero(far <= budget + 3e-5)) if i < j}
+    got = [tuple(sorted(p)) for a, b in near.pairs(np.arange(len(y))) for p in zip(a.tolist(), b.tolist())]
+    assert len(got) == len(set(got)) and sure <= set(got) <= may and len(sure) > 1000
+    left, right = np.arange(0, len(y), 2), np.arange(1, len(y), 2)
+    got = [tuple(sorted(p)) for a, b in near.pairs(left, right) for p in zip(a.tolist(), b.tolist())]
+    assert len(got) == len(set(got)) and {p for p in sure if sum(p) % 2} <= set(got) <= {p for p in may if sum(p) % 2}
