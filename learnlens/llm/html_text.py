@@ -1,15 +1,22 @@
 """Main text of web pages by two-pass block rules.
 
 A page is cut into blocks at block-level tags. The first pass decides each block it can: blocks inside menus, headers, footers, sidebars, notices,
-adverts, forms and reader comments are bad, and so are blocks made of links (inside the page's article only those in lists). Others are good if
-they stand inside the page's article element, hold enough stop words, or are long and hold some; those of middle length with hardly any are
-bad. The rest stays open, as do all short blocks. In the second pass an open block takes the label of its nearest decided neighbour; headings
+adverts, forms and reader comments are bad, and so are blocks made of links (inside the page's article only those of lists made of links). Others are
+good if they stand inside the page's article element, hold enough stop words, or are long and hold some; those of middle length with hardly any are
+bad. The rest stays open, as do short blocks. In the second pass an open block takes the label of its nearest decided neighbour; headings
 look at what follows them first. On a page without a good block the open ones are all the text there is, and stay.
+
+Some elements are bad for sure (by tag, role, or because they are hidden), others only by their name or as a form, and then the text decides. A name tells
+for sure if all its words are of the kind ("related-posts", "comment-list"), and tells little if others stand beside them ("layout-with-sidebar",
+"related-work"): inside the page's article such a name means nothing, and elsewhere not on an element with most of the page's prose. Inside the
+article a section with a name like "discussion" that begins with a heading and holds prose is part of it. Where all that leaves a page without any
+text, no element with most of its prose is bad by name.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -35,6 +42,7 @@ STOP_WORDS = frozenset(
 
 # Element names, roles, and words of class or id names.
 BAD_TAGS = frozenset("nav footer aside form button dialog menu noscript fieldset head audio video canvas object select datalist".split())
+SOFT_TAGS = frozenset(["form", "fieldset"])  # a form may wrap a whole page
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 BAD_WORDS = frozenset(
@@ -80,72 +88,141 @@ _WORD = re.compile(r"[^\W\d_]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-@dataclass
+@dataclass(slots=True)
 class _Open:
     tag: str
-    bad: bool
-    held: int  # bad also for an article inside: 2, or 1 by one word of a compound name, which may be the page's layout
+    bad: bool  # for sure
+    soft: int  # the innermost element around that is bad by its name, or -1
+    held: bool  # bad also for an article inside
     article: bool
     link: bool
     heading: bool
 
 
-@dataclass
+@dataclass(slots=True)
 class _Block:
     text: str
     links: int
     bad: bool
+    soft: int
     article: bool
     heading: bool
-    item: bool
+    item: int  # the list of a list item, or 0
+
+
+@dataclass(slots=True)
+class _Soft:
+    """An element that is bad by its name, or as a form."""
+
+    parent: int
+    sure: bool  # its name tells for sure
+    section: bool  # a section of an article may be named so
 
 
 HELD_WORDS = frozenset("comment comments commentlist replies responses related recommended recommendations sidebar".split())
+#: Beside a bad word in a compound name, these change nothing.
+HELPERS = frozenset(
+    """
+    area article articles bar block bottom box button buttons column container count entry group icon icons inline inner item items left link links list module
+    outer panel placeholder post posts primary reader right row secondary section site slot social stories story thread top unit user users wrap wrapper
+    """.split()
+)
+#: Sections of an article may have these names.
+SECTION_WORDS = frozenset("discussion notice notices search form promotion social announcement disclaimer warning alert alerts recommendations".split())
+
+
+def _words(name: str) -> list[str]:
+    return _NAMES.findall(_CAMEL.sub(" ", name).lower())
 
 
-def _marks(tag: str, attrs: str, in_article: bool) -> tuple[bool, int, bool]:
-    """Whether an element is bad, whether so even for an article inside it, and whether it is named like an article."""
-    named = False
-    held = 2 if tag == "aside" else 0
-    bad = tag in BAD_TAGS or (tag == "header" and not in_article)
+def _marks(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool | None, bool, bool, bool]:
+    """Of an element: bad for sure; bad by its name, and whether that is sure (None: not); held; named like an article; named like a section."""
+    named = held = section = False
+    soft: bool | None = False if tag in SOFT_TAGS else None
+    bad = (tag in BAD_TAGS and tag not in SOFT_TAGS) or (tag == "header" and not in_article)
+    held = tag == "aside"
     if "=" in attrs or "hidden" in attrs:
         for name, a, b, c in _ATTR.findall(attrs):
             name, value = name.lower(), a or b or c
             if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-                words = set(_NAMES.findall(_CAMEL.sub(" ", value).lower()))
-                named |= bool(words & TEXT_WORDS) and tag in ("div", "section", "td")
-                bad |= bool(words & BAD_WORDS) or (not in_article and "header" in words)
-                if words & HELD_WORDS:
-                    alone = any(len(own) == 1 and own <= HELD_WORDS for own in (set(_NAMES.findall(_CAMEL.sub(" ", x).lower())) for x in value.split()))
-                    held = max(held, 2 if alone else 1)
-            elif name in ("class", "id") and tag == "article" and {"comment", "comments"} & set(_NAMES.findall(value.lower())):
-                bad, held = True, 2
+                for token in value.split():
+                    words = _words(token)
+                    if tag in ("div", "section", "td") and not TEXT_WORDS.isdisjoint(words):
+                        named = True
+                    own = [w for w in words if w in BAD_WORDS or (w == "header" and not in_article)]
+                    if own:
+                        sure = all(w in BAD_WORDS or w in HELPERS or w == "header" for w in words)
+                        if sure or not in_article:
+                            section = (soft is None or section) and SECTION_WORDS.issuperset(own)
+                            soft = bool(soft) or sure
+                        held |= sure and not HELD_WORDS.isdisjoint(own)
+            elif name in ("class", "id") and tag == "article" and {"comment", "comments"} & set(_words(value)):
+                bad, held = True, True
             elif name == "role":
                 bad |= value.strip().lower() in BAD_ROLES and not (in_article and value.strip().lower() == "banner")
             elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
                 bad = True
-    return bad, 2 if bad and tag in ("article", "main") else held, named and not bad
-
-
-def blocks(html: str, least_held: int = 1) -> list[_Block]:
-    """The blocks of a page that hold text, in page order, with white space as single blanks.
-
-    An article inside what is `held` by `least_held` or more stays bad; a main element only inside what is held by 2.
-    """
+    return bad, soft, held or (bad and tag in ("article", "main")), named and not bad and soft is None, section
+
+
+class _Stack:
+    """The open elements, and where each kind of them is: no step walks the stack, however deep a page is."""
+
+    def __init__(self) -> None:
+        self.open: list[_Open] = [_Open("", False, -1, False, False, False, False)]
+        self.at: defaultdict[str, list[int]] = defaultdict(list)
+        self.blocks = [0]
+
+    def last(self, tag: str) -> int:
+        places = self.at[tag]
+        return places[-1] if places else 0
+
+    def push(self, element: _Open) -> None:
+        self.at[element.tag].append(len(self.open))
+        if element.tag in BLOCK_TAGS:
+            self.blocks.append(len(self.open))
+        self.open.append(element)
+
+    def cut(self, place: int) -> None:
+        """Close the element at a place and all inside it."""
+        while len(self.open) > place:
+            tag = self.open.pop().tag
+            self.at[tag].pop()
+            if tag in BLOCK_TAGS:
+                self.blocks.pop()
+
+    def close(self, tag: str) -> None:
+        place = self.last(tag)
+        if place and (tag in BLOCK_TAGS or place > self.blocks[-1]):  # an inline end tag closes nothing outside its block
+            self.cut(place)
+
+    def imply(self, tag: str) -> None:
+        ends, until = IMPLIED[tag]
+        place, bound = max(map(self.last, ends)), max(map(self.last, until), default=0)
+        if tag not in ("body", "li", "dd", "dt", "tr", "td", "th"):
+            bound = max(bound, self.blocks[-1])
+        if place and place >= bound:
+            self.cut(place)
+
+
+def blocks(html: str) -> tuple[list[_Block], list[_Soft]]:
+    """The blocks of a page that hold text, in page order, with white space as single blanks; and the elements that are bad by name."""
     out: list[_Block] = []
-    stack: list[_Open] = []
+    softs: list[_Soft] = []
+    stack = _Stack()
     parts: list[str] = []
     linked: list[str] = []
-    breaks = 0
-    root = _Open("", False, 0, False, False, False)
+    breaks = lists = 0
+    list_of: list[int] = []  # the numbers of the open lists
 
     def end() -> None:
         nonlocal breaks
         text = " ".join("".join(parts).split())
         if text:
-            top = stack[-1] if stack else root
+            top = stack.open[-1]
             links = len(" ".join("".join(linked).split()))
-            out.append(_Block(text, links, top.bad, top.article, top.heading, links > 0 and any(x.tag == "li" for x in stack[-8:])))
+            item = stack.last("li") > max(stack.last("article"), stack.last("main"))
+            out.append(_Block(text, links, top.bad, top.soft, top.article, top.heading, (list_of[-1] if list_of else -1) if item else 0))
         parts.clear()
         linked.clear()
         breaks = 0
@@ -157,7 +234,7 @@ def blocks(html: str, least_held: int = 1) -> list[_Block]:
             if breaks and text.strip():
                 breaks = 0
             parts.append(text)
-            if stack and stack[-1].link:
+            if stack.open[-1].link:
                 linked.append(text)
 
     at = 0
@@ -178,38 +255,35 @@ def blocks(html: str, least_held: int = 1) -> list[_Block]:
         if tag in BLOCK_TAGS:
             end()
         if m["close"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if tag not in BLOCK_TAGS and stack[k].tag in BLOCK_TAGS:
-                    break  # an inline end tag closes nothing outside its block
+            stack.close(tag)
+            del list_of[len(stack.at["ul"]) + len(stack.at["ol"]) :]
             continue
         if tag in VOID:
             continue
         if tag in IMPLIED:
-            ends, until = IMPLIED[tag]
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag in ends:
-                    del stack[k:]
-                    break
-                if stack[k].tag in until or (stack[k].tag in BLOCK_TAGS and tag not in ("body", "li", "dd", "dt", "tr", "td", "th")):
-                    break
-        top = stack[-1] if stack else root
-        bad, held, named = _marks(tag, m["attrs"], top.article)
-        main = tag == "main" or re.search(r"role\s*=\s*[\"']?main\b", m["attrs"]) is not None
-        if main and top.held < 2 or tag == "article" and top.held < least_held:  # an element left open before the article does not swallow it
-            stack.append(_Open(tag, bad, held, not bad, False, False))
-        elif tag not in BLOCK_TAGS and len(stack) > 4096:
-            continue
+            stack.imply(tag)
+            del list_of[len(stack.at["ul"]) + len(stack.at["ol"]) :]
+        top = stack.open[-1]
+        bad, soft, held, named, section = _marks(tag, m["attrs"], top.article)
+        number = top.soft
+        if soft is not None:
+            softs.append(_Soft(top.soft, soft, section and top.article))
+            number = len(softs) - 1
+        main = tag in ("main", "article") or re.search(r"role\s*=\s*[\"']?main\b", m["attrs"]) is not None
+        if main and not top.held:  # an element left open before the article does not swallow it
+            stack.push(_Open(tag, bad, -1 if soft is None else number, held, not bad, False, False))
         else:
             heading = tag in HEADINGS or (top.heading and tag not in BLOCK_TAGS)
             # Inside an article, of its own header only the headings belong to the text.
             aside = tag == "header" and top.article
-            stack.append(_Open(tag, (top.bad and not (heading and top.tag in ("header", "hgroup") and top.article and not top.held)) or bad or aside, max(top.held, held), top.article or (named and not top.bad), top.link or tag == "a", heading))
+            own = top.bad and not (heading and top.tag in ("header", "hgroup") and top.article and not top.held)
+            stack.push(_Open(tag, own or bad or aside, number, top.held or held, top.article or (named and not top.bad and top.soft < 0), top.link or tag == "a", heading))
+        if tag in ("ul", "ol"):
+            lists += 1
+            list_of.append(lists)
     put(html[at:])
     end()
-    return out
+    return out, softs
 
 
 def _stop_share(text: str) -> float:
@@ -217,15 +291,23 @@ def _stop_share(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
-def _first_label(block: _Block, marked: bool) -> int | None:
-    """1 good, 0 bad, None open."""
+def _prose(block: _Block) -> bool:
+    n = len(block.text)
+    if n < SHORT or block.links > LINK_SHARE * n:
+        return False
+    stops = _stop_share(block.text)
+    return stops >= STOP_SHARE or (n >= LONG and stops >= SOME_STOPS)
+
+
+def _first_label(block: _Block, bad: bool, marked: bool, menu: bool) -> int | None:
+    """1 good, 0 bad, None open. `menu`: an item of a list made of links."""
     n = len(block.text)
-    if block.bad or (marked and not block.article):
+    if bad or (marked and not block.article):
         return 0
     if block.links > LINK_SHARE * n:
-        return None if marked and not block.item else 0
+        return None if marked and not menu else 0
     if n < SHORT:
-        return None
+        return 1 if marked and not block.heading and not menu else None
     if marked:
         return 1
     stops = _stop_share(block.text)
@@ -234,24 +316,94 @@ def _first_label(block: _Block, marked: bool) -> int | None:
     return 0 if n < LONG and stops < SOME_STOPS else None
 
 
-def _labelled(found: list[_Block]) -> tuple[list[_Block], bool, list[int | None]]:
-    marked = any(b.article and not b.bad for b in found)
-    return found, marked, [_first_label(b, marked) for b in found]
+class _Page:
+    """The blocks of a page and their labels."""
+
+    def __init__(self, html: str):
+        self.found, self.softs = blocks(html)
+        in_lists: Counter[int] = Counter()
+        for b in self.found:
+            in_lists[b.item] += 1 if b.links > LINK_SHARE * len(b.text) else -1
+        self.menus = {k for k, n in in_lists.items() if k and n > 0}  # more items are links than not
+        self.excused = [False] * len(self.softs)
+        self._prose: list[int] | None = None
+        self.label: list[int | None] = []
+        self.marked = False
+
+    def prose(self) -> list[int]:
+        """The characters of prose in each block, 0 in blocks that are bad for sure."""
+        if self._prose is None:
+            self._prose = [len(b.text) if not b.bad and _prose(b) else 0 for b in self.found]
+        return self._prose
+
+    def inside(self) -> list[int]:
+        """The prose inside each element that is bad by name."""
+        total = [0] * len(self.softs)
+        for b, n in zip(self.found, self.prose()):
+            if b.soft >= 0:
+                total[b.soft] += n
+        for k in range(len(total) - 1, -1, -1):
+            if self.softs[k].parent >= 0:
+                total[self.softs[k].parent] += total[k]
+        return total
+
+    def in_soft(self, sure: bool = False) -> list[bool]:
+        """Whether each of those elements, or one around it, is bad (`sure`: by a name that tells for sure)."""
+        out: list[bool] = []
+        for k, soft in enumerate(self.softs):
+            out.append((not self.excused[k] and (soft.sure or not sure)) or (soft.parent >= 0 and out[soft.parent]))
+        return out
+
+    def classify(self) -> None:
+        held = self.in_soft()
+        bad = [b.bad or (b.soft >= 0 and held[b.soft]) for b in self.found]
+        self.marked = any(b.article and not x for b, x in zip(self.found, bad))
+        self.label = [_first_label(b, x, self.marked, b.item in self.menus) for b, x in zip(self.found, bad)]
+        self.own = [k for k, b in enumerate(self.found) if not self.marked or (b.article and not bad[k])]
+
+    def excuse(self) -> None:
+        """Sections of the article by their text; and elements with uncertain names that hold most of the prose outside the certain ones."""
+        if any(s.section for s in self.softs):
+            inside, first = self.inside(), {}
+            for b in reversed(self.found):
+                k = b.soft
+                if k >= 0:
+                    first[k] = b
+            for k, soft in enumerate(self.softs):
+                if soft.section and inside[k] and k in first and first[k].heading:
+                    self.excused[k] = True
+        if any(not s.sure for s in self.softs):
+            sure = self.in_soft(True)
+            total = sum(n for b, n in zip(self.found, self.prose()) if b.soft < 0 or not sure[b.soft])
+            kept = [0 if b.soft >= 0 and sure[b.soft] else n for b, n in zip(self.found, self.prose())]
+            inside = [0] * len(self.softs)
+            for b, n in zip(self.found, kept):
+                if b.soft >= 0:
+                    inside[b.soft] += n
+            for k in range(len(inside) - 1, -1, -1):
+                if self.softs[k].parent >= 0:
+                    inside[self.softs[k].parent] += inside[k]
+                if not self.softs[k].sure and 2 * inside[k] > total:
+                    self.excused[k] = True
 
 
 def main_text(html: str | None) -> str:
     """The article of a page, one block a line. No html: an empty text."""
     if not html:
         return ""
-    found, marked, label = _labelled(blocks(html))
-    if 1 not in label:  # the page's article may stand in a layout with a name like "layout-with-sidebar"
-        again = _labelled(blocks(html, 2))
-        if again[1]:
-            found, marked, label = again
+    page = _Page(html)
+    page.excuse()
+    page.classify()
+    if page.softs and all(x == 0 for x in page.label):
+        total = sum(page.prose())
+        page.excused = [x or 2 * n > total for x, n in zip(page.excused, page.inside())]
+        page.classify()
+    found, label = page.found, page.label
     if 1 not in label:  # nothing tells the text from the rest
-        return "\n".join(b.text for b, x in zip(found, label) if x is None)
+        rest = [k for k, x in enumerate(label) if x is None] or [k for k, b in enumerate(found) if b.soft >= 0 and not b.bad and b.links <= LINK_SHARE * len(b.text)]
+        return "\n".join(found[k].text for k in rest)
     # Second pass. Of a marked article only its own blocks are neighbours.
-    own = [k for k, b in enumerate(found) if not marked or (b.article and not b.bad)]
+    own = page.own
     before: dict[int, int] = {}
     after: dict[int, int] = {}
     for order, near in ((own, before), (own[::-1], after)):

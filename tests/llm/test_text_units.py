@@ -244,3 +244,57 @@ def test_pairs_within_a_budget(monkeypatch, leaf):
     left, right = np.arange(0, len(y), 2), np.arange(1, len(y), 2)
     got = [tuple(sorted(p)) for a, b in near.pairs(left, right) for p in zip(a.tolist(), b.tolist())]
     assert len(got) == len(set(got)) and {p for p in sure if sum(p) % 2} <= set(got) <= {p for p in may if sum(p) % 2}
+
+
+PROSE = "The dog was in the house of the man and it was not for us to say that he is on his own with all of it in the end."
+MORE = "It is the one that we had on the way to the sea, and they were with us for most of the day and the night in the rain."
+
+
+@pytest.mark.parametrize("section", ['<section id="discussion">', '<section id="related-work">', '<div class="social-history">', '<section class="sec" id="search-strategy">', '<section id="notice">'])
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_sections_of_an_article_keep_their_text(tag, section):
+    end = "section" if section.startswith("<section") else "div"
+    page = f"<body><{tag}><h1>Head</h1><p>{PROSE}</p>{section}<h2>Part</h2><p>{MORE}</p></{end}></{tag}></body>"
+    assert html_text.main_text(page) == f"Head\n{PROSE}\nPart\n{MORE}"
+
+
+@pytest.mark.parametrize("name", ["comments", "reader-comments", "comment-list", "related-posts", "share-buttons", "newsletter-signup", "ad-slot"])
+def test_bad_parts_of_an_article_go(name):
+    page = f'<body><article><h1>Head</h1><p>{PROSE}</p><div class="{name}"><h2>Part</h2><p>{MORE}</p><p>{PROSE}</p></div></article></body>'
+    assert html_text.main_text(page) == f"Head\n{PROSE}"
+
+
+@pytest.mark.parametrize("wrapper", ['div class="layout-with-sidebar"', 'div class="container has-sidebar"', 'div class="page form-layout"', 'form id="aspnetForm" action="x"', 'div class="content-sidebar-wrap"', 'div class="widget"', 'form class="form"'])
+def test_wrappers_of_a_whole_page_are_not_bad(wrapper):
+    end = wrapper.split()[0]
+    inner = f"""<nav><a href="/">Home</a></nav><h1>Head</h1><p>{PROSE}</p><p>{MORE}</p><div class="sidebar"><p>{MORE}</p></div><div class="comments"><p>{PROSE}</p></div><footer>&copy; us</footer>"""
+    assert html_text.main_text(f"<body><{wrapper}>{inner}</{end}></body>") == f"Head\n{PROSE}\n{MORE}"
+    notice = f'<p>Please note that the site is down for the night and that we are on it.</p><{wrapper}>{inner.replace("<h1>", "<article><h1>").replace("<div", "</article><div", 1)}</{end}>'
+    assert html_text.main_text(f"<body>{notice}</body>") == f"Head\n{PROSE}\n{MORE}"
+
+
+def test_items_next_to_links_stay():
+    """In an article's list a link beside plain items is text; a list of links is not."""
+    mixed = "<ul><li>Plain item</li><li><a href='x'>A linked item</a></li><li>Another one</li></ul>"
+    menu = "<ul><li><a href='x'>One more</a></li><li><a href='y'>And more</a></li></ul>"
+    assert html_text.main_text(f"<article><p>{PROSE}</p>{mixed}<p>{MORE}</p>{menu}</article>") == f"{PROSE}\nPlain item\nA linked item\nAnother one\n{MORE}"
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    for page in (
+        "<div>" * 20_000 + f"<p>{PROSE}</p>" + "</i></li></td></p>" * 20_000,
+        "<div class='sidebar'><li>" * 10_000 + "x" + "</div>" * 5_000 + "</div>" * 5_000 + f"<article>{PROSE}",
+        "<i>" * 20_000 + f"<a>{PROSE}" + "</b>" * 20_000,
+        "<p><b><tr><td><option>" * 4_000 + PROSE,
+    ):
+        began = time.perf_counter()
+        assert PROSE in html_text.main_text(page) or "sidebar" in page or "<a>" in page
+        assert time.perf_counter() - began < 1.5
+
+
+def test_blocks_deep_inside_keep_their_links():
+    """Headings and links count at any depth."""
+    page = "<span>" * 6_000 + f"<article><h2>Head</h2><p>{PROSE}</p><ul><li><a>only a link</a></li><li><a>and another link</a></li></ul></article>"
+    assert html_text.main_text(page) == f"Head\n{PROSE}"
