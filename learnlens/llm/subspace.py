@@ -28,7 +28,7 @@ from learnlens.llm.vectors import element, matrix, packed, usable
 
 BLOCKS = 4
 AXES = 2
-TILE = 12_288
+TILE = 49_152
 LEAF = 1 << 18  # pairs that are compared without another split
 _SLACK = 1e-9
 

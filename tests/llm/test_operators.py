@@ -243,12 +243,12 @@ def test_double_vectors_and_empty(spark):
     assert ann.search(rows.limit(0), rows.limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("block", [10_000, 50])
-def test_neighbours(spark, block):
+@pytest.mark.parametrize("smallest,largest,query_block", [(512, 10_000, 1000), (10, 50, 7)])
+def test_neighbours(spark, smallest, largest, query_block):
     rows = awkward_vectors()
     data = vectors(spark, rows)
     found = defaultdict(list)
-    for r in ann.search(data, data.where("vec_id % 10 = 0"), k=5, block=block).orderBy("query_id", "rank").collect():
+    for r in ann.search(data, data.where("vec_id % 10 = 0"), k=5, smallest=smallest, largest=largest, query_block=query_block).orderBy("query_id", "rank").collect():
         found[r.query_id].append((r.score, r.vec_id))
     good = [(i, np.array(v, dtype=float)) for i, v in rows if is_good(i, v) and len(v) == 16]
     asked = {i: v for i, v in good if i % 10 == 0}
