@@ -138,7 +138,11 @@ def activity_seconds(
 
     Every user of the log is kept here; the roster is joined to the totals, so the log is never shuffled for it.
     """
-    events = clip_to_course(log_between(t, course_ids, start, end), course_windows(t, course_ids, open_end_at))
+    return reduced_seconds(clip_to_course(log_between(t, course_ids, start, end), course_windows(t, course_ids, open_end_at)))
+
+
+def reduced_seconds(events: DataFrame) -> DataFrame:
+    """Clipped events as one row per (student_id, course_id, second), with the kind of the second's last event by id."""
     seconds = (
         events.select("userid", "course_id", "timecreated", "id", event_kind().alias("kind"))
         .groupBy(F.col("userid").alias("student_id"), "course_id", "timecreated")

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from learnlens import oracle
 from learnlens.functions.gaps import gap_or_null, gap_or_zero, least_gap
-from learnlens.functions.periods import TimeRange, reporting_window
+from learnlens.functions.periods import DAY, TimeRange, reporting_window
 from learnlens.functions.text import IMPROVEMENT_KEYWORDS, RESOLUTION_KEYWORDS, contains_any
-from learnlens.operators import activity, assessment, forum, logins, roster, uniqueness, weekly
+from learnlens.operators import activity, assessment, forum, logins, roster, summaries, uniqueness, weekly
 from learnlens.plans import student, teacher
 from learnlens.plans.dashboard import dashboard, refresh
 from learnlens.plans.registry import STUDENT, TEACHER
@@ -122,6 +122,15 @@ def _registered() -> dict[str, tuple[Build, str]]:
         entries[f"{name}_open_end"] = (
             _student(name, time_range="monthly", open_end_at=AS_OF), oracle.with_open_end(oracle.student_indicator(name, time_range="monthly"))
         )
+    # Refreshed from day summaries of all days before the clock's, as a caller stores them; the SQL is that of the raw form.
+    for name in CAPPED:
+        for period in ("weekly", "monthly", "yearly"):
+            entries[f"{name}_refresh_{period}_from_summaries"] = (
+                lambda s, t, name=name, period=period: refresh(
+                    s, t, name, SOME_COURSES, period, AS_OF, summaries=summaries.day_summaries(t, 0, AS_OF // DAY, student.SESSION_CAP)
+                ),
+                oracle.in_courses(oracle.bar_series(name, time_range=period), SOME_COURSES),
+            )
     for name in CAPPED:
         entries[f"{name}_long_cap"] = (
             _student(name, time_range="monthly", sessioncap=LONG_CAP),

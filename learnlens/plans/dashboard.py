@@ -98,7 +98,14 @@ def refresh(
     filter_value: str,
     as_of: int,
     configured: Mapping[str, Any] | None = None,
+    summaries: DataFrame | None = None,
 ) -> DataFrame:
-    """One chart again with another filter value. Unknown values and invalid course ids are errors."""
+    """One chart again with another filter value. Unknown values and invalid course ids are errors.
+
+    With `summaries`, stored day summaries of the configured session cap, capped times are merged from them and the log is read for the
+    days at the period's ends only.
+    """
     arguments = params_for_filter(indicator_id, filter_value, configured)
+    if summaries is not None:
+        arguments["summaries"] = summaries
     return chart_series(spark, t, indicator_id, as_of, course_ids_of(course_ids), **arguments)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from learnlens.functions.gaps import gap_or_null, gap_or_zero, least_gap
 from learnlens.functions.periods import reporting_window
-from learnlens.operators import activity, assessment, counts, facts, logins
+from learnlens.operators import activity, assessment, counts, facts, logins, summaries
 from learnlens.operators.numbering import BY_COURSE_STUDENT, BY_STUDENT, BY_STUDENT_COURSE, number_rows
 from learnlens.operators.roster import course_roster
 from learnlens.plans.settings import SETTINGS
@@ -23,7 +23,8 @@ SESSION_CAP = SETTINGS["sessioncap"].default
 class StudentParams:
     """Arguments shared by the student indicators. `as_of` is the clock; nothing reads the system time.
 
-    `shared` takes the totals from the two passes of `facts`, for a job that holds most of the indicators.
+    `summaries` are stored day summaries (`operators.summaries`) of the same session cap, which cover the whole days of the period: capped times are merged
+    from them, and the log is read for the days at the period's ends only. `shared` takes the totals from the two passes of `facts`, for a job that holds most of the indicators.
     """
 
     as_of: int
@@ -33,6 +34,7 @@ class StudentParams:
     tz: str = "UTC"
     open_end_at: int | None = None
     shared: bool = False
+    summaries: DataFrame | None = None
 
     @property
     def window(self) -> tuple[int, int]:
@@ -56,17 +58,23 @@ def _seconds(t: LearningTables, p: StudentParams) -> DataFrame:
     return events(t, *p.window, p.course_ids, p.open_end_at)
 
 
+def _capped(t: LearningTables, p: StudentParams, bit: int, gap: activity.Gap) -> DataFrame:
+    if p.summaries is not None:
+        days = summaries.period_days(t, p.summaries, *p.window, p.sessioncap, p.course_ids, p.open_end_at)
+        return summaries.merged_totals(days, bit, p.sessioncap)
+    return activity.capped_totals(_seconds(t, p), bit, gap, p.sessioncap)
+
+
 def _active_time(t: LearningTables, p: StudentParams) -> DataFrame:
-    return activity.capped_totals(_seconds(t, p), activity.ACTIVE, gap_or_null, p.sessioncap)
+    return _capped(t, p, activity.ACTIVE, gap_or_null)
 
 
 def _forum_time(t: LearningTables, p: StudentParams) -> DataFrame:
-    totals = activity.capped_totals(_seconds(t, p), activity.FORUM_VIEW, gap_or_zero, p.sessioncap)
-    return totals.filter("saw_forum")
+    return _capped(t, p, activity.FORUM_VIEW, gap_or_zero).filter("saw_forum")
 
 
 def _object_time(t: LearningTables, p: StudentParams) -> DataFrame:
-    return activity.capped_totals(_seconds(t, p), activity.LEARNING_OBJECT_VIEW, least_gap, p.sessioncap)
+    return _capped(t, p, activity.LEARNING_OBJECT_VIEW, least_gap)
 
 
 def _assignment_time(t: LearningTables, p: StudentParams) -> DataFrame:
@@ -182,7 +190,7 @@ def login_frequency(t: LearningTables, as_of: int, course_ids: Sequence[int] | N
 
 
 def student_active_time(t: LearningTables, as_of: int, course_ids: Sequence[int] | None = None, **options) -> DataFrame:
-    """Capped seconds after active events. Options: time_range, sessioncap, tz, open_end_at."""
+    """Capped seconds after active events. Options: time_range, sessioncap, tz, open_end_at, summaries."""
     return _indicator(t, "student_active_time", StudentParams(as_of, course_ids, **options))
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from learnlens.functions.gaps import least_gap
-from learnlens.operators import activity, uniqueness
+from learnlens.operators import activity, summaries, uniqueness
 from learnlens.operators.logins import login_course_access
 from learnlens.operators.numbering import BY_COURSE_STUDENT, BY_STUDENT, BY_STUDENT_COURSE, number_rows, number_within, splitters, with_block
 from learnlens.plans import student
@@ -171,6 +171,27 @@ def test_indicators_from_shared_passes(spark, seed):
     assert seen > 40
 
 
+# -- day summaries
+
+
+@pytest.mark.parametrize("as_of", [AS_OF, 8 * DAY, 8 * DAY - 1, 6 * DAY + 12_345, 5])
+def test_refresh_from_day_summaries(spark, tmp_path, as_of):
+    """Stored in two steps, the second with the new days only; every period, whether it begins and ends at midnight, just before, or inside a day."""
+    t = tables(spark, COURSES, ENROLMENTS, busy_log(3, 400))
+    cap, today = 30_000, as_of // DAY
+    summaries.day_summaries(t, 0, today // 2, cap).write.parquet(f"{tmp_path}/days")
+    summaries.day_summaries(t, today // 2, today, cap).write.mode("append").parquet(f"{tmp_path}/days")
+    stored = spark.read.parquet(f"{tmp_path}/days")
+    assert stored.count() == stored.select("student_id", "course_id", "day").distinct().count()
+    for period in ("hourly", "daily", "weekly", "monthly", "yearly"):
+        window = student.StudentParams(as_of, time_range=period).window
+        seconds = activity.activity_seconds(t, *window)
+        days = summaries.period_days(t, stored, *window, cap)
+        for bit in (activity.ACTIVE, activity.FORUM_VIEW, activity.LEARNING_OBJECT_VIEW):
+            raw = {(r.student_id, r.course_id): (r.total or 0, r.saw_forum) for r in activity.capped_totals(seconds, bit, least_gap, cap).collect()}
+            assert {(r.student_id, r.course_id): (r.total, r.saw_forum) for r in summaries.merged_totals(days, bit, cap).collect()} == raw, (period, bit)
+
+
 # -- row numbers
 
 

@@ -4,7 +4,8 @@ import re
 
 import pytest
 
-from learnlens.operators import activity, forum, weekly
+from learnlens.functions.periods import DAY
+from learnlens.operators import activity, forum, summaries, weekly
 from learnlens.plans import catalog, student, teacher
 from learnlens.plans.dashboard import dashboard
 from learnlens.plans.registry import STUDENT
@@ -146,6 +147,20 @@ def test_numbering_an_aggregate_reads_the_log_once(spark, stored):
     assert len(log_scans(fixed_plan(spark, lambda: student.time_spent_forums(stored, AS_OF)))) == 1
 
 
+def test_summaries_bound_the_scan(spark, stored, tmp_path):
+    """New days only when they are extended; at a refresh only what lies before the first and after the last whole day."""
+    summaries.day_summaries(stored, 19_000, AS_OF // DAY, 1800).write.parquet(f"{tmp_path}/days")
+    (scan,) = log_scans(fixed_plan(spark, lambda: summaries.day_summaries(stored, 19_751, 19_753, 1800)))
+    assert f"GreaterThanOrEqual(timecreated,{19_751 * DAY})" in scan and f"LessThanOrEqual(timecreated,{19_753 * DAY - 1})" in scan
+    days, noon = spark.read.parquet(f"{tmp_path}/days"), AS_OF - DAY // 2
+    plans = fixed_plan(spark, lambda: student.student_active_time(stored, noon, time_range="monthly", summaries=days))
+    (scan,) = log_scans(plans)
+    start = student.StudentParams(noon, time_range="monthly").window[0]
+    for bound in (f"GreaterThanOrEqual(timecreated,{start})", f"LessThanOrEqual(timecreated,{(start // DAY + 1) * DAY - 1})", f"GreaterThanOrEqual(timecreated,{AS_OF - DAY})", f"LessThanOrEqual(timecreated,{noon})"):
+        assert bound in scan
+    assert "Or(And(" in scan and "last_kind" in plans
+
+
 def exchanges(spark, build) -> int:
     """Shuffles of a plan, those that it shares counted once."""
     return sum(bool(re.search(r"(?<!Reused)Exchange (hash|range|Single|Round)", x)) for x in fixed_plan(spark, build).splitlines() if "ReusedExchange" not in x)
