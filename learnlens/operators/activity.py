@@ -18,7 +18,7 @@ from learnlens.functions.periods import DAY
 from learnlens.functions.staging import stage
 from learnlens.operators.membership import key_bitmap, may_hold
 from learnlens.operators.roster import course_roster, course_windows, in_courses, teacher_roster
-from learnlens.sources.tables import LearningTables
+from learnlens.sources.tables import LearningTables, between_times
 
 COURSE_VIEWED = r"\core\event\course_viewed"
 LEARNING_OBJECT_VIEWS = tuple(
@@ -49,8 +49,7 @@ def event_kind() -> Column:
 
 def log_between(t: LearningTables, course_ids: Sequence[int] | None, start: int, end: int) -> DataFrame:
     """Log rows of the chosen courses in the closed reporting window; both filters reach the scan."""
-    log = t.logstore_standard_log.filter(F.col("timecreated").between(start, end))
-    return in_courses(log, "courseid", course_ids)
+    return in_courses(between_times(t.logstore_standard_log, start, end), "courseid", course_ids)
 
 
 def clip_to_course(log: DataFrame, windows: DataFrame) -> DataFrame:
@@ -88,10 +87,8 @@ def teacher_log(t: LearningTables, as_of: int, teachers: DataFrame, course_ids:
     meet no shuffle also where teachers are too many to broadcast.
     """
     windows = course_windows(t, course_ids, open_end_at=as_of)
-    log = in_courses(t.logstore_standard_log, "courseid", course_ids).filter(
-        (F.col("timecreated") >= windows.agg(F.min("course_start")).scalar())
-        & (F.col("timecreated") < windows.agg(F.max("course_end")).scalar())
-    )
+    span = (windows.agg(F.min("course_start")).scalar(), windows.agg(F.max("course_end") - 1).scalar())
+    log = in_courses(between_times(t.logstore_standard_log, *span), "courseid", course_ids)
     log = log.filter(may_hold(key_bitmap(teachers, ("teacher_id", "course_id")), ("userid", "courseid"))).select(
         F.col("id").alias("event_id"), "userid", "courseid", F.col("timecreated").alias("event_time")
     )

@@ -10,6 +10,7 @@ the log: at most two days are scanned, whatever the period.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from learnlens.functions.gaps import least_gap
 from learnlens.functions.periods import DAY
 from learnlens.operators.activity import ACTIVE, ANY_FORUM_VIEW, FORUM_VIEW, LEARNING_OBJECT_VIEW, clip_to_course, log_between, reduced_seconds
 from learnlens.operators.roster import course_windows, in_courses
-from learnlens.sources.tables import LearningTables
+from learnlens.sources.tables import LearningTables, time_bounds
 
 _INSIDE = {ACTIVE: "active_inside", FORUM_VIEW: "forum_inside", LEARNING_OBJECT_VIEW: "object_inside"}
 
@@ -65,9 +66,10 @@ def period_days(
     """Summary rows of the closed period: whole days as stored, the rest of it (less than a day at either end) from the log."""
     first, until = whole_days(start, end)
     inside = in_courses(stored.filter((F.col("day") >= first) & (F.col("day") < until)), "course_id", course_ids)
-    time = F.col("timecreated")
-    edges: Column = time.between(start, min(first * DAY - 1, end)) | time.between(max(until * DAY, start), end)
-    log = in_courses(t.logstore_standard_log.filter(edges), "courseid", course_ids)
+    time, whole = F.col("timecreated"), t.logstore_standard_log
+    ends = ((start, min(first * DAY - 1, end)), (max(until * DAY, start), end))
+    edges = reduce(Column.__or__, (time_bounds(whole, a, b) & time.between(a, b) for a, b in ends))
+    log = in_courses(whole.filter(edges), "courseid", course_ids)
     rest = days_of(reduced_seconds(clip_to_course(log, course_windows(t, course_ids, open_end_at))), cap)
     return inside.select(*rest.columns).unionByName(rest)
 

@@ -10,7 +10,7 @@ from learnlens.plans import catalog, student, teacher
 from learnlens.plans.dashboard import dashboard
 from learnlens.plans.registry import STUDENT
 from learnlens.sources.sample import AS_OF, sample_tables
-from learnlens.sources.tables import SCHEMAS, LearningTables
+from learnlens.sources.tables import SCHEMAS, LearningTables, store_log_by_day
 
 ROOT = "/root/testdata/sf0.001"
 QUERIES = catalog.queries()
@@ -161,6 +161,42 @@ def test_summaries_bound_the_scan(spark, stored, tmp_path):
     assert "Or(And(" in scan and "last_kind" in plans
 
 
+@pytest.fixture(scope="module")
+def by_day(spark, stored, tmp_path_factory):
+    """The stored tables with the log by day, written in two steps."""
+    folder = tmp_path_factory.mktemp("by_day")
+    for name in SCHEMAS:
+        if name != "logstore_standard_log":
+            getattr(stored, name).write.parquet(f"{folder}/{name}.parquet")
+    log, path = stored.logstore_standard_log, f"{folder}/logstore_standard_log.parquet"
+    store_log_by_day(log.filter(f"timecreated < {AS_OF - 5 * DAY}"), path, 2)
+    store_log_by_day(log.filter(f"timecreated >= {AS_OF - 5 * DAY}"), path, mode="append")
+    return LearningTables.from_parquet(spark, str(folder), log_by_day=True)
+
+
+def test_a_log_by_day_gives_the_same_results(stored, by_day):
+    assert by_day.logstore_standard_log.drop("log_day").exceptAll(stored.logstore_standard_log).isEmpty()
+    for build in (
+        lambda t: student.student_active_time(t, AS_OF),
+        lambda t: student.time_spent_assignments(t, AS_OF, time_range="monthly"),
+        lambda t: student.login_frequency(t, AS_OF),
+        lambda t: weekly.weekly_interactions(t, AS_OF),
+        lambda t: activity.windowed_log(t, AS_OF - DAY, AS_OF),
+        lambda t: student.time_spent_lo(t, AS_OF - 999, summaries=summaries.day_summaries(t, 0, AS_OF // DAY - 1, 1800)),
+    ):
+        results = [sorted(map(tuple, build(t).collect())) for t in (stored, by_day)]
+        assert results[0] == results[1] and results[0]
+
+
+def test_time_bounds_choose_folders(by_day):
+    scan = next(x for x in plan(student.student_active_time(by_day, AS_OF)).splitlines() if "FileScan" in x and "timecreated" in x)
+    chosen = re.search(r"PartitionFilters: \[([^\]]*)", scan).group(1)
+    assert f">= {AS_OF // DAY - 7})" in chosen and f"<= {AS_OF // DAY})" in chosen
+    # the span of the courses, known at run time
+    scan = next(x for x in plan(teacher.consistent_use_lms(by_day, AS_OF)).splitlines() if "FileScan" in x and "timecreated" in x)
+    assert "PartitionFilters: [isnotnull(log_day" in scan and "ubquery" in scan[scan.index("PartitionFilters"):scan.index("PushedFilters")]
+
+
 def exchanges(spark, build) -> int:
     """Shuffles of a plan, those that it shares counted once."""
     return sum(bool(re.search(r"(?<!Reused)Exchange (hash|range|Single|Round)", x)) for x in fixed_plan(spark, build).splitlines() if "ReusedExchange" not in x)
