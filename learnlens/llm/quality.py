@@ -22,6 +22,7 @@ from learnlens.llm.common import bounded_batches, cut, held_out, slices, texts
 #: Labelled rows that a model is fitted on, at most: the first in the order of a hash of their id.
 SAMPLE = 20_000
 BINS = 48
+#: `word_length` counts a word's length up to 64 (base64, URLs and the like would drown the others), `top_word` is 0 up to 20 words, where every word is frequent.
 FEATURES = (
     "log_words", "word_length", "distinct_words", "top_word", "repeated_next", "bare_words", "short_words", "long_words", "letters",
     "capitals", "marks", "digits", "spaces", "log_line_words", "repeated_lines", "entropy",

@@ -299,6 +299,36 @@ def test_empty_tables(spark, documents):
         langid.identified_documents(none), quality.good_documents(none, labels), simhash.representatives(none),
     ):
         assert result.collect() == []
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html_text.extract(pages).collect() == [] and url_filter.judge(pages, [("block", "org", "/")]).collect() == []
+
+
+def test_texts_in_no_learned_language_go(documents):
+    rows = [(k, "the house of the man and the dog in it", "en") for k in range(12)] + [(50 + k, "das haus und der mann ist nicht hier", "de") for k in range(12)]
+    rows += [(100, "Привет мир как дела у вас сегодня", None), (101, "xq zv kj " * 40, None), (102, "12 34", "en"), (103, None, "en"), (104, "the dog und der mann", None)]
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["language_id"](None, documents(rows), "").collect()}
+    assert kept == {*range(12), *range(50, 62), 104}
+
+
+def test_pipeline_of_awkward_rows(spark, documents, tmp_path):
+    """Nulls, empty and long texts, repeated rows and ids, more columns than the tables have; and an empty table."""
+    rows = AWKWARD + [(20, "some other words " * 50), (20, "some other words " * 50), (21, "some other words " * 50), (21, "quite another text of the same id " * 9)]
+    for name, given in (("rows", rows), ("none", [])):
+        documents(given).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0), (9, 1, 0), (20, 1, 0), (21, 1, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+    found = corpus_pipeline.run(spark, f"{tmp_path}/rows").collect()
+    docs = documents(rows)
+    good = quality.good_documents(docs, spark.read.parquet(f"{tmp_path}/rows/labels.parquet"))
+    kept = simhash.representatives(langid.identified_documents(good, least=corpus_pipeline.LEAST_LANGUAGE_SCORE)).collect()
+    library = Tokenizer.from_file(packing.default_path())
+    total = Counter()
+    for r in kept:
+        total[r.doc_id] += len(library.encode(r.text, add_special_tokens=False).ids) + 1
+    got = Counter()
+    for r in found:
+        got[r.doc_id] += r.length
+    assert got == total and 20 in got
 
 
 def test_pipeline(spark):

@@ -1,6 +1,8 @@
 """Plain functions of the operators against brute force and public libraries; no Spark."""
 
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -298,3 +300,129 @@ def test_blocks_deep_inside_keep_their_links():
     """Headings and links count at any depth."""
     page = "<span>" * 6_000 + f"<article><h2>Head</h2><p>{PROSE}</p><ul><li><a>only a link</a></li><li><a>and another link</a></li></ul></article>"
     assert html_text.main_text(page) == f"Head\n{PROSE}"
+
+
+def random_page(rng, depth=0):
+    """Well-formed HTML, and the texts between block tags, None for a boundary."""
+    html, parts = "", []
+    for _ in range(rng.randint(1, 4)):
+        kind = rng.choice(["text", "text", "inline", "block", "block"] if depth < 5 else ["text"])
+        if kind == "text":
+            raw, plain = rng.choice([("a &amp; b", "a & b"), (" x\n y ", " x\n y "), ("w&#233;", "wé"), ("&lt;p&gt;", "<p>"), ("  ", "  "), ("<!-- <p> no -->", ""), ("z", "z")])
+            html, parts = html + raw, parts + [plain]
+        else:
+            tag = rng.choice(["b", "i", "span", "em"] if kind == "inline" else ["div", "section", "blockquote", "table", "h2"])
+            inner, own = random_page(rng, depth + 1)
+            # an inline element holds no block here, as their nesting is not well-formed
+            if kind == "inline" and None in own:
+                inner, own = "q", ["q"]
+            html += f"<{tag} data-x='>'>{inner}</{tag.upper()}>"
+            parts += own if kind == "inline" else [None, *own, None]
+    return html, parts
+
+
+def test_blocks_of_random_pages():
+    rng = random.Random(5)
+    for _ in range(400):
+        html, parts = random_page(rng)
+        expected, now = [], ""
+        for part in [*parts, None]:
+            if part is None:
+                expected += [" ".join(now.split())] if now.split() else []
+                now = ""
+            else:
+                now += part
+        found, softs = html_text.blocks(html)
+        assert [b.text for b in found] == expected and not softs
+        assert not any(b.links or b.bad or b.item for b in found)
+
+
+def test_tokens_of_sections_by_brute_force():
+    """Each token by its characters' bytes: most bytes win, ties to the earlier section."""
+    library = Tokenizer.from_file(byte_bpe.default_path())
+    encoder = byte_bpe.load(byte_bpe.default_path())
+    rng = random.Random(8)
+    for text in odd_texts(300, 3) + ["日本語😀é" * 5, "naïve café\nzwei 😀\n\nthree<|endoftext|>\n four"]:
+        size = len(text.encode())
+        cuts = sorted(rng.sample(range(size + 1), min(size + 1, rng.randint(2, 7))))
+        spans = [(a, b) for a, b in zip(cuts, cuts[1:]) if rng.random() < 0.8]
+        owner = [next((k for k, (a, b) in enumerate(spans) if a <= i < b), -1) for i in range(size)]
+        expected, crossing, at = [], [], 0
+        for number in library.encode(text, add_special_tokens=False).ids:
+            own = owner[at : at + int(encoder.sizes[number])]
+            held = {k: own.count(k) for k in set(own) - {-1}}
+            best = min(held, key=lambda k: (-held[k], k)) if held else -1
+            expected.append(best)
+            crossing.append(best >= 0 and held[best] < len(own))
+            at += len(own)
+        assert at == size
+        sizes = encoder.sizes[encoder.encode(text)]
+        ends = np.cumsum(sizes)
+        begins, stops = (np.array([x[i] for x in spans], dtype=np.int64) for i in (0, 1))
+        section, over = token_counts.allocate(ends - sizes, ends, begins, stops)
+        assert section.tolist() == expected and over.tolist() == crossing
+
+
+def plain_ngrams(text):
+    """Words of letters, padded with one blank, in n-grams of 1 to 3 characters."""
+    folded = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text)
+    grams = Counter()
+    for word in folded.split():
+        padded = f" {word} "
+        grams.update(word)
+        grams.update(padded[i : i + 2] for i in range(len(padded) - 1))
+        grams.update(padded[i : i + 3] for i in range(len(padded) - 2) if padded[i + 1] != " ")
+    return grams
+
+
+def test_profiles_by_brute_force():
+    """N-grams, ranks and distances counted in plain Python."""
+    texts = {"en": "The cat, the dog and THE bird! Nobody's there; 3 of them.", "de": "Der Hund und die Straße, über-all ÄÖÜ. Der.", "x": "ß İ a1b c"}
+    number = lambda gram: sum(ord(c) << 21 * (len(gram) - 1 - i) for i, c in enumerate(gram))
+    for text in [*texts.values(), *odd_texts(200, 6)]:
+        got = dict(zip(*(x.tolist() for x in langid.ngrams(text))))
+        grams = plain_ngrams(text)
+        # between two words a gram spans one blank at most, as words are padded with one blank each
+        assert {g: n for g, n in got.items() if g in set(map(number, grams))} == {number(g): n for g, n in grams.items()}
+    profiles = langid.make_profiles({k: langid.ngrams(t) for k, t in texts.items()}, 20)
+    order = lambda found: [g for g, _ in sorted(zip(*(x.tolist() for x in found)), key=lambda p: (-p[1], p[0]))][:20]
+    for text in ["the dog und der", "xyz", "ß c a"]:
+        own = order(langid.ngrams(text))
+        for name, apart in zip(profiles.languages, profiles.distances(text)):
+            ranks = order(langid.ngrams(texts[name]))
+            assert apart == pytest.approx(sum(abs(i - ranks.index(g)) if g in ranks else 20 for i, g in enumerate(own)) / (len(own) * 20))
+
+
+def test_trees_by_brute_force():
+    """The best single cut, and the best cut on each of two features, among all of them."""
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        g, h = rng.standard_normal((6, 5)), rng.random((6, 5)) + 0.1
+        worth = lambda gs, hs: gs.sum() ** 2 / (hs.sum() + 1.0)
+        gain, table = quality._quarters(g, h, 1.0)
+        best = max(
+            (sum(worth(g[a, b], h[a, b]) for a in (slice(0, i), slice(i, 6)) for b in (slice(0, j), slice(j, 5))) - worth(g, h), i, j)
+            for i in range(1, 6) for j in range(1, 5)
+        )
+        assert gain == pytest.approx(best[0])
+        for a in (slice(0, best[1]), slice(best[1], 6)):
+            for b in (slice(0, best[2]), slice(best[2], 5)):
+                assert table[a, b] == pytest.approx(np.full(table[a, b].shape, -g[a, b].sum() / (h[a, b].sum() + 1)))
+        one, other = g[0], h[0]
+        cut = max(range(1, 5), key=lambda m: worth(one[:m], other[:m]) + worth(one[m:], other[m:]))
+        leaves = quality._tree(one, other, 2, 1.0)
+        if worth(one[:cut], other[:cut]) + worth(one[cut:], other[cut:]) > worth(one, other) + 1e-9:
+            expected = np.repeat([-one[:cut].sum() / (other[:cut].sum() + 1), -one[cut:].sum() / (other[cut:].sum() + 1)], [cut, 5 - cut])
+            assert leaves == pytest.approx(expected)
+
+
+def test_scores_are_sums_of_table_entries():
+    rng = np.random.default_rng(9)
+    x = rng.random((300, len(quality.FEATURES)))
+    y = (x[:, 0] + x[:, 1] * x[:, 2] > 0.8).astype(float)
+    model = quality.fit(x, y, rounds=20, pair_rounds=5)
+    for row, score in zip(x[:40], model.scores(x[:40])):
+        at = [sum(v >= e for e in edges) for v, edges in zip(row, model.edges)]
+        total = model.base + sum(t[b] for t, b in zip(model.tables, at)) + sum(t[at[i], at[j]] for (i, j), t in zip(model.pairs, model.pair_tables))
+        assert score == pytest.approx(1 / (1 + math.exp(-total)))
+    assert ((model.scores(x) >= 0.5) == y).mean() > 0.9
