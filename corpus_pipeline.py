@@ -14,14 +14,19 @@ from learnlens.llm import langid, packing, quality, simhash
 from learnlens.llm.common import drop_folder, shared_folder
 
 
+#: One minus the distance to the nearest language, at least. Documents of a learned language score 0.42 to 0.97, whatever their length; letter
+#: noise and texts in other languages score below 0.2.
+LEAST_LANGUAGE_SCORE = 0.25
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that score 0.5 or more."""
     return quality.good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select(docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents with a language: those without any letter go."""
-    return langid.identified_documents(docs).select(docs.columns)
+    """Keep documents with a language: those without any letter go, and those far from every language that the documents hold."""
+    return langid.identified_documents(docs, least=LEAST_LANGUAGE_SCORE).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
