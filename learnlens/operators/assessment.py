@@ -259,21 +259,22 @@ def low_grade_feedback(
     threshold: float,
     keywords: Sequence[str],
     open_end_at: int | None = None,
+    graded: DataFrame | None = None,
 ) -> DataFrame:
     """Evidence rows student_id, course_id, addressed: false for every low grade of a latest submission, and for each
     comment on such a grade whether it holds a keyword.
 
     The keyword search is the costly part, so it runs after the join, on the comments of low grades only. The join
     is an inner one, so that few low grades can be broadcast and the comments need no shuffle. Users outside the
-    roster are dropped later, when the folded states meet it.
+    roster are dropped later, when the folded states meet it. `graded` are the rows of `graded_submissions`, if they are at hand.
     """
-    attempts = submissions_in_course(t, course_ids, open_end_at).select(*ATTEMPT, "course_id").distinct()
-    low = (
-        grades_in_course(t, course_ids, open_end_at)
-        .filter(F.col("grade") < F.lit(float(threshold)))
-        .join(attempts, list(ATTEMPT))
-        .select("assignment_id", "grade_id", "student_id", "course_id")
-    )
+    is_low = F.col("grade") < F.lit(float(threshold))
+    if graded is None:
+        attempts = submissions_in_course(t, course_ids, open_end_at).select(*ATTEMPT, "course_id").distinct()
+        low = grades_in_course(t, course_ids, open_end_at).filter(is_low).join(attempts, list(ATTEMPT))
+    else:
+        low = graded.filter(is_low)
+    low = low.select("assignment_id", "grade_id", "student_id", "course_id")
     comments = t.assignfeedback_comments.select(
         F.col("assignment").alias("assignment_id"), F.col("grade").alias("grade_id"), "commenttext"
     )

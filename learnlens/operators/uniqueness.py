@@ -50,7 +50,7 @@ def _comments(t: LearningTables) -> DataFrame:
     )
 
 
-def _records(t: LearningTables, course_ids: Sequence[int] | None, open_end_at: int | None) -> DataFrame:
+def _records(t: LearningTables, graded: DataFrame) -> DataFrame:
     """One row per (submission, grade, comment), with two hashes and the word count of the text, but not the text.
 
     A missing comment is the one-word text ''. `record_key` is unique per text: a comment id, or the negative submission
@@ -62,7 +62,7 @@ def _records(t: LearningTables, course_ids: Sequence[int] | None, open_end_at: i
     comments = _comments(t).select(
         "feedback_id", "assignment_id", "grade_id", *[c.alias(n) for c, n in zip(marks(F.col("text")), named)]
     )
-    return with_comments(graded_submissions(t, course_ids, open_end_at), comments).select(
+    return with_comments(graded, comments).select(
         *RECORD[:-1],
         F.coalesce(F.col("feedback_id"), -F.col("submission_id")).alias("record_key"),
         *[F.coalesce(F.col(n), c).alias(n) for c, n in zip(marks(empty), named)],
@@ -87,24 +87,24 @@ def feedback_uniqueness(
     t: LearningTables, course_ids: Sequence[int] | None = None, open_end_at: int | None = None
 ) -> DataFrame:
     """Every feedback record with its word count, largest overlap and uniqueness `1 - overlap / n_words`."""
-    return _scored(t, course_ids, open_end_at, None).select(*RECORD, "n_words", "overlap", "uniqueness")
+    return _scored(t, graded_submissions(t, course_ids, open_end_at), None).select(*RECORD, "n_words", "overlap", "uniqueness")
 
 
 def unique_feedback(
-    t: LearningTables, goal: float, course_ids: Sequence[int] | None = None, open_end_at: int | None = None
+    t: LearningTables, goal: float, course_ids: Sequence[int] | None = None, open_end_at: int | None = None, graded: DataFrame | None = None
 ) -> DataFrame:
     """Every feedback record with `unique_enough`: its uniqueness is not below `goal`, a percentage.
 
-    The search stops as soon as a record is known to be below the goal or not.
+    The search stops as soon as a record is known to be below the goal or not. `graded` are the rows of `graded_submissions`, if they are at hand.
     """
-    scored = _scored(t, course_ids, open_end_at, goal)
+    scored = _scored(t, graded_submissions(t, course_ids, open_end_at) if graded is None else graded, goal)
     # The formula keeps its order of operations so that ties agree.
     return scored.select(*RECORD, (~(F.col("uniqueness") < F.lit(float(goal) / 100))).alias("unique_enough"))
 
 
-def _scored(t: LearningTables, course_ids: Sequence[int] | None, open_end_at: int | None, goal: float | None) -> DataFrame:
+def _scored(t: LearningTables, graded: DataFrame, goal: float | None) -> DataFrame:
     """Records with their overlap; with a goal only its side of the goal is certain."""
-    records = stage(_records(t, course_ids, open_end_at))
+    records = stage(_records(t, graded))
     best = largest_overlaps(_texts(t, records), goal).withColumnRenamed("text_id", "record_key")
     n_words = F.col("n_words").cast("long")
     overlap = F.coalesce("overlap", n_words)  # no row in `best`: the text has a copy

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from learnlens.functions.literals import literal_rows
+from learnlens.functions.staging import stage
 from learnlens.operators import assessment, forum
 from learnlens.operators.roster import course_ids_of, course_roster, teacher_roster
 from learnlens.plans.registry import INDICATORS, params_for_filter
@@ -27,14 +28,18 @@ def _union(frames: Iterable[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def _pie_sources(t: LearningTables, as_of: int, course_ids: Sequence[int] | None) -> DataFrame:
+#: Indicators that judge graded submissions.
+GRADED = {"course_performance_feedback", "personalized_feedback", "timely_feedback"}
+
+
+def _pie_sources(t: LearningTables, as_of: int, course_ids: Sequence[int] | None, graded: DataFrame) -> DataFrame:
     """indicator_id of every pie that has source rows. A pie always has three slices, so its rows cannot tell.
 
     Feedback and timeliness read the roster; the others read submissions, posts and teachers.
     """
     enrolled = course_roster(t, course_ids).select("course_id")
     sources = {
-        "course_performance_feedback": assessment.latest_submissions(t, course_ids).select("course_id"),
+        "course_performance_feedback": graded.select("course_id"),
         "personalized_feedback": enrolled,
         "timely_feedback": enrolled,
         "monitoring_forums": forum.member_posts(t, course_ids).select("course_id"),
@@ -68,14 +73,17 @@ def dashboard(
     bars = {d.id: StudentParams(as_of, course_ids, shared=True, **d.defaults(configured)) for d in chosen if d.axis is not None}
     columns = ("indicator_id", "position", "label", "value")
     frames = [bar_table(t, bars).select(*columns)] if bars else []
+    pies = [d.id for d in chosen if d.axis is None]
+    # Submissions and grades are read and joined once for all that judge them.
+    graded = stage(assessment.graded_submissions(t, course_ids)) if pies else None
     for d in chosen:
         if d.axis is None:
-            states = state_counts(spark, teacher_states(t, d.id, as_of, course_ids, **d.defaults(configured)))
+            more = {"graded": graded} if d.id in GRADED else {}
+            states = state_counts(spark, teacher_states(t, d.id, as_of, course_ids, **d.defaults(configured), **more))
             frames.append(states.select(F.lit(d.id).alias("indicator_id"), *columns[1:]))
     series = _union(frames)
-    pies = [d.id for d in chosen if d.axis is None]
     if pies:
-        present = _pie_sources(t, as_of, course_ids).select("indicator_id", F.lit(True).alias("has_source"))
+        present = _pie_sources(t, as_of, course_ids, graded).select("indicator_id", F.lit(True).alias("has_source"))
         series = series.join(present, "indicator_id", "left").filter(
             F.col("has_source") | ~F.col("indicator_id").isin(pies)
         )

@@ -1,4 +1,7 @@
-"""The five teacher indicators: one state per (student_id, course_id)."""
+"""The five teacher indicators: one state per (student_id, course_id).
+
+The three that judge grades take `graded`, the rows of `assessment.graded_submissions`, from a job that holds several of them.
+"""
 
 from __future__ import annotations
 
@@ -21,9 +24,10 @@ def course_performance_feedback(
     gradethreshold: float = SETTINGS["gradethreshold"].default,
     keywords: Sequence[str] = IMPROVEMENT_KEYWORDS,
     open_end_at: int | None = None,
+    graded: DataFrame | None = None,
 ) -> DataFrame:
     """Do students with a low grade get feedback with improvement language? One such comment is enough."""
-    low = assessment.low_grade_feedback(t, course_ids, gradethreshold, keywords, open_end_at)
+    low = assessment.low_grade_feedback(t, course_ids, gradethreshold, keywords, open_end_at, graded)
     return fill_states(course_roster(t, course_ids), fold_any_good(low, "addressed"))
 
 
@@ -32,9 +36,10 @@ def personalized_feedback(
     course_ids: Sequence[int] | None = None,
     feedbackgoal: float = SETTINGS["feedbackgoal"].default,
     open_end_at: int | None = None,
+    graded: DataFrame | None = None,
 ) -> DataFrame:
     """Is all feedback to the student unique enough within its assignment?"""
-    judged = uniqueness.unique_feedback(t, feedbackgoal, course_ids, open_end_at)
+    judged = uniqueness.unique_feedback(t, feedbackgoal, course_ids, open_end_at, graded)
     return fill_states(course_roster(t, course_ids), fold_all_good(judged, "unique_enough"))
 
 
@@ -43,9 +48,13 @@ def timely_feedback(
     course_ids: Sequence[int] | None = None,
     days: int = SETTINGS["timelyfeedbackdays"].default,
     open_end_at: int | None = None,
+    graded: DataFrame | None = None,
 ) -> DataFrame:
     """Is every latest submission graded within `days`? A missing grade is late."""
-    attempts = assessment.attempts_on_time(t, course_ids, days, open_end_at)
+    if graded is None:
+        attempts = assessment.attempts_on_time(t, course_ids, days, open_end_at)
+    else:
+        attempts = graded.withColumn("on_time", assessment.on_time(F.col("submission_date"), F.col("graded_date"), days))
     return fill_states(course_roster(t, course_ids), fold_all_good(attempts, "on_time"))
 
 

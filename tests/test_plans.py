@@ -8,7 +8,7 @@ from learnlens.functions.periods import DAY
 from learnlens.operators import activity, forum, summaries, weekly
 from learnlens.plans import catalog, student, teacher
 from learnlens.plans.dashboard import dashboard
-from learnlens.plans.registry import STUDENT
+from learnlens.plans.registry import STUDENT, TEACHER
 from learnlens.sources.sample import AS_OF, sample_tables
 from learnlens.sources.tables import SCHEMAS, LearningTables, store_log_by_day
 
@@ -216,3 +216,10 @@ def test_dashboard_reads_the_log_once_per_kind_of_event(spark, stored):
     text = fixed_plan(spark, lambda: dashboard(spark, stored, AS_OF, group=STUDENT))
     # by the file's name, as the scan of views reads no time
     assert len([line for line in text.splitlines() if "FileScan" in line and "logstore_standard_log" in line]) == 2
+
+
+def test_dashboard_joins_grades_once(spark, stored):
+    """Its pies read what is staged; comments are still read by both that search them."""
+    text = fixed_plan(spark, lambda: dashboard(spark, stored, AS_OF, group=TEACHER))
+    scans = [x for x in text.splitlines() if "FileScan" in x]
+    assert not any("assign_submission.parquet" in x or "assign_grades.parquet" in x for x in scans)
