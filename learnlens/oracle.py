@@ -9,10 +9,45 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from learnlens.functions.text import IMPROVEMENT_KEYWORDS, RESOLUTION_KEYWORDS
-from learnlens.plans.registry import INDICATORS
 from learnlens.sources.sample import AS_OF, T0
 
+# Written down here once more, so that an error in the engine's lists is no error on both sides.
+# Words that show a forum question was resolved.
+RESOLUTION_KEYWORDS = (
+    "thanks", "thank you", "appreciate", "appreciated", "helpful", "that worked", "works now", "fixed it",
+    "problem solved", "issue resolved", "makes sense", "clears it up", "answers my question", "all good now",
+    "all set",
+)
+
+# Words that show feedback tells a student how to improve.
+IMPROVEMENT_KEYWORDS = (
+    "improve", "work on", "focus", "strengthen", "revise", "organization", "learning objects", "textbook",
+    "materials", "review", "understanding", "explain", "detail", "specific", "example", "evidence", "analysis",
+    "accuracy", "correct", "incorrect", "error", "mistake", "missing", "incomplete", "complete", "requirements",
+    "instructions", "rubric", "criteria", "grammar", "spelling", "punctuation", "sentence structure",
+    "word choice", "proofread", "edit", "citation", "reference", "formatting", "effort", "practice", "study",
+    "prepare", "participate", "participation", "time management", "ask for help", "seek assistance", "next time",
+    "next step", "try to", "you should", "consider", "recommend", "suggest", "make sure", "remember to",
+    "continue working", "keep practicing",
+)
+
+# The indicators in display order, with name, group, success flag and control.
+BLOCKS = (
+    ("course_performance_feedback", "Messaging Struggling Students (Low Grades)", "teacher", True, None),
+    ("personalized_feedback", "Personalized Feedback", "teacher", True, None),
+    ("timely_feedback", "Timely Feedback", "teacher", False, None),
+    ("monitoring_forums", "Monitoring Forums", "teacher", False, None),
+    ("consistent-use-lms", "Consistent Use of LMS", "teacher", False, None),
+    ("login_frequency", "Login frequency", "student", False, None),
+    ("student_active_time", "Student active time", "student", True, "time_range"),
+    ("time_spent_forums", "Time spent viewing forums", "student", True, "time_range"),
+    ("time_spent_assignments", "Time spent on assignments", "student", False, "time_range"),
+    ("lo_access_frequency", "Learning object access frequency", "student", False, None),
+    ("forum_posting_frequency", "Forum posting frequency", "student", True, None),
+    ("time_spent_lo", "Time spent accessing learning objects", "student", True, "time_range"),
+    ("number_forums_viewed", "Number of forums viewed", "student", True, None),
+)
+
 # Starts of the reporting periods before the fixed clock 2024-01-31 00:00 UTC: 2024-01-30 23:00, 2024-01-30, 2024-01-24, 2023-12-31, 2023-01-31.
 PERIOD_STARTS = {"hourly": 1706655600, "daily": 1706572800, "weekly": 1706054400, "monthly": 1703980800, "yearly": 1675123200}
 
@@ -196,7 +231,15 @@ def with_steps(needed: Iterable[str], select: str, **extra: str) -> str:
 # -- student indicators ------------------------------------------------------------------------------------------
 
 
+#: The month before 2024-01-01 04:00 UTC as a user in New York sees it: from 31 December 23:00 there back to 31 November, which runs on into
+#: 1 December 23:00, a day later than in UTC.
+IN_NEW_YORK = "monthly in New York"
+NEW_YORK_CLOCK = 1704081600
+
+
 def _window(time_range: str | None) -> tuple[int, int]:
+    if time_range == IN_NEW_YORK:
+        return 1701489600, NEW_YORK_CLOCK
     return PERIOD_STARTS[time_range or "weekly"], AS_OF
 
 
@@ -424,34 +467,34 @@ def dashboard(group: str | None = None, configured: dict[str, float] | None = No
     """`configured` holds settings by the names the teacher queries use, and the session cap."""
     configured = configured or {}
     values = {"days": configured["timelyfeedbackdays"], **configured} if configured else {}
-    chosen = [d for d in INDICATORS.values() if group in (None, d.group)]
+    chosen = [b for b in BLOCKS if group in (None, b[2])]
     needed: list[str] = ["roster"]
     steps: dict[str, str] = {}
     blocks = []
-    for i, definition in enumerate(chosen, start=1):
+    for i, (indicator_id, name, behaviour_group, success, controlled) in enumerate(chosen, start=1):
         tag = f"i{i}"
-        if definition.id in _HAS_SOURCE:
-            names, states = teacher_states(definition.id, **values)
-            needed += [*names, _HAS_SOURCE[definition.id]]
+        if indicator_id in _HAS_SOURCE:
+            names, states = teacher_states(indicator_id, **values)
+            needed += [*names, _HAS_SOURCE[indicator_id]]
             steps[f"{tag}_states"] = states
             series = _PIE.replace("FROM states", f"FROM {tag}_states")
-            series = f"SELECT * FROM ({series}) AS pie WHERE EXISTS (SELECT 1 FROM {_HAS_SOURCE[definition.id]})"
-        elif definition.id == "login_frequency":
+            series = f"SELECT * FROM ({series}) AS pie WHERE EXISTS (SELECT 1 FROM {_HAS_SOURCE[indicator_id]})"
+        elif indicator_id == "login_frequency":
             needed.append("login_access")
             steps[f"{tag}_filled"] = _login_counts()
-            series = f"SELECT {_bars(definition.id)} FROM {tag}_filled"
+            series = f"SELECT {_bars(indicator_id)} FROM {tag}_filled"
         else:
-            names, totals, extra = student_totals(definition.id, cap=int(configured.get("sessioncap", 1800)))
+            names, totals, extra = student_totals(indicator_id, cap=int(configured.get("sessioncap", 1800)))
             needed += names
             steps.update(extra)
             steps[f"{tag}_totals"] = totals
-            steps[f"{tag}_filled"] = _filled(definition.id).replace("totals", f"{tag}_totals")
-            series = f"SELECT {_bars(definition.id)} FROM {tag}_filled"
+            steps[f"{tag}_filled"] = _filled(indicator_id).replace("totals", f"{tag}_totals")
+            series = f"SELECT {_bars(indicator_id)} FROM {tag}_filled"
         steps[f"{tag}_series"] = series
-        control = "'time_range'" if definition.control else "CAST(NULL AS VARCHAR)"
+        control = f"'{controlled}'" if controlled else "CAST(NULL AS VARCHAR)"
         blocks.append(f"""
-            SELECT CAST({i} AS INTEGER) AS display_order, '{definition.id}' AS indicator_id, '{definition.name}' AS indicator_name,
-                   '{definition.group}' AS behaviour_group, {definition.student_success} AS student_success, {control} AS control,
+            SELECT CAST({i} AS INTEGER) AS display_order, '{indicator_id}' AS indicator_id, '{name}' AS indicator_name,
+                   '{behaviour_group}' AS behaviour_group, {success} AS student_success, {control} AS control,
                    s.position IS NOT NULL AS has_data, s.position, s.label, s.value
             FROM (SELECT 1) AS one LEFT JOIN {tag}_series s ON TRUE""")
     return with_steps(needed, "\nUNION ALL\n".join(blocks), **steps)

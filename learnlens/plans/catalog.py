@@ -118,6 +118,11 @@ def _registered() -> dict[str, tuple[Build, str]]:
                 lambda s, t, name=name, period=period: refresh(s, t, name, SOME_COURSES, period, AS_OF),
                 oracle.in_courses(oracle.bar_series(name, time_range=period), SOME_COURSES),
             )
+        # The month of a user in another time zone, where it begins a day later.
+        entries[f"{name}_monthly_in_new_york"] = (
+            lambda s, t, name=name: getattr(student, name)(t, oracle.NEW_YORK_CLOCK, time_range="monthly", tz="America/New_York"),
+            oracle.student_indicator(name, time_range=oracle.IN_NEW_YORK),
+        )
         # An open course that ends at the clock, over a month: open courses have no window otherwise.
         entries[f"{name}_open_end"] = (
             _student(name, time_range="monthly", open_end_at=AS_OF), oracle.with_open_end(oracle.student_indicator(name, time_range="monthly"))
