@@ -8,12 +8,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-CHECKPOINT_DIR = "spark.checkpoint.dir"
+from learnlens.functions import staging
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder: the one named in `spark.checkpoint.dir`, or one below the warehouse, shared as well."""
-    return (spark.conf.get(CHECKPOINT_DIR, None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints").rstrip("/")
+    """The session's checkpoint folder: the one named in `spark.checkpoint.dir`, or on one machine one below the warehouse."""
+    return staging.shared_folder(spark).rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
