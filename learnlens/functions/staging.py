@@ -12,8 +12,15 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in `spark.checkpoint.dir`; where none is named, one below the warehouse, which is shared as well."""
-    return spark.conf.get(CHECKPOINT_DIR, None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+    """The folder named in `spark.checkpoint.dir`; on one machine, where none is named, one below the warehouse."""
+    named = spark.conf.get(CHECKPOINT_DIR, None)
+    if not named and not is_one_machine(spark.sparkContext.master):
+        raise ValueError(f"set {CHECKPOINT_DIR} to a folder that the driver and all executors share")
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+
+
+def is_one_machine(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
 
 
 def stage(df: DataFrame) -> DataFrame:

@@ -55,9 +55,9 @@ def day_summaries(
 
 
 def whole_days(start: int, end: int) -> tuple[int, int]:
-    """The days, from and until, that lie as a whole in the closed period."""
+    """The days, from and until, that lie as a whole in the closed period and are over: the day of its end never is."""
     first = -(-start // DAY)
-    return first, max(first, (end + 1) // DAY)
+    return first, max(first, end // DAY)
 
 
 def period_days(

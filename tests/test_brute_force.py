@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 from collections import defaultdict
+from functools import reduce
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from learnlens.functions.gaps import least_gap
@@ -155,9 +157,8 @@ def busy_log(seed, n=500):
     return log
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_indicators_from_shared_passes(spark, seed):
-    t = tables(spark, COURSES, ENROLMENTS, busy_log(seed))
+def test_indicators_from_shared_passes(spark):
+    t = tables(spark, COURSES, ENROLMENTS, busy_log(1))
     seen = 0
     for indicator, spec in student.STUDENT_INDICATORS.items():
         ranges = ("weekly", "yearly") if spec.in_hours else (None,)
@@ -174,7 +175,7 @@ def test_indicators_from_shared_passes(spark, seed):
 # -- day summaries
 
 
-@pytest.mark.parametrize("as_of", [AS_OF, 8 * DAY, 8 * DAY - 1, 6 * DAY + 12_345, 5])
+@pytest.mark.parametrize("as_of", [8 * DAY, 6 * DAY - 1, 5 * DAY + 12_345])
 def test_refresh_from_day_summaries(spark, tmp_path, as_of):
     """Stored in two steps, the second with the new days only; every period, whether it begins and ends at midnight, just before, or inside a day."""
     t = tables(spark, COURSES, ENROLMENTS, busy_log(3, 400))
@@ -187,9 +188,10 @@ def test_refresh_from_day_summaries(spark, tmp_path, as_of):
         window = student.StudentParams(as_of, time_range=period).window
         seconds = activity.activity_seconds(t, *window)
         days = summaries.period_days(t, stored, *window, cap)
-        for bit in (activity.ACTIVE, activity.FORUM_VIEW, activity.LEARNING_OBJECT_VIEW):
-            raw = {(r.student_id, r.course_id): (r.total or 0, r.saw_forum) for r in activity.capped_totals(seconds, bit, least_gap, cap).collect()}
-            assert {(r.student_id, r.course_id): (r.total, r.saw_forum) for r in summaries.merged_totals(days, bit, cap).collect()} == raw, (period, bit)
+        bits = (activity.ACTIVE, activity.FORUM_VIEW, activity.LEARNING_OBJECT_VIEW)
+        each = lambda totals: reduce(DataFrame.unionByName, [totals(b).withColumn("bit", F.lit(b)) for b in bits]).collect()
+        raw = {(r.bit, r.student_id, r.course_id): (r.total or 0, r.saw_forum) for r in each(lambda b: activity.capped_totals(seconds, b, least_gap, cap))}
+        assert {(r.bit, r.student_id, r.course_id): (r.total, r.saw_forum) for r in each(lambda b: summaries.merged_totals(days, b, cap))} == raw, period
 
 
 # -- row numbers
@@ -206,7 +208,7 @@ def numbered(df, keys, **options):
 
 
 @pytest.mark.parametrize("keys", ORDERS)
-@pytest.mark.parametrize("most", [1, 2, 20, 300, 4096])
+@pytest.mark.parametrize("most", [1, 20, 4096])
 def test_row_numbers_cross_blocks(spark, keys, most):
     """With few rows in a block, one block, or a splitter for every row."""
     rng = random.Random(9)

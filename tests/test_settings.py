@@ -8,6 +8,7 @@ from pathlib import Path
 
 import pytest
 
+from learnlens.functions import staging
 from learnlens.functions.periods import TimeRange, reporting_window
 from learnlens.functions.staging import stage
 from learnlens.operators.roster import course_ids_of, user_courses
@@ -162,3 +163,8 @@ def test_staged_results_go_to_the_named_folder_and_leave_nothing(spark):
             return
         time.sleep(0.25)
     raise AssertionError("staged files were left")
+
+
+@pytest.mark.parametrize("master,one", [("local", True), ("local[*]", True), ("local-cluster[2,1,1024]", False), ("spark://x:7077", False), ("yarn", False)])
+def test_only_one_machine_may_stage_below_its_warehouse(master, one):
+    assert staging.is_one_machine(master) == one
