@@ -58,7 +58,7 @@ def moments(
         .groupBy(F.col("userid").alias("student_id"), "course_id", "timecreated", "module_id")
         .agg(F.max_by("kind", "id").alias("last"), F.bit_or("kind").alias("any"), F.max("id").alias("last_id"))
     )
-    last = F.col("last").bitwiseAND(_VIEWED - 1)
+    last = F.coalesce("last", F.lit(0)).bitwiseAND(_VIEWED - 1)  # null where no event of the second has an id
     some = F.col("any").bitwiseAND(_VIEWED | _SUBMITTED) + F.when(F.col("any").bitwiseAND(FORUM_VIEW) > 0, ANY_FORUM_VIEW).otherwise(0)
     rows = found.select(_id("student_id"), _id("course_id"), "timecreated", _id("module_id"), "last_id", F.expr(f"timecreated div {DAY}").alias("day"), (last + some).alias("kind"))
     return _all_used(rows, "kind", "last_id")
