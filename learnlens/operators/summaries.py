@@ -22,12 +22,18 @@ from learnlens.operators.activity import ACTIVE, ANY_FORUM_VIEW, FORUM_VIEW, LEA
 from learnlens.operators.roster import course_windows, in_courses
 from learnlens.sources.tables import LearningTables, time_bounds
 
+#: The column of `merged_totals` for each kind of event.
+TOTALS = {ACTIVE: "active", FORUM_VIEW: "forum", LEARNING_OBJECT_VIEW: "object"}
 _INSIDE = {ACTIVE: "active_inside", FORUM_VIEW: "forum_inside", LEARNING_OBJECT_VIEW: "object_inside"}
 
 
 def days_of(seconds: DataFrame, cap: int) -> DataFrame:
-    """Summary rows of distinct seconds (see `activity.activity_seconds`), for a session cap."""
-    in_day = W.partitionBy("student_id", "course_id", "day").orderBy("timecreated")
+    """Summary rows of distinct seconds (see `activity.activity_seconds`), for a session cap.
+
+    Rows of the same second are told apart by `last_id`, where there is one; see `facts.moments`.
+    """
+    order = [c for c in ("timecreated", "last_id") if c in seconds.columns]
+    in_day = W.partitionBy("student_id", "course_id", "day").orderBy(*order)
     gap = F.when(F.col("next_time").isNotNull(), least_gap(F.col("timecreated"), F.col("next_time"), cap)).otherwise(0)
     has = lambda bit: F.col("kind").bitwiseAND(bit) > 0
     return (
@@ -37,7 +43,7 @@ def days_of(seconds: DataFrame, cap: int) -> DataFrame:
             *[F.sum(F.when(has(bit), gap).otherwise(0)).cast("long").alias(name) for bit, name in _INSIDE.items()],
             F.min("timecreated").alias("first_time"),
             F.max("timecreated").alias("last_time"),
-            F.max_by("kind", "timecreated").alias("last_kind"),
+            F.max_by("kind", F.struct(*order)).alias("last_kind"),
             F.max(F.col("kind").bitwiseAND(ANY_FORUM_VIEW)).alias("forum_bit"),
         )
     )
@@ -74,13 +80,19 @@ def period_days(
     return inside.select(*rest.columns).unionByName(rest)
 
 
-def merged_totals(days: DataFrame, bit: int, cap: int) -> DataFrame:
-    """Per (student_id, course_id): `total`, the capped gaps after events with `bit`, and `saw_forum`; the same as `activity.capped_totals`."""
+def merged_totals(days: DataFrame, cap: int) -> DataFrame:
+    """Per (student_id, course_id): the capped gaps after events of each kind, `active`, `forum` and `object`, and `saw_forum`.
+
+    Each is the `total` of `activity.capped_totals` for that kind.
+    """
     over_days = W.partitionBy("student_id", "course_id").orderBy("day")
-    counted = F.col("last_kind").bitwiseAND(bit) > 0
-    across = F.when(counted & F.col("next_time").isNotNull(), least_gap(F.col("last_time"), F.col("next_time"), cap)).otherwise(0)
+    across = F.when(F.col("next_time").isNotNull(), least_gap(F.col("last_time"), F.col("next_time"), cap)).otherwise(0)
+    has = lambda bit: F.col("last_kind").bitwiseAND(bit) > 0
     return (
         days.withColumn("next_time", F.lead("first_time").over(over_days))
         .groupBy("student_id", "course_id")
-        .agg(F.sum(F.col(_INSIDE[bit]) + across).alias("total"), (F.max("forum_bit") > 0).alias("saw_forum"))
+        .agg(
+            *[F.sum(F.col(name) + F.when(has(bit), across).otherwise(0)).cast("long").alias(TOTALS[bit]) for bit, name in _INSIDE.items()],
+            (F.max("forum_bit") > 0).alias("saw_forum"),
+        )
     )

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from learnlens.functions.literals import literal_rows
 from learnlens.functions.periods import HOUR
-from learnlens.operators.numbering import number_rows
+from learnlens.operators.numbering import BY_STUDENT, number_rows
 from learnlens.operators.states import STATES
 from learnlens.plans import teacher
-from learnlens.plans.student import STUDENT_INDICATORS, StudentParams, roster_rows, student_rows, student_totals
+from learnlens.plans.student import STUDENT_INDICATORS, StudentParams, roster_rows, student_rows, wide_totals
 from learnlens.sources.tables import LearningTables
 
 
@@ -35,22 +35,25 @@ def bar_series(t: LearningTables, indicator_id: str, params: StudentParams) -> D
 
 
 def bar_table(t: LearningTables, params: Mapping[str, StudentParams]) -> DataFrame:
-    """indicator_id, position, label, value: the rows of `bar_series` of several indicators. Those with the same rows and order share their numbers."""
-    shared: dict[tuple[str, ...], list[str]] = {}
-    for indicator_id in params:
-        spec = STUDENT_INDICATORS[indicator_id]
-        if spec.fill_roster:
-            shared.setdefault(spec.sort_order, []).append(indicator_id)
-    frames = [
-        bar_series(t, i, p).withColumn("indicator_id", F.lit(i)) for i, p in params.items() if not STUDENT_INDICATORS[i].fill_roster
-    ]
-    for order, ids in shared.items():
-        rows = number_rows(roster_rows(t, order, params[ids[0]].course_ids), order, "position")
-        bars = []
-        for i in ids:
-            rows = rows.join(student_totals(t, i, params[i]), list(order), "left")
-            bars.append(F.struct(F.lit(i).alias("indicator_id"), _bar(i).alias("value")))
-        frames.append(rows.select("position", F.col("student_id").cast("string").alias("label"), F.inline(F.array(*bars))))
+    """indicator_id, position, label, value: the rows of `bar_series` of several indicators, whose parameters agree.
+
+    Indicators with a row for every student of every course become one wide frame: the roster with its number in each order, joined once to each
+    source of totals, and then a row per indicator.
+    """
+    of_roster = {i: p for i, p in params.items() if STUDENT_INDICATORS[i].fill_roster and STUDENT_INDICATORS[i].sort_order != BY_STUDENT}
+    frames = [bar_series(t, i, p).withColumn("indicator_id", F.lit(i)) for i, p in params.items() if i not in of_roster]
+    if of_roster:
+        places = {order: f"position_{k}" for k, order in enumerate(dict.fromkeys(STUDENT_INDICATORS[i].sort_order for i in of_roster))}
+        rows = roster_rows(t, ["student_id", "course_id"], next(iter(of_roster.values())).course_ids)
+        for order, place in places.items():
+            rows = number_rows(rows, order, place)
+        for totals in wide_totals(t, of_roster):
+            rows = rows.join(totals, ["student_id", "course_id"], "left")
+        bars = [
+            F.struct(F.lit(i).alias("indicator_id"), F.col(places[STUDENT_INDICATORS[i].sort_order]).alias("position"), _bar(i).alias("value"))
+            for i in of_roster
+        ]
+        frames.append(rows.select(F.col("student_id").cast("string").alias("label"), F.inline(F.array(*bars))))
     return reduce(DataFrame.unionByName, frames)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -58,10 +58,18 @@ def _seconds(t: LearningTables, p: StudentParams) -> DataFrame:
     return events(t, *p.window, p.course_ids, p.open_end_at)
 
 
-def _capped(t: LearningTables, p: StudentParams, bit: int, gap: activity.Gap) -> DataFrame:
+def _merged(t: LearningTables, p: StudentParams) -> DataFrame:
+    """All capped times at once, from stored day summaries or from the shared pass."""
     if p.summaries is not None:
         days = summaries.period_days(t, p.summaries, *p.window, p.sessioncap, p.course_ids, p.open_end_at)
-        return summaries.merged_totals(days, bit, p.sessioncap)
+    else:
+        days = summaries.days_of(_seconds(t, p), p.sessioncap)
+    return summaries.merged_totals(days, p.sessioncap)
+
+
+def _capped(t: LearningTables, p: StudentParams, bit: int, gap: activity.Gap) -> DataFrame:
+    if p.summaries is not None or p.shared:
+        return _merged(t, p).withColumnRenamed(summaries.TOTALS[bit], "total")
     return activity.capped_totals(_seconds(t, p), bit, gap, p.sessioncap)
 
 
@@ -156,6 +164,25 @@ def student_totals(t: LearningTables, indicator_id: str, p: StudentParams) -> Da
     return spec.totals(t, p).select(*_keys(spec), F.col("total").alias(spec.value))
 
 
+#: What a wide frame of all totals takes from one source: its columns, by indicator.
+_TIMES = {"student_active_time": "active", "time_spent_lo": "object"}
+_VIEWS = {"lo_access_frequency": "accesses", "number_forums_viewed": "discussions"}
+
+
+def wide_totals(t: LearningTables, params: Mapping[str, StudentParams]) -> list[DataFrame]:
+    """Frames by (student_id, course_id) that hold the values of the given indicators, one frame per source of the shared passes.
+
+    The parameters of the indicators agree, as those of a dashboard do.
+    """
+    frames = []
+    for names, source in ((_TIMES, _merged), (_VIEWS, lambda t, p: facts.view_totals(facts.history(t, p.course_ids)))):
+        own = [i for i in names if i in params]
+        if own:
+            found = source(t, params[own[0]])
+            frames.append(found.select("student_id", "course_id", *[F.col(names[i]).alias(STUDENT_INDICATORS[i].value) for i in own]))
+    return frames + [student_totals(t, i, p) for i, p in params.items() if i not in _TIMES and i not in _VIEWS]
+
+
 def student_rows(
     t: LearningTables, indicator_id: str, p: StudentParams, order: Sequence[str] | None, number: str = "recordid"
 ) -> DataFrame:

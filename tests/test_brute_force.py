@@ -188,10 +188,10 @@ def test_refresh_from_day_summaries(spark, tmp_path, as_of):
         window = student.StudentParams(as_of, time_range=period).window
         seconds = activity.activity_seconds(t, *window)
         days = summaries.period_days(t, stored, *window, cap)
-        bits = (activity.ACTIVE, activity.FORUM_VIEW, activity.LEARNING_OBJECT_VIEW)
-        each = lambda totals: reduce(DataFrame.unionByName, [totals(b).withColumn("bit", F.lit(b)) for b in bits]).collect()
-        raw = {(r.bit, r.student_id, r.course_id): (r.total or 0, r.saw_forum) for r in each(lambda b: activity.capped_totals(seconds, b, least_gap, cap))}
-        assert {(r.bit, r.student_id, r.course_id): (r.total, r.saw_forum) for r in each(lambda b: summaries.merged_totals(days, b, cap))} == raw, period
+        each = [activity.capped_totals(seconds, b, least_gap, cap).withColumn("kind", F.lit(n)) for b, n in summaries.TOTALS.items()]
+        raw = {(r.kind, r.student_id, r.course_id): (r.total or 0, r.saw_forum) for r in reduce(DataFrame.unionByName, each).collect()}
+        got = summaries.merged_totals(days, cap).collect()
+        assert {(n, r.student_id, r.course_id): (r[n], r.saw_forum) for r in got for n in summaries.TOTALS.values()} == raw, period
 
 
 # -- row numbers
