@@ -138,6 +138,31 @@ def test_hard_negatives(spark, smallest, largest, group):
     assert Counter(map(tuple, found.collect())) == expected and len(expected) > 300
 
 
+@pytest.mark.parametrize("size", [1e2, 1e5, 1e6, 3e6])
+def test_hard_negatives_of_long_vectors(spark, size):
+    """Scores beyond 53 bits, next to short ones."""
+    rng = np.random.default_rng(5)
+    rows = [(k, k % 3, (rng.standard_normal(5) * (size if k % 4 else 1)).tolist()) for k in range(120)]
+    found = hard_negatives.mine(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>"), F.col("vec_id") % 5 == 0, smallest=50)
+    expected = negatives_by_brute_force(rows, lambda i: i % 5 == 0, 5, 3)
+    assert Counter(map(tuple, found.collect())) == expected and len(expected) > 60
+
+
+def test_scores_beyond_63_bits_are_passed_over():
+    x = np.array([[2.0**40, 0], [2.0**10, 1], [-(2.0**41), 3], [2.0**20, 0], [2.0**20, 0]])
+    held = hard_negatives.Candidates(np.arange(5), np.arange(5), x)
+    place, score = held.best(np.array([0]), x[:1], np.arange(5), np.array([[2**61]]), np.array([[-(2**61)]]), 3)
+    assert place.tolist() == [[[3, 4, 1]]] and score.tolist() == [[[2**60, 2**60, 2**50]]]
+
+
+def test_rows_without_id_are_negatives_and_positives_of_the_query(spark, tmp_path):
+    """The contract names the rows that take no part, and rows without an id are not among them."""
+    rows = [(50, 1, [1.0, 1.0]), (None, 1, [1.0, 1.0]), (None, 2, [0.75, 0.75]), (51, 2, [0.75, 0.75]), (None, None, [0.75, 0.75])]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = queries.op12_hard_negatives(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found)) == [(50, None, 1, 51, 131072, 98304), (50, None, 2, None, 131072, 98304)]
+
+
 def test_walk_ends_early_and_finds_the_best():
     """Clustered vectors: the list is left long before its end, and the result is that of a full scan."""
     rng = np.random.default_rng(11)
