@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -28,11 +29,18 @@ IMPROVEMENT_KEYWORDS = (
 )
 
 
+# Many keywords are sought together, by their rarest letter.
+TOGETHER = 20
+_RARE_FIRST = "zqjxkvbpgwyfmculdrhsnioate"  # Fixed values: letters of English text
+
+
 def contains_any(text: Column, keywords: Sequence[str]) -> Column:
     """True if `text` holds any keyword as a substring, ASCII case ignored; null or empty text gives false."""
     wanted = [word.lower() for word in keywords]
     # A keyword that holds a shorter one adds nothing.
     wanted = [word for word in wanted if not any(other != word and other in word for other in wanted)]
+    if len(wanted) > TOGETHER and all(word and word.isascii() for word in wanted):
+        return F.coalesce(F.rlike(text, F.lit(rare_letter_pattern(wanted))), F.lit(False))
 
     def holds_one(folded: Column) -> Column:
         return reduce(Column.__or__, (F.contains(folded, F.lit(word)) for word in dict.fromkeys(wanted)))
@@ -41,6 +49,21 @@ def contains_any(text: Column, keywords: Sequence[str]) -> Column:
     return F.coalesce(F.exists(F.array(_ascii_lower(text)), holds_one), F.lit(False))
 
 
+def rare_letter_pattern(keywords: Sequence[str]) -> str:
+    """One expression for all of the ASCII `keywords`, ASCII case ignored, in a single pass over a text.
+
+    Each keyword hangs on its rarest letter. So most places of a text fail one test of a character; at the others the rest of
+    a keyword is compared first, and then the whole keyword, looking back.
+    """
+    rarity = lambda letter: _RARE_FIRST.find(letter) if letter != " " else len(_RARE_FIRST)
+    by_letter: dict[str, list[str]] = {}
+    for word in dict.fromkeys(keywords):
+        at = min(range(len(word)), key=lambda i: rarity(word[i].lower()))
+        by_letter.setdefault(word[at], []).append(f"{re.escape(word[at + 1:])}(?<={re.escape(word)})")
+    here = "|".join(f"{re.escape(letter)}(?:{'|'.join(rests)})" for letter, rests in by_letter.items())
+    return f"(?i)(?=[{''.join(map(re.escape, by_letter))}])(?:{here})"
+
+
 def _ascii_lower(text: Column) -> Column:
     """Lower case in which only ASCII letters can become ASCII letters.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from learnlens.functions.periods import DAY
 from learnlens.functions.text import contains_any
 from learnlens.operators.activity import clip_to_course, log_between
+from learnlens.operators.membership import key_bitmap, may_hold
 from learnlens.operators.roster import course_roster, course_windows, in_courses
 from learnlens.sources.tables import LearningTables
 
@@ -261,12 +262,12 @@ def low_grade_feedback(
     open_end_at: int | None = None,
     graded: DataFrame | None = None,
 ) -> DataFrame:
-    """Evidence rows student_id, course_id, addressed: false for every low grade of a latest submission, and for each
-    comment on such a grade whether it holds a keyword.
+    """Evidence rows student_id, course_id, addressed: false for every low grade of a latest submission, and true for each
+    comment on such a grade that holds a keyword.
 
-    The keyword search is the costly part, so it runs after the join, on the comments of low grades only. The join
-    is an inner one, so that few low grades can be broadcast and the comments need no shuffle. Users outside the
-    roster are dropped later, when the folded states meet it. `graded` are the rows of `graded_submissions`, if they are at hand.
+    Comments are searched where they are read, and only the keys of those that hold a keyword go on: no text is shuffled. A bitmap
+    of the courses' assignments keeps the search off other courses. Users outside the roster are dropped later, when the folded
+    states meet it. `graded` are the rows of `graded_submissions`, if they are at hand.
     """
     is_low = F.col("grade") < F.lit(float(threshold))
     if graded is None:
@@ -275,10 +276,12 @@ def low_grade_feedback(
     else:
         low = graded.filter(is_low)
     low = low.select("assignment_id", "grade_id", "student_id", "course_id")
-    comments = t.assignfeedback_comments.select(
-        F.col("assignment").alias("assignment_id"), F.col("grade").alias("grade_id"), "commenttext"
-    )
-    searched = comments.join(low, ["assignment_id", "grade_id"]).select(
-        "student_id", "course_id", contains_any(F.col("commenttext"), keywords).alias("addressed")
+    found = contains_any(F.col("commenttext"), keywords)
+    if course_ids is not None:
+        assignments = in_courses(t.assign, "course", course_ids).select("id")
+        found = F.when(may_hold(key_bitmap(assignments, ("id",)), ("assignment",)), found).otherwise(False)
+    comments = t.assignfeedback_comments.filter(found).select(
+        F.col("assignment").alias("assignment_id"), F.col("grade").alias("grade_id")
     )
+    searched = comments.join(low, ["assignment_id", "grade_id"]).select("student_id", "course_id", F.lit(True).alias("addressed"))
     return low.select("student_id", "course_id", F.lit(False).alias("addressed")).unionByName(searched)

@@ -126,6 +126,15 @@ def test_no_text_is_shuffled_for_forum_posts(stored):
         assert not ("Exchange" in line and "message" in line)
 
 
+def test_no_text_is_shuffled_for_low_grades(spark, stored):
+    """Comments are searched below every shuffle, and another course's comments not at all."""
+    for course_ids in (None, [1, 2]):
+        lines = fixed_plan(spark, lambda: teacher.course_performance_feedback(stored, course_ids)).splitlines()
+        assert not any("Exchange" in x and "commenttext" in x for x in lines)
+        searching = [x for x in lines if "RLIKE" in x and "FileScan" not in x]
+        assert len(searching) == 1 and ("getbit(" in searching[0]) == (course_ids is not None)
+
+
 def test_stored_tables_give_the_same_result(spark, stored):
     derived = sample_tables(spark, ROOT)
     for t in (derived, stored):

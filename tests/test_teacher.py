@@ -2,7 +2,7 @@
 
 import pytest
 
-from learnlens.functions.text import RESOLUTION_KEYWORDS, contains_any
+from learnlens.functions.text import IMPROVEMENT_KEYWORDS, RESOLUTION_KEYWORDS, contains_any
 from learnlens.operators.states import EXHIBITED, NOT_EXHIBITED, NOT_REQUIRED
 from learnlens.operators.uniqueness import feedback_uniqueness
 from learnlens.operators.weekly import weekly_interactions
@@ -68,6 +68,19 @@ def test_keywords_ignore_ascii_case_only(spark, text, found):
     assert df.select(contains_any(df.message, RESOLUTION_KEYWORDS).alias("x")).collect()[0].x is found
 
 
+def test_many_keywords_are_found_in_one_pass(spark):
+    """The same rows as by plain search, at every place of a keyword and with letters whose lower case is ASCII."""
+    texts = [None, "", "nothing here", "wor on", "edi t", "in\ncorrec\nt", "E\u212aeep practicing", "\u0130mprove", "Iimprov e", "seek  assistance", "a.b", "axb"]
+    for word in (*IMPROVEMENT_KEYWORDS, "a.b", "x*"):
+        texts += [word, word.upper(), f"so\n{word.title()}ly é", word[:-1], word[1:], word.replace("k", "\u212a").replace("s", "\u017f")]
+    df = spark.createDataFrame([(x,) for x in texts], "message string")
+    for keywords in (IMPROVEMENT_KEYWORDS, (*IMPROVEMENT_KEYWORDS, "a.b", "x*")):
+        held = [any(k in "".join(c.lower() if c.isascii() else c for c in x or "") for k in keywords) for x in texts]
+        assert [r.x for r in df.select(contains_any(df.message, keywords).alias("x")).collect()] == held
+        assert "RLIKE" in df.select(contains_any(df.message, keywords))._jdf.queryExecution().optimizedPlan().toString()
+    assert not df.select(contains_any(df.message, [*IMPROVEMENT_KEYWORDS, "über"]))._jdf.queryExecution().optimizedPlan().toString().count("RLIKE")
+
+
 # -- personalised feedback
 
 
