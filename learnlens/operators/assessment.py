@@ -170,11 +170,13 @@ def with_comments(graded: DataFrame, comments: DataFrame) -> DataFrame:
     """`graded` with the columns of `comments` (assignment_id, grade_id and more); rows without a comment keep nulls.
 
     A left join could not broadcast its left side and would shuffle every comment ever written. So the comments first meet the
-    graded rows in an inner join, and only those found go on.
+    graded rows in an inner join, and only those found go on. A bitmap of the graded rows' grades drops most of the others where
+    they are read, so that their texts meet no shuffle where the graded rows are too many to broadcast.
     """
     place = ["assignment_id", "grade_id"]
     wanted = graded.filter(F.col("grade_id").isNotNull()).select(*place).distinct()
-    return graded.join(comments.join(wanted, place), place, "left")
+    seen = comments.filter(may_hold(key_bitmap(wanted, place), place))
+    return graded.join(seen.join(wanted, place), place, "left")
 
 
 def feedback_records(

@@ -31,6 +31,7 @@ from pyspark.sql import Window as W
 from learnlens.functions.staging import stage
 from learnlens.functions.text import words
 from learnlens.operators.assessment import graded_submissions, with_comments
+from learnlens.operators.membership import key_bitmap, may_hold
 from learnlens.sources.tables import LearningTables
 
 TEXT = ["assignment_id", "text_id"]
@@ -72,15 +73,17 @@ def _records(t: LearningTables, graded: DataFrame) -> DataFrame:
 def _texts(t: LearningTables, records: DataFrame) -> DataFrame:
     """One row per different text of an assignment: copies, its smallest record key, and its words.
 
-    The text itself is read again, for one record of each, where the scan meets the narrow keys.
+    The text itself is read again, for one record of each: a bitmap of the narrow keys drops most others at the scan, and texts are
+    split after the join, as a list of words is several times as long.
     """
     different = records.groupBy("assignment_id", "hash_1", "hash_2", "n_words").agg(
         F.count(F.lit(1)).alias("copies"), F.min("record_key").alias("text_id")
     )
     columns = [*TEXT, "copies", "n_words"]
     missing = different.filter("text_id < 0").select(*columns, words(F.lit("")).alias("words"))
-    comments = _comments(t).select(F.col("feedback_id").alias("text_id"), words(F.col("text")).alias("words"))
-    return different.filter("text_id >= 0").select(*columns).join(comments, "text_id").select(*columns, "words").unionByName(missing)
+    found = different.filter("text_id >= 0").select(*columns)
+    comments = _comments(t).select(F.col("feedback_id").alias("text_id"), "text").filter(may_hold(key_bitmap(found, ("text_id",)), ("text_id",)))
+    return found.join(comments, "text_id").select(*columns, words(F.col("text")).alias("words")).unionByName(missing)
 
 
 def feedback_uniqueness(

@@ -5,7 +5,7 @@ import re
 import pytest
 
 from learnlens.functions.periods import DAY
-from learnlens.operators import activity, forum, summaries, weekly
+from learnlens.operators import activity, assessment, forum, summaries, uniqueness, weekly
 from learnlens.plans import catalog, student, teacher
 from learnlens.plans.dashboard import dashboard
 from learnlens.plans.registry import STUDENT, TEACHER
@@ -135,6 +135,23 @@ def test_no_text_is_shuffled_for_low_grades(spark, stored):
         assert len(searching) == 1 and ("getbit(" in searching[0]) == (course_ids is not None)
 
 
+def test_comments_without_a_graded_row_go_before_any_shuffle(spark, stored):
+    """Also where nothing is broadcast: the texts of the records, and those read again for the words."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        records = fixed_plan(spark, lambda: assessment.feedback_records(stored))
+        kept = uniqueness._records(stored, assessment.graded_submissions(stored)).localCheckpoint()
+        texts = fixed_plan(spark, lambda: uniqueness._texts(stored, kept))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for text in (records, texts):
+        lines = text.splitlines()
+        scan = next(i for i, x in enumerate(lines) if "FileScan" in x and "commenttext" in x)
+        exchange = max(i for i, x in enumerate(lines[:scan]) if "Exchange" in x)
+        assert any("Filter" in x and "getbit(" in x for x in lines[exchange:scan])
+        assert not any("Project" in x and "split(" in x for x in lines[exchange:scan])
+
+
 def test_stored_tables_give_the_same_result(spark, stored):
     derived = sample_tables(spark, ROOT)
     for t in (derived, stored):
