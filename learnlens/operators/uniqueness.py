@@ -16,11 +16,15 @@ all pairs of an assignment is quadratic, and one assignment may hold a third of
 So look-ups stay below LOOKUPS rows per text. Of n texts in one assignment that are built from the same frequent words, tiles take
 n / TILE copies of each text's words through the shuffle; that rest stays quadratic, a thousandth of the pairs. The
 result is exact: no partner is capped or sampled.
+
+Where only a goal is to be decided, step 2 is another one: each text is compared with the WIDE texts of the assignment that have most different
+words, in one pass in which a text is one row. Texts of ordinary language are decided there. Steps 3 and 4 are taken for the others alone, and
+of all texts' words only those that they look up meet a shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -39,6 +43,8 @@ RECORD = ["course_id", "assignment_id", "student_id", "submission_id", "record_k
 PARTNERS = 3
 LOOKUPS = 2_000
 TILE = 1_000
+WIDE = 32
+CHUNK = 1 << 19  # words of texts that are compared with the widest at once
 _COLUMNS = 4_096  # words of a tile that are multiplied at once
 
 
@@ -123,20 +129,94 @@ def _uniqueness(overlap: Column, n_words: Column) -> Column:
 def largest_overlaps(texts: DataFrame, goal: float | None = None) -> DataFrame:
     """assignment_id, text_id, overlap for every text that occurs once in its assignment.
 
-    `texts` has assignment_id, text_id, copies, n_words, words. Two results are staged on the way, because several steps read
-    them: the words of the texts and the lower bounds.
+    `texts` has assignment_id, text_id, copies, n_words, words. Results that several steps read are staged on the way: the words of the texts
+    and the lower bounds.
     """
+    if goal is not None:
+        return _overlaps_for_goal(texts, goal)
     own = stage(_words_of_texts(texts))
     shared = own.filter((F.col("copies") == 1) & (F.col("df") > 1)).select(*TEXT, "n_words", "word", "tf", "df")
     holders = own.filter(F.col("df") > 1).select("assignment_id", F.col("text_id").alias("other_id"), "word")
 
     bounds = stage(_lower_bounds(own, shared, holders))
-    found = _better_partners(own, shared, holders, bounds, goal)
+    ranked = _ranked(shared.join(bounds, TEXT).withColumn("beaten", F.col("bound")))
+    return _raised(bounds, _better_partners(own.select(*TEXT).distinct(), ranked, lambda rows, columns: holders))
+
+
+def _raised(bounds: DataFrame, found: DataFrame) -> DataFrame:
     return bounds.join(found, TEXT, "left").select(
         *TEXT, F.greatest("bound", F.coalesce("found", F.lit(0).cast("long"))).alias("overlap")
     )
 
 
+def _overlaps_for_goal(texts: DataFrame, goal: float) -> DataFrame:
+    """`largest_overlaps` of which only the side of the goal is certain.
+
+    Words are 64-bit hashes here. Staged are the texts as lists of these, the bounds, and the words of the undecided texts.
+    """
+    coded = stage(texts.select(*TEXT, "copies", "n_words", F.transform("words", lambda w: F.xxhash64(w)).alias("codes")))
+    bounds = stage(_bounds_by_widest(coded))
+    share = float(goal) / 100
+    # One less than the overlap that could be enough, so that rounding never sets a needed word aside.
+    beaten = F.greatest("bound", F.floor(F.lit(1.0 - share) * F.col("n_words")) - 1)
+    undecided = bounds.filter(~(_uniqueness(F.col("bound"), F.col("n_words")) < F.lit(share))).select(*TEXT, beaten.alias("beaten"))
+    own = (
+        coded.filter(may_hold(key_bitmap(undecided, TEXT), TEXT))
+        .join(undecided, TEXT)
+        .select(*TEXT, "beaten", F.explode("codes").alias("word"))
+        .groupBy(*TEXT, "beaten", "word")
+        .agg(F.count(F.lit(1)).alias("tf"))
+    )
+    own = stage(own)
+    place = ["assignment_id", "word"]
+    holders = coded.select("assignment_id", F.col("text_id").alias("other_id"), F.explode(F.array_distinct("codes")).alias("word"))
+
+    def holders_of(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+        return holders.filter(may_hold(key_bitmap(rows, columns), columns))
+
+    spread = holders_of(own, place).groupBy(*place).agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    ranked = stage(_ranked(own.join(spread, place)))
+    return _raised(bounds.select(*TEXT, "bound"), _better_partners(coded.select(*TEXT), ranked, holders_of))
+
+
+def _bounds_by_widest(coded: DataFrame) -> DataFrame:
+    """n_words and bound, the largest overlap with one of the WIDE texts of most different words, for texts that occur once."""
+    widest_first = W.partitionBy("assignment_id").orderBy(F.desc("different"), "text_id")
+    widest = (
+        coded.select(*TEXT, F.size(F.array_distinct("codes")).alias("different"))
+        .withColumn("place", F.row_number().over(widest_first))
+        .filter(F.col("place") <= WIDE)
+        .select(*TEXT)
+    )
+    single = coded.filter(F.col("copies") == 1)
+    sizes = single.groupBy("assignment_id").agg(F.ceil(F.sum("n_words") / CHUNK).alias("chunks"))
+    left = single.join(sizes, "assignment_id").select(*TEXT, "n_words", "codes", F.pmod(F.xxhash64("text_id"), F.col("chunks")).alias("chunk"))
+    right = coded.join(widest, TEXT, "left_semi").join(sizes, "assignment_id").select(
+        F.col("assignment_id").alias("place_id"), F.col("text_id").alias("other_id"), F.array_distinct("codes").alias("held"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"),
+    )
+    return left.groupBy("assignment_id", "chunk").cogroup(right.groupBy("place_id", "chunk")).applyInPandas(
+        _largest_with, "assignment_id long, text_id long, n_words int, bound long"
+    )
+
+
+def _largest_with(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """The largest overlap of each left text with a right one but itself, from the sum of its words' marks."""
+    if not len(left):
+        return pd.DataFrame({"assignment_id": [], "text_id": [], "n_words": [], "bound": []})
+    lengths = [len(words) for words in left["codes"]]  # never 0: an empty text is one word
+    codes = np.concatenate(left["codes"].to_numpy())
+    held, sizes = np.concatenate(right["held"].to_numpy()), [len(words) for words in right["held"]]
+    known, at = np.unique(held, return_inverse=True)
+    marks = np.zeros((len(known) + 1, len(right)), dtype=np.uint8)  # the last row is that of words none holds
+    marks[at, np.repeat(np.arange(len(right)), sizes)] = 1
+    row = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+    row[known[row] != codes] = len(known)
+    overlap = np.add.reduceat(marks[row], np.cumsum([0, *lengths[:-1]]), axis=0, dtype=np.int64)
+    overlap[left["text_id"].to_numpy()[:, None] == right["other_id"].to_numpy()[None, :]] = 0
+    return left[["assignment_id", "text_id", "n_words"]].assign(bound=overlap.max(axis=1))
+
+
 def _words_of_texts(texts: DataFrame) -> DataFrame:
     """Words that a text shares with another one: tf in the text, df in the assignment, and a likely partner text.
 
@@ -183,29 +263,28 @@ def _lower_bounds(own: DataFrame, shared: DataFrame, holders: DataFrame) -> Data
     return by_partner.groupBy(*TEXT).agg(F.max("overlap").alias("bound"))
 
 
-def _better_partners(own: DataFrame, shared: DataFrame, holders: DataFrame, bounds: DataFrame, goal: float | None) -> DataFrame:
-    """found: the largest overlap above the bound, for the texts that have one."""
-    ranked = shared.join(bounds, TEXT)
-    beaten = F.col("bound")
-    if goal is not None:
-        share = float(goal) / 100
-        below_goal = _uniqueness(F.col("bound"), F.col("n_words")) < F.lit(share)
-        # One less than the overlap that could be enough, so that rounding never sets a needed word aside.
-        ranked = ranked.filter(~below_goal)
-        beaten = F.greatest("bound", F.floor(F.lit(1.0 - share) * F.col("n_words")) - 1)
+def _ranked(words_of_texts: DataFrame) -> DataFrame:
+    """Adds `aside` to the words of texts (tf, df, and the overlap to be `beaten`), and `slack` and `many`, which are the text's."""
     # Frequent words first, up to what the bound already covers: these need no look-up.
     frequent_first = W.partitionBy(*TEXT).orderBy(F.desc("df"), "word").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = ranked.withColumn("beaten", beaten).withColumn("covered", F.sum("tf").over(frequent_first))
+    ranked = words_of_texts.withColumn("covered", F.sum("tf").over(frequent_first))
     aside = F.col("covered") <= F.col("beaten")
     slack = F.sum(F.when(aside, F.col("tf")).otherwise(0)).over(W.partitionBy(*TEXT))
     lookups = F.sum(F.when(aside, 0).otherwise(F.col("df"))).over(W.partitionBy(*TEXT))
-    ranked = ranked.withColumns({"aside": aside, "slack": slack, "many": lookups > LOOKUPS})
-    tiled = _tiled(own, ranked.filter("many"), holders)
+    return ranked.withColumns({"aside": aside, "slack": slack, "many": lookups > LOOKUPS})
+
+
+def _better_partners(members: DataFrame, ranked: DataFrame, holders_of: Callable[[DataFrame, Sequence[str]], DataFrame]) -> DataFrame:
+    """found: the largest overlap above the one to be beaten, for the texts that have one.
+
+    `members` are all texts. `holders_of` gives the words of texts, other_id, that may have a partner in rows by some columns.
+    """
+    place = ["assignment_id", "word"]
+    tiled = _tiled(members, ranked.filter("many"), holders_of)
     ranked = ranked.filter(~F.col("many"))
+    rare = ranked.filter(~F.col("aside")).select(*TEXT, "word", "tf", "slack", "beaten")
     candidates = (
-        ranked.filter(~F.col("aside"))
-        .select(*TEXT, "word", "tf", "slack", "beaten")
-        .join(holders, ["assignment_id", "word"])
+        rare.join(holders_of(rare, place), place)
         .filter(F.col("other_id") != F.col("text_id"))
         .groupBy(*TEXT, "other_id", "slack", "beaten")
         .agg(F.sum("tf").alias("rare_overlap"))
@@ -216,7 +295,7 @@ def _better_partners(own: DataFrame, shared: DataFrame, holders: DataFrame, boun
     frequent = ranked.filter("aside").select(*TEXT, "word", "tf")
     looked_up = (
         candidates.join(frequent, TEXT, "left")
-        .join(holders.withColumn("held", F.lit(True)), ["assignment_id", "other_id", "word"], "left")
+        .join(holders_of(candidates, ["assignment_id", "other_id"]).withColumn("held", F.lit(True)), ["assignment_id", "other_id", "word"], "left")
         .groupBy(*TEXT, "other_id", "rare_overlap")
         .agg(F.sum(F.when(F.col("held"), F.col("tf")).otherwise(0)).alias("frequent_overlap"))
         .groupBy(*TEXT)
@@ -225,15 +304,20 @@ def _better_partners(own: DataFrame, shared: DataFrame, holders: DataFrame, boun
     return looked_up.unionByName(tiled)
 
 
-def _tiled(own: DataFrame, dense: DataFrame, holders: DataFrame) -> DataFrame:
-    """found: the largest overlap of each text in `dense` (its shared words) with any other text of its assignment."""
-    places = dense.select("assignment_id").distinct()
-    sizes = own.join(places, "assignment_id", "left_semi").groupBy(*TEXT).agg(F.lit(1).alias("one")).groupBy("assignment_id").agg(F.ceil(F.count("one") / TILE).alias("chunks"))
-    chunk = lambda column: F.pmod(F.xxhash64(column), F.col("chunks"))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
+def _tiled(members: DataFrame, dense: DataFrame, holders_of: Callable[[DataFrame, Sequence[str]], DataFrame]) -> DataFrame:
+    """found: the largest overlap of each text in `dense` (its shared words) with any other text of its assignment.
+
+    The texts in `dense` are cut into blocks by their own number, so that few of them cost few copies of the others' words.
+    """
+    blocks = lambda rows, name: rows.groupBy("assignment_id").agg(F.ceil(F.count(F.lit(1)) / TILE).alias(name))
+    sizes = blocks(dense.select(*TEXT).distinct(), "of_a").join(blocks(members, "of_b"), "assignment_id")
+    chunk = lambda column, number: F.pmod(F.xxhash64(column), F.col(number))
+    every = lambda number: F.explode(F.sequence(F.lit(0).cast("long"), F.col(number) - 1))
     code = F.xxhash64("word").alias("code")
-    left = dense.join(sizes, "assignment_id").select(*TEXT, code, "tf", chunk("text_id").alias("a"), every.alias("b"))
-    right = holders.join(sizes, "assignment_id").select(F.col("assignment_id").alias("place_id"), "other_id", code, chunk("other_id").alias("b"), every.alias("a"))
+    left = dense.join(sizes, "assignment_id").select(*TEXT, code, "tf", chunk("text_id", "of_a").alias("a"), every("of_b").alias("b"))
+    right = holders_of(dense, ["assignment_id", "word"]).join(sizes, "assignment_id").select(
+        F.col("assignment_id").alias("place_id"), "other_id", code, chunk("other_id", "of_b").alias("b"), every("of_a").alias("a")
+    )
     best = left.groupBy("assignment_id", "a", "b").cogroup(right.groupBy("place_id", "a", "b")).applyInPandas(_compare, "assignment_id long, text_id long, found long")
     return best.groupBy(*TEXT).agg(F.max("found").alias("found"))
 

@@ -318,3 +318,28 @@ def test_goal_search_decides_like_the_exact_one(spark, search, goal):
     lengths = {(a, k): len(text.split(" ")) for a, k, text in records}
     for key, overlap in got.items():
         assert (1.0 - overlap / lengths[key] < goal / 100) == (1.0 - expected[key] / lengths[key] < goal / 100)
+
+
+@pytest.mark.parametrize("goal", [20.0, 60.0, 80.0])
+@pytest.mark.parametrize("widest", [1, 3])
+def test_texts_that_the_widest_leave_open_are_searched(spark, search, monkeypatch, goal, widest):
+    monkeypatch.setattr(uniqueness, "WIDE", widest, raising=False)
+    monkeypatch.setattr(uniqueness, "CHUNK", 100, raising=False)
+    test_goal_search_decides_like_the_exact_one(spark, search, goal)
+
+
+def test_words_of_decided_texts_are_no_rows(spark, monkeypatch):
+    """Texts of one small vocabulary are decided by the widest: a few rows each are staged, and no row per word."""
+    rng = random.Random(15)
+    records = [(1, key, " ".join(rng.choice([f"w{i}" for i in range(80)]) for _ in range(60))) for key in range(200)]
+    staged = []
+
+    def stage(df):
+        kept = df.localCheckpoint()
+        staged.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(uniqueness, "stage", stage)
+    found = uniqueness.largest_overlaps(texts_of(spark, records), 60.0).collect()
+    assert len(found) == 200 and all(r.overlap >= 30 for r in found)
+    assert sum(staged) <= 3 * len(records)
