@@ -269,7 +269,8 @@ def low_grade_feedback(
 
     Comments are searched where they are read, and only the keys of those that hold a keyword go on: no text is shuffled. A bitmap
     of the courses' assignments keeps the search off other courses. Users outside the roster are dropped later, when the folded
-    states meet it. `graded` are the rows of `graded_submissions`, if they are at hand.
+    states meet it. `graded` are the rows of `graded_submissions`, if they are at hand; then a bitmap of the low grades keeps the search
+    off all other comments, which are dropped where they are read.
     """
     is_low = F.col("grade") < F.lit(float(threshold))
     if graded is None:
@@ -282,8 +283,9 @@ def low_grade_feedback(
     if course_ids is not None:
         assignments = in_courses(t.assign, "course", course_ids).select("id")
         found = F.when(may_hold(key_bitmap(assignments, ("id",)), ("assignment",)), found).otherwise(False)
-    comments = t.assignfeedback_comments.filter(found).select(
-        F.col("assignment").alias("assignment_id"), F.col("grade").alias("grade_id")
-    )
+    comments = t.assignfeedback_comments
+    if graded is not None:
+        comments = comments.filter(may_hold(key_bitmap(low, ("assignment_id", "grade_id")), ("assignment", "grade")))
+    comments = comments.filter(found).select(F.col("assignment").alias("assignment_id"), F.col("grade").alias("grade_id"))
     searched = comments.join(low, ["assignment_id", "grade_id"]).select("student_id", "course_id", F.lit(True).alias("addressed"))
     return low.select("student_id", "course_id", F.lit(False).alias("addressed")).unionByName(searched)

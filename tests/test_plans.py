@@ -249,3 +249,10 @@ def test_dashboard_joins_grades_once(spark, stored):
     text = fixed_plan(spark, lambda: dashboard(spark, stored, AS_OF, group=TEACHER))
     scans = [x for x in text.splitlines() if "FileScan" in x]
     assert not any("assign_submission.parquet" in x or "assign_grades.parquet" in x for x in scans)
+
+
+def test_dashboard_searches_comments_on_low_grades_only(spark, stored):
+    """The bitmap of the low grades comes before the keyword search, in every filter that searches."""
+    text = fixed_plan(spark, lambda: dashboard(spark, stored, AS_OF, group=TEACHER))
+    searching = [x for x in text.splitlines() if "RLIKE" in x and "Filter" in x and "FileScan" not in x]
+    assert searching and all(0 <= x.find("getbit(") < x.find("RLIKE") for x in searching)
