@@ -195,9 +195,11 @@ def _bounds_by_widest(coded: DataFrame) -> DataFrame:
         F.col("assignment_id").alias("place_id"), F.col("text_id").alias("other_id"), F.array_distinct("codes").alias("held"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"),
     )
-    return left.groupBy("assignment_id", "chunk").cogroup(right.groupBy("place_id", "chunk")).applyInPandas(
+    compared = left.groupBy("assignment_id", "chunk").cogroup(right.groupBy("place_id", "chunk")).applyInPandas(
         _largest_with, "assignment_id long, text_id long, n_words int, bound long"
     )
+    # one row even where a comment's id has several texts, so that no record is multiplied
+    return compared.groupBy(*TEXT).agg(F.max("n_words").alias("n_words"), F.max("bound").alias("bound"))
 
 
 def _largest_with(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

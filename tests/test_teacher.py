@@ -4,7 +4,7 @@ import pytest
 
 from learnlens.functions.text import IMPROVEMENT_KEYWORDS, RESOLUTION_KEYWORDS, contains_any
 from learnlens.operators.states import EXHIBITED, NOT_EXHIBITED, NOT_REQUIRED
-from learnlens.operators.uniqueness import feedback_uniqueness
+from learnlens.operators.uniqueness import feedback_uniqueness, unique_feedback
 from learnlens.operators.weekly import weekly_interactions
 from learnlens.plans import teacher
 from tests.conftest import STUDENT, TEACHER, event, states
@@ -116,6 +116,12 @@ def test_two_records_of_one_student_are_compared(classroom):
     assert [r.uniqueness for r in feedback_uniqueness(t).collect()] == [0.0, 0.0]
 
 
+def test_a_comment_id_with_two_texts_multiplies_no_record(classroom):
+    t = classroom([submitted(1, 1), submitted(2, 2)], [graded(1, 1), graded(2, 2)], [(5, 10, 1, "a b"), (5, 10, 1, "a c d"), (6, 10, 2, "e f")])
+    keys = sorted(r.record_key for r in unique_feedback(t, 60.0).collect())
+    assert keys == sorted(r.record_key for r in feedback_uniqueness(t).collect()) == [5, 5, 6]
+
+
 def test_newlines_do_not_split_and_double_spaces_make_empty_words(classroom):
     t = classroom([submitted(1, 1), submitted(2, 2)], [graded(1, 1), graded(2, 2)], [(1, 10, 1, "a\nb  c"), (2, 10, 2, "a  d")])
     assert uniqueness(t) == {1: round(1 - 1 / 3, 6), 2: round(1 - 1 / 3, 6)}
