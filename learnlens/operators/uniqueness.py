@@ -1,51 +1,48 @@
 """How much of a feedback text reappears in another text of the same assignment.
 
-The overlap of two texts is the number of words of the first, repeats included, that occur in the second. Comparing
-all pairs of an assignment is quadratic, and one assignment may hold a third of all records, so pairs are avoided:
+The overlap of two texts is the number of words of the first, repeats included, that occur in the second. A text wants its largest overlap
+with any other of its assignment. No row per word and none per pair of texts is ever made:
 
 1. Equal texts are collapsed by hash. A text that occurs twice overlaps fully with its copy and needs no search.
-2. For each other text the overlap with a few likely partners, picked from per-word aggregates, is counted. The largest is
-   a lower bound.
-3. The most frequent words of a text are set aside as long as they cannot beat the bound together. A better partner
-   must share one of the remaining, rarer words, so only those are looked up. Pairs found this way are kept only while
-   their best possible overlap still beats the bound, and then counted in full.
-4. A text whose remaining words would look up more than `LOOKUPS` rows is compared in tiles instead: blocks of such texts with
-   blocks of all texts of the assignment, as one matrix product per tile. No row per pair leaves a tile, only each
-   text's maximum.
-
-So look-ups stay below LOOKUPS rows per text. Of n texts in one assignment that are built from the same frequent words, tiles take
-n / TILE copies of each text's words through the shuffle; that rest stays quadratic, a thousandth of the pairs. The
-result is exact: no partner is capped or sampled.
-
-Where only a goal is to be decided, step 2 is another one: each text is compared with the WIDE texts of the assignment that have most different
-words, in one pass in which a text is one row. Texts of ordinary language are decided there. Steps 3 and 4 are taken for the others alone, and
-of all texts' words only those that they look up meet a shuffle.
+2. The texts of an assignment are dealt to blocks of up to `CHUNK` words. Two blocks meet in one task, each block also with itself; a text is one
+   row, as it was written, in as many tasks as its assignment has blocks. Mostly that is one.
+3. In a task each text is first compared with the `WIDE` texts of the other block that have most different words. A text that lies in one of them
+   wholly is done, and where only a goal is to be decided so is one whose overlap falls short of the goal.
+4. The others are compared with all texts of the block: words that many texts hold by a product of matrices, the others by the list of the texts
+   that hold them. Only each text's maximum leaves the task.
+
+The result is exact: no partner is capped or sampled. What grows with the square of an assignment's words is the copies of its texts, one per `CHUNK`
+words, and the time of its comparisons.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from array import array
+from collections import Counter, defaultdict
+from collections.abc import Sequence
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from learnlens.functions.staging import stage
 from learnlens.functions.text import words
 from learnlens.operators.assessment import graded_submissions, with_comments
-from learnlens.operators.membership import key_bitmap, may_hold
+from learnlens.operators.membership import MANY, key_bitmap, may_hold
 from learnlens.sources.tables import LearningTables
 
 TEXT = ["assignment_id", "text_id"]
 RECORD = ["course_id", "assignment_id", "student_id", "submission_id", "record_key"]
-PARTNERS = 3
-LOOKUPS = 2_000
-TILE = 1_000
+MEETING = ["assignment_id", "a", "b"]
+CHUNK = 1 << 22  # words of a block
+ROW = 16  # words that a row weighs besides its own
 WIDE = 32
-CHUNK = 1 << 19  # words of texts that are compared with the widest at once
-_COLUMNS = 4_096  # words of a tile that are multiplied at once
+TILE = 1_000  # texts whose overlaps are held at once
+LOOKUPS = 2_000  # holders of a text's words that are added one by one; more are counted in an array
+_COLUMNS = 4_096  # words held by many texts that are multiplied
+_CELLS = 1 << 23  # numbers of a matrix
 
 
 def _comments(t: LearningTables) -> DataFrame:
@@ -76,27 +73,34 @@ def _records(t: LearningTables, graded: DataFrame) -> DataFrame:
     )
 
 
+def _different(records: DataFrame) -> DataFrame:
+    """One row per different text of an assignment: copies, word count and its smallest record key."""
+    return (
+        records.groupBy("assignment_id", "hash_1", "hash_2", "n_words")
+        .agg(F.count(F.lit(1)).alias("copies"), F.min("record_key").alias("text_id"))
+        .select(*TEXT, "copies", "n_words")
+    )
+
+
 def _texts(t: LearningTables, records: DataFrame) -> DataFrame:
-    """One row per different text of an assignment: copies, its smallest record key, and its words.
+    """The texts of `_different` and few others, as `_dealt`.
 
-    The text itself is read again, for one record of each: a bitmap of the narrow keys drops most others at the scan, and texts are
-    split after the join, as a list of words is several times as long.
+    The text itself is read again, for one record of each: a bitmap of the narrow keys drops most others at the scan. What passes goes straight
+    to the tasks that compare it, which know the keys, so that texts are shuffled once.
     """
-    different = records.groupBy("assignment_id", "hash_1", "hash_2", "n_words").agg(
-        F.count(F.lit(1)).alias("copies"), F.min("record_key").alias("text_id")
-    )
-    columns = [*TEXT, "copies", "n_words"]
-    missing = different.filter("text_id < 0").select(*columns, words(F.lit("")).alias("words"))
-    found = different.filter("text_id >= 0").select(*columns)
-    comments = _comments(t).select(F.col("feedback_id").alias("text_id"), "text").filter(may_hold(key_bitmap(found, ("text_id",)), ("text_id",)))
-    return found.join(comments, "text_id").select(*columns, words(F.col("text")).alias("words")).unionByName(missing)
+    different = _different(records)
+    missing = different.filter("text_id < 0").select(*TEXT, F.lit("").alias("text"))
+    found = different.filter("text_id >= 0")
+    comments = _comments(t).select("assignment_id", F.col("feedback_id").alias("text_id"), "text")
+    comments = comments.filter(may_hold(key_bitmap(found, TEXT, MANY), TEXT, MANY))
+    return _dealt(comments.unionByName(missing), _blocks(different)).repartition(*MEETING)
 
 
 def feedback_uniqueness(
     t: LearningTables, course_ids: Sequence[int] | None = None, open_end_at: int | None = None
 ) -> DataFrame:
     """Every feedback record with its word count, largest overlap and uniqueness `1 - overlap / n_words`."""
-    return _scored(t, graded_submissions(t, course_ids, open_end_at), None).select(*RECORD, "n_words", "overlap", "uniqueness")
+    return _scored(t, _graded(t, course_ids, open_end_at), None).select(*RECORD, "n_words", "overlap", "uniqueness")
 
 
 def unique_feedback(
@@ -106,15 +110,21 @@ def unique_feedback(
 
     The search stops as soon as a record is known to be below the goal or not. `graded` are the rows of `graded_submissions`, if they are at hand.
     """
-    scored = _scored(t, graded_submissions(t, course_ids, open_end_at) if graded is None else graded, goal)
+    scored = _scored(t, _graded(t, course_ids, open_end_at) if graded is None else graded, goal)
     # The formula keeps its order of operations so that ties agree.
     return scored.select(*RECORD, (~(F.col("uniqueness") < F.lit(float(goal) / 100))).alias("unique_enough"))
 
 
+def _graded(t: LearningTables, course_ids: Sequence[int] | None, open_end_at: int | None) -> DataFrame:
+    """`graded_submissions`, staged: three uses read them, and what made them is gone from the disk before texts are shuffled."""
+    return stage(graded_submissions(t, course_ids, open_end_at))
+
+
 def _scored(t: LearningTables, graded: DataFrame, goal: float | None) -> DataFrame:
     """Records with their overlap; with a goal only its side of the goal is certain."""
     records = stage(_records(t, graded))
-    best = largest_overlaps(_texts(t, records), goal).withColumnRenamed("text_id", "record_key")
+    # Staged as well, so that the shuffled texts are gone before the caller's job begins.
+    best = stage(_compared(_different(records), _texts(t, records), goal)).withColumnRenamed("text_id", "record_key")
     n_words = F.col("n_words").cast("long")
     overlap = F.coalesce("overlap", n_words)  # no row in `best`: the text has a copy
     return records.join(best, ["assignment_id", "record_key"], "left").select(
@@ -129,218 +139,169 @@ def _uniqueness(overlap: Column, n_words: Column) -> Column:
 def largest_overlaps(texts: DataFrame, goal: float | None = None) -> DataFrame:
     """assignment_id, text_id, overlap for every text that occurs once in its assignment.
 
-    `texts` has assignment_id, text_id, copies, n_words, words. Results that several steps read are staged on the way: the words of the texts
-    and the lower bounds.
+    `texts` has assignment_id, text_id, copies, n_words, words. With a goal, a percentage, only the overlap's side of the goal is certain.
     """
-    if goal is not None:
-        return _overlaps_for_goal(texts, goal)
-    own = stage(_words_of_texts(texts))
-    shared = own.filter((F.col("copies") == 1) & (F.col("df") > 1)).select(*TEXT, "n_words", "word", "tf", "df")
-    holders = own.filter(F.col("df") > 1).select("assignment_id", F.col("text_id").alias("other_id"), "word")
-
-    bounds = stage(_lower_bounds(own, shared, holders))
-    ranked = _ranked(shared.join(bounds, TEXT).withColumn("beaten", F.col("bound")))
-    return _raised(bounds, _better_partners(own.select(*TEXT).distinct(), ranked, lambda rows, columns: holders))
-
+    written = texts.select(*TEXT, F.array_join("words", " ").alias("text"))
+    return _compared(texts.select(*TEXT, "copies", "n_words"), _dealt(written, _blocks(texts)), goal)
 
-def _raised(bounds: DataFrame, found: DataFrame) -> DataFrame:
-    return bounds.join(found, TEXT, "left").select(
-        *TEXT, F.greatest("bound", F.coalesce("found", F.lit(0).cast("long"))).alias("overlap")
-    )
 
+def _blocks(different: DataFrame) -> Column:
+    """How many blocks the texts of an assignment make, as a scalar: a map of the assignments that make several."""
+    weight = F.sum(F.col("n_words").cast("long") + ROW)
+    many = different.groupBy("assignment_id").agg(F.ceil(weight / CHUNK).alias("blocks")).filter("blocks > 1")
+    return many.agg(F.map_from_entries(F.collect_list(F.struct("assignment_id", "blocks")))).scalar()
 
-def _overlaps_for_goal(texts: DataFrame, goal: float) -> DataFrame:
-    """`largest_overlaps` of which only the side of the goal is certain.
 
-    Words are 64-bit hashes here. Staged are the texts as lists of these, the bounds, and the words of the undecided texts.
-    """
-    coded = stage(texts.select(*TEXT, "copies", "n_words", F.transform("words", lambda w: F.xxhash64(w)).alias("codes")))
-    bounds = stage(_bounds_by_widest(coded))
-    share = float(goal) / 100
-    # One less than the overlap that could be enough, so that rounding never sets a needed word aside.
-    beaten = F.greatest("bound", F.floor(F.lit(1.0 - share) * F.col("n_words")) - 1)
-    undecided = bounds.filter(~(_uniqueness(F.col("bound"), F.col("n_words")) < F.lit(share))).select(*TEXT, beaten.alias("beaten"))
-    own = (
-        coded.filter(may_hold(key_bitmap(undecided, TEXT), TEXT))
-        .join(undecided, TEXT)
-        .select(*TEXT, "beaten", F.explode("codes").alias("word"))
-        .groupBy(*TEXT, "beaten", "word")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    own = stage(own)
-    place = ["assignment_id", "word"]
-    holders = coded.select("assignment_id", F.col("text_id").alias("other_id"), F.explode(F.array_distinct("codes")).alias("word"))
-
-    def holders_of(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-        return holders.filter(may_hold(key_bitmap(rows, columns), columns))
-
-    spread = holders_of(own, place).groupBy(*place).agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    ranked = stage(_ranked(own.join(spread, place)))
-    return _raised(bounds.select(*TEXT, "bound"), _better_partners(coded.select(*TEXT), ranked, holders_of))
-
-
-def _bounds_by_widest(coded: DataFrame) -> DataFrame:
-    """n_words and bound, the largest overlap with one of the WIDE texts of most different words, for texts that occur once."""
-    widest_first = W.partitionBy("assignment_id").orderBy(F.desc("different"), "text_id")
-    widest = (
-        coded.select(*TEXT, F.size(F.array_distinct("codes")).alias("different"))
-        .withColumn("place", F.row_number().over(widest_first))
-        .filter(F.col("place") <= WIDE)
-        .select(*TEXT)
-    )
-    single = coded.filter(F.col("copies") == 1)
-    sizes = single.groupBy("assignment_id").agg(F.ceil(F.sum("n_words") / CHUNK).alias("chunks"))
-    left = single.join(sizes, "assignment_id").select(*TEXT, "n_words", "codes", F.pmod(F.xxhash64("text_id"), F.col("chunks")).alias("chunk"))
-    right = coded.join(widest, TEXT, "left_semi").join(sizes, "assignment_id").select(
-        F.col("assignment_id").alias("place_id"), F.col("text_id").alias("other_id"), F.array_distinct("codes").alias("held"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"),
-    )
-    compared = left.groupBy("assignment_id", "chunk").cogroup(right.groupBy("place_id", "chunk")).applyInPandas(
-        _largest_with, "assignment_id long, text_id long, n_words int, bound long"
-    )
-    # one row even where a comment's id has several texts, so that no record is multiplied
-    return compared.groupBy(*TEXT).agg(F.max("n_words").alias("n_words"), F.max("bound").alias("bound"))
-
-
-def _largest_with(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """The largest overlap of each left text with a right one but itself, from the sum of its words' marks."""
-    if not len(left):
-        return pd.DataFrame({"assignment_id": [], "text_id": [], "n_words": [], "bound": []})
-    lengths = [len(words) for words in left["codes"]]  # never 0: an empty text is one word
-    codes = np.concatenate(left["codes"].to_numpy())
-    held, sizes = np.concatenate(right["held"].to_numpy()), [len(words) for words in right["held"]]
-    known, at = np.unique(held, return_inverse=True)
-    marks = np.zeros((len(known) + 1, len(right)), dtype=np.uint8)  # the last row is that of words none holds
-    marks[at, np.repeat(np.arange(len(right)), sizes)] = 1
-    row = np.minimum(np.searchsorted(known, codes), len(known) - 1)
-    row[known[row] != codes] = len(known)
-    overlap = np.add.reduceat(marks[row], np.cumsum([0, *lengths[:-1]]), axis=0, dtype=np.int64)
-    overlap[left["text_id"].to_numpy()[:, None] == right["other_id"].to_numpy()[None, :]] = 0
-    return left[["assignment_id", "text_id", "n_words"]].assign(bound=overlap.max(axis=1))
-
-
-def _words_of_texts(texts: DataFrame) -> DataFrame:
-    """Words that a text shares with another one: tf in the text, df in the assignment, and a likely partner text.
-
-    A word of one text only cannot overlap with anything and is left out, except a text's first word, which keeps
-    every text in the table.
-    """
-    tokens = (
-        texts.select(*TEXT, "copies", "n_words", F.posexplode("words").alias("pos", "word"))
-        .groupBy(*TEXT, "copies", "n_words", "word")
-        .agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("first_pos"))
-        # always true; it keeps both columns in both uses of the tokens, so that they share one shuffle
-        .filter(F.col("tf") + F.col("first_pos") > 0)
-    )
-    spread = tokens.groupBy("assignment_id", "word").agg(
-        F.count(F.lit(1)).alias("df"), F.min("text_id").alias("low_id"), F.max("text_id").alias("high_id")
-    )
-    partner = F.when(F.col("text_id") == F.col("low_id"), F.col("high_id")).otherwise(F.col("low_id"))
-    return (
-        tokens.join(spread, ["assignment_id", "word"])
-        .filter((F.col("df") > 1) | (F.col("first_pos") == 0))
-        .select(*TEXT, "copies", "n_words", "word", "tf", "df", F.when(F.col("df") > 1, partner).alias("partner"))
+def _dealt(rows: DataFrame, blocks: Column) -> DataFrame:
+    """Each row once for every meeting (a, b) of two blocks of its assignment that its own block takes part in, with `block`."""
+    of = F.coalesce(F.try_element_at(blocks, F.col("assignment_id")), F.lit(1).cast("long"))
+    own = rows.withColumn("of", of).withColumn("block", F.pmod(F.xxhash64("text_id"), F.col("of")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)).alias("other")
+    return own.select(*rows.columns, "block", other).select(
+        *rows.columns, "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b")
     )
 
 
-def _lower_bounds(own: DataFrame, shared: DataFrame, holders: DataFrame) -> DataFrame:
-    """bound: the largest overlap with the partners named by most words; 0 for a text that shares no word."""
-    weight = F.sum(F.when(F.col("partner").isNotNull(), F.col("tf")).otherwise(0)).alias("weight")
-    first = W.partitionBy(*TEXT).orderBy(F.desc("weight"), F.col("partner").isNull(), "partner")
-    guess = (
-        own.filter(F.col("copies") == 1)
-        .groupBy(*TEXT, F.col("partner").alias("partner"))
-        .agg(weight)
-        .withColumn("place", F.row_number().over(first))
-        .filter((F.col("place") <= PARTNERS) & (F.col("partner").isNotNull() | (F.col("place") == 1)))
-        .select(*TEXT, F.col("partner").alias("other_id"))
-    )
-    counted = (
-        shared.join(guess.filter(F.col("other_id").isNotNull()), TEXT)
-        .join(holders, ["assignment_id", "other_id", "word"])
-        .select(*TEXT, "other_id", "tf")
+def _compared(different: DataFrame, dealt: DataFrame, goal: float | None) -> DataFrame:
+    """`largest_overlaps` of the texts `different`, whose text is among the rows that were `dealt`."""
+    enough = None if goal is None else float(goal) / 100
+    keys = _dealt(different, _blocks(different))
+    found = keys.groupBy(*MEETING).cogroup(dealt.groupBy(*MEETING)).applyInArrow(
+        lambda left, right: _meeting(left, right, enough), "assignment_id long, text_id long, overlap long"
     )
-    unshared = guess.filter(F.col("other_id").isNull()).select(*TEXT, "other_id", F.lit(0).cast("long").alias("tf"))
-    by_partner = counted.unionByName(unshared).groupBy(*TEXT, "other_id").agg(F.sum("tf").alias("overlap"))
-    return by_partner.groupBy(*TEXT).agg(F.max("overlap").alias("bound"))
-
-
-def _ranked(words_of_texts: DataFrame) -> DataFrame:
-    """Adds `aside` to the words of texts (tf, df, and the overlap to be `beaten`), and `slack` and `many`, which are the text's."""
-    # Frequent words first, up to what the bound already covers: these need no look-up.
-    frequent_first = W.partitionBy(*TEXT).orderBy(F.desc("df"), "word").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = words_of_texts.withColumn("covered", F.sum("tf").over(frequent_first))
-    aside = F.col("covered") <= F.col("beaten")
-    slack = F.sum(F.when(aside, F.col("tf")).otherwise(0)).over(W.partitionBy(*TEXT))
-    lookups = F.sum(F.when(aside, 0).otherwise(F.col("df"))).over(W.partitionBy(*TEXT))
-    return ranked.withColumns({"aside": aside, "slack": slack, "many": lookups > LOOKUPS})
-
-
-def _better_partners(members: DataFrame, ranked: DataFrame, holders_of: Callable[[DataFrame, Sequence[str]], DataFrame]) -> DataFrame:
-    """found: the largest overlap above the one to be beaten, for the texts that have one.
-
-    `members` are all texts. `holders_of` gives the words of texts, other_id, that may have a partner in rows by some columns.
-    """
-    place = ["assignment_id", "word"]
-    tiled = _tiled(members, ranked.filter("many"), holders_of)
-    ranked = ranked.filter(~F.col("many"))
-    rare = ranked.filter(~F.col("aside")).select(*TEXT, "word", "tf", "slack", "beaten")
-    candidates = (
-        rare.join(holders_of(rare, place), place)
-        .filter(F.col("other_id") != F.col("text_id"))
-        .groupBy(*TEXT, "other_id", "slack", "beaten")
-        .agg(F.sum("tf").alias("rare_overlap"))
-        .filter(F.col("rare_overlap") + F.col("slack") > F.col("beaten"))
-        .select(*TEXT, "other_id", "rare_overlap")
-    )
-    # Only the words set aside are left to count; a text may have none of them.
-    frequent = ranked.filter("aside").select(*TEXT, "word", "tf")
-    looked_up = (
-        candidates.join(frequent, TEXT, "left")
-        .join(holders_of(candidates, ["assignment_id", "other_id"]).withColumn("held", F.lit(True)), ["assignment_id", "other_id", "word"], "left")
-        .groupBy(*TEXT, "other_id", "rare_overlap")
-        .agg(F.sum(F.when(F.col("held"), F.col("tf")).otherwise(0)).alias("frequent_overlap"))
-        .groupBy(*TEXT)
-        .agg(F.max(F.col("rare_overlap") + F.col("frequent_overlap")).alias("found"))
-    )
-    return looked_up.unionByName(tiled)
-
-
-def _tiled(members: DataFrame, dense: DataFrame, holders_of: Callable[[DataFrame, Sequence[str]], DataFrame]) -> DataFrame:
-    """found: the largest overlap of each text in `dense` (its shared words) with any other text of its assignment.
-
-    The texts in `dense` are cut into blocks by their own number, so that few of them cost few copies of the others' words.
-    """
-    blocks = lambda rows, name: rows.groupBy("assignment_id").agg(F.ceil(F.count(F.lit(1)) / TILE).alias(name))
-    sizes = blocks(dense.select(*TEXT).distinct(), "of_a").join(blocks(members, "of_b"), "assignment_id")
-    chunk = lambda column, number: F.pmod(F.xxhash64(column), F.col(number))
-    every = lambda number: F.explode(F.sequence(F.lit(0).cast("long"), F.col(number) - 1))
-    code = F.xxhash64("word").alias("code")
-    left = dense.join(sizes, "assignment_id").select(*TEXT, code, "tf", chunk("text_id", "of_a").alias("a"), every("of_b").alias("b"))
-    right = holders_of(dense, ["assignment_id", "word"]).join(sizes, "assignment_id").select(
-        F.col("assignment_id").alias("place_id"), "other_id", code, chunk("other_id", "of_b").alias("b"), every("of_a").alias("a")
-    )
-    best = left.groupBy("assignment_id", "a", "b").cogroup(right.groupBy("place_id", "a", "b")).applyInPandas(_compare, "assignment_id long, text_id long, found long")
-    return best.groupBy(*TEXT).agg(F.max("found").alias("found"))
-
-
-def _compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """The largest overlap of each left text with a right one but itself, by products of word counts and word marks."""
-    if not len(left) or not len(right):
-        return pd.DataFrame({"assignment_id": [], "text_id": [], "found": []})
-    text, a = np.unique(left["text_id"], return_inverse=True)
-    other, b = np.unique(right["other_id"], return_inverse=True)
-    codes = np.unique(left["code"])
-    held = np.isin(right["code"], codes)
-    word_a, word_b = np.searchsorted(codes, left["code"]), np.searchsorted(codes, right["code"][held])
-    b, tf = b[held], left["tf"].to_numpy()
-    overlap = np.zeros((len(text), len(other)), dtype=np.float32)  # exact below 2 ** 24 words
-    for start in range(0, len(codes), _COLUMNS):
-        width = min(_COLUMNS, len(codes) - start)
-        in_a, in_b = (word_a >= start) & (word_a < start + width), (word_b >= start) & (word_b < start + width)
-        counts, marks = np.zeros((len(text), width), dtype=np.float32), np.zeros((len(other), width), dtype=np.float32)
-        counts[a[in_a], word_a[in_a] - start] = tf[in_a]
-        marks[b[in_b], word_b[in_b] - start] = 1
-        overlap += counts @ marks.T
-    overlap[text[:, None] == other[None, :]] = 0
-    return pd.DataFrame({"assignment_id": left["assignment_id"].iloc[0], "text_id": text, "found": overlap.max(axis=1).astype(np.int64)})
+    # one row even where a comment's id has several texts, so that no record is multiplied
+    return found.groupBy(*TEXT).agg(F.max("overlap").alias("overlap"))
+
+
+class _Coded(NamedTuple):
+    """Texts as numbers of their different words: `words` and how often, `tf`, text after text, of which each has `sizes` words."""
+
+    ids: np.ndarray
+    single: np.ndarray
+    lengths: np.ndarray
+    sizes: np.ndarray
+    words: np.ndarray
+    tf: np.ndarray
+
+    @property
+    def starts(self) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(self.sizes)])
+
+    def take(self, at: np.ndarray) -> _Coded:
+        starts, sizes = self.starts[at], self.sizes[at]
+        every = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum()) if len(at) else np.zeros(0, int)
+        return _Coded(self.ids[at], self.single[at], self.lengths[at], sizes, self.words[every], self.tf[every])
+
+
+def _meeting(keys: pa.Table, texts: pa.Table, enough: float | None) -> pa.Table:
+    """The largest overlap of each text that occurs once with a text of the other block, or of its own where a block meets itself."""
+    result = pa.schema([("assignment_id", pa.int64()), ("text_id", pa.int64()), ("overlap", pa.int64())])
+    if not keys.num_rows or not texts.num_rows:
+        return result.empty_table()
+    known = {key: rest for key, *rest in zip(*(keys[c].to_pylist() for c in ("text_id", "copies", "n_words", "block")))}
+    numbers: defaultdict[str, int] = defaultdict()
+    numbers.default_factory = numbers.__len__
+    words, tf, rows = array("i"), array("i"), []
+    for batch in texts.select(["text_id", "text"]).to_batches(max_chunksize=1_000):
+        for key, text in zip(batch["text_id"].to_pylist(), batch["text"].to_pylist()):
+            if key in known:  # the bitmap at the scan lets some others pass
+                counts = Counter(text.split(" "))
+                words.extend(map(numbers.__getitem__, counts))
+                tf.extend(counts.values())
+                rows.append((key, *known[key], len(counts)))
+    if not rows:
+        return result.empty_table()
+    total = len(numbers)
+    numbers.clear()
+    key, copies, n_words, block, sizes = np.array(rows, dtype=np.int64).T
+    coded = _Coded(key, copies == 1, n_words, sizes, np.frombuffer(words, dtype=np.int32), np.frombuffer(tf, dtype=np.int32))
+    a, b = keys["a"][0].as_py(), keys["b"][0].as_py()
+    first, second = (coded.take(np.flatnonzero(block == x)) for x in (a, b))
+    pairs = [(first, first)] if a == b else [(first, second), (second, first)]
+    left = [(own.ids[own.single], _largest_with(own.take(np.flatnonzero(own.single)), other, total, enough)) for own, other in pairs]
+    ids, overlap = (np.concatenate(x) for x in zip(*left))
+    return pa.table([np.full(len(ids), keys["assignment_id"][0].as_py()), ids, overlap], schema=result)
+
+
+def _largest_with(left: _Coded, right: _Coded, total: int, enough: float | None) -> np.ndarray:
+    """The largest overlap of each left text with a right one but itself; words have numbers below `total`."""
+    found = np.zeros(len(left.ids), dtype=np.int64)
+    if not len(left.ids) or not len(right.ids):
+        return found
+    found[:] = _with_widest(left, right, total)
+    if enough is None:
+        opened = found < left.lengths
+    else:
+        opened = ~(1.0 - found / left.lengths < enough)  # the same order of operations as in `_uniqueness`
+    at = np.flatnonzero(opened)
+    found[at] = np.maximum(found[at], _with_all(left.take(at), right, total))
+    return found
+
+
+def _with_widest(left: _Coded, right: _Coded, total: int) -> np.ndarray:
+    """The largest overlap with one of the WIDE right texts of most different words."""
+    widest = np.lexsort((right.ids, -right.sizes))[:WIDE]
+    wide = right.take(widest)
+    marks = np.zeros((total, len(widest)), dtype=np.uint8)
+    marks[wide.words, np.repeat(np.arange(len(widest)), wide.sizes)] = 1
+    starts, found = left.starts, np.zeros(len(left.ids), dtype=np.int64)
+    step = max(1, _CELLS // (len(widest) * max(1, int(left.sizes.max()))))
+    for start in range(0, len(left.ids), step):
+        end = min(start + step, len(left.ids))
+        part = slice(starts[start], starts[end])
+        overlap = np.add.reduceat(marks[left.words[part]] * left.tf[part, None], starts[start:end] - starts[start], axis=0, dtype=np.int64)
+        overlap[left.ids[start:end, None] == wide.ids] = 0
+        found[start:end] = overlap.max(axis=1)
+    return found
+
+
+def _with_all(left: _Coded, right: _Coded, total: int) -> np.ndarray:
+    """The largest overlap with a right text: words that many of these hold as a matrix product, the others by lists of their holders."""
+    n = len(right.ids)
+    df = np.bincount(right.words, minlength=total)
+    # A product costs every pair of texts a little, a list each holder more.
+    frequent = np.flatnonzero((df > 1) & (df >= n / 32))
+    frequent = frequent[np.argsort(-df[frequent], kind="stable")][: min(_COLUMNS, max(1, _CELLS // n))]
+    column = np.full(total, -1, dtype=np.int32)
+    column[frequent] = np.arange(len(frequent))
+    exact = np.float32 if left.lengths.max(initial=0) < 1 << 24 else np.float64
+    holder = np.repeat(np.arange(n, dtype=np.int32), right.sizes)
+    dense = column[right.words] >= 0
+    marks = np.zeros((len(frequent), n), dtype=exact)
+    marks[column[right.words[dense]], holder[dense]] = 1
+    order = np.argsort(right.words, kind="stable")
+    holders, ends = holder[order], np.cumsum(df)
+    by_id = np.argsort(right.ids, kind="stable")
+    same = np.searchsorted(right.ids[by_id], left.ids, "left"), np.searchsorted(right.ids[by_id], left.ids, "right")
+
+    starts, found = left.starts, np.zeros(len(left.ids), dtype=np.int64)
+    step = max(1, min(TILE, _CELLS // max(n, len(frequent), 1)))
+    for start in range(0, len(left.ids), step):
+        end = min(start + step, len(left.ids))
+        part = slice(starts[start], starts[end])
+        place, tf, words = column[left.words[part]], left.tf[part], left.words[part]
+        counts = np.zeros((end - start, len(frequent)), dtype=exact)
+        counts[np.repeat(np.arange(end - start), left.sizes[start:end])[place >= 0], place[place >= 0]] = tf[place >= 0]
+        overlaps = counts @ marks
+        for i in range(start, end):
+            overlap, own = overlaps[i - start], slice(starts[i] - starts[start], starts[i + 1] - starts[start])
+            listed = place[own] < 0
+            w, times = words[own][listed], tf[own][listed]
+            _add_holders(overlap, w[times == 1], None, holders, ends, df)
+            _add_holders(overlap, w[times > 1], times[times > 1], holders, ends, df)
+            overlap[by_id[same[0][i] : same[1][i]]] = 0
+            found[i] = overlap.max()
+    return found
+
+
+def _add_holders(overlap: np.ndarray, words: np.ndarray, times: np.ndarray | None, holders: np.ndarray, ends: np.ndarray, df: np.ndarray) -> None:
+    """Add to `overlap` for each word, as often as it occurs, one at the places of all texts that hold it."""
+    if not len(words):
+        return
+    sizes, last = df[words], ends[words]
+    at = np.concatenate([holders[e - k : e] for e, k in zip(last.tolist(), sizes.tolist())])
+    weights = None if times is None else np.repeat(times, sizes)
+    if len(at) > LOOKUPS:
+        overlap += np.bincount(at, weights, minlength=len(overlap))
+    else:
+        np.add.at(overlap, at, 1 if weights is None else weights)

@@ -343,3 +343,34 @@ def test_words_of_decided_texts_are_no_rows(spark, monkeypatch):
     found = uniqueness.largest_overlaps(texts_of(spark, records), 60.0).collect()
     assert len(found) == 200 and all(r.overlap >= 30 for r in found)
     assert sum(staged) <= 3 * len(records)
+
+
+@pytest.mark.parametrize("goal", [None])
+def test_words_of_open_texts_are_no_rows(spark, monkeypatch, goal):
+    """Also texts that the widest leave open are searched as one row each: no row per word is staged or shuffled."""
+    rng = random.Random(16)
+    records = [(1, key, " ".join(rng.choice([f"w{i}" for i in range(80)]) for _ in range(60))) for key in range(200)]
+    staged = []
+
+    def stage(df):
+        kept = df.localCheckpoint()
+        staged.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(uniqueness, "stage", stage)
+    found = uniqueness.largest_overlaps(texts_of(spark, records), goal)
+    got = {(r.assignment_id, r.text_id): r.overlap for r in found.collect()}
+    assert got == brute_overlaps(records)  # none reaches a goal of 20 by the widest, so all are exact
+    assert sum(staged) <= 3 * len(records)
+    exchanges = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x]
+    assert exchanges and not any("word#" in x or "code#" in x for x in exchanges)
+
+
+@pytest.mark.parametrize("words", [100, 700])
+def test_blocks_meet_in_pairs(spark, monkeypatch, words):
+    monkeypatch.setattr(uniqueness, "CHUNK", words)
+    monkeypatch.setattr(uniqueness, "WIDE", 2)
+    records = [x for x in random_records(17) if x[0] == 1]
+    got = {(r.assignment_id, r.text_id): r.overlap for r in uniqueness.largest_overlaps(texts_of(spark, records)).collect()}
+    expected = brute_overlaps(records)
+    assert len(got) > 1 and {key: expected[key] for key in got} == got

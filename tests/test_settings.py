@@ -7,6 +7,7 @@ import time
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from learnlens.functions import staging
 from learnlens.functions.periods import TimeRange, reporting_window
@@ -165,6 +166,22 @@ def test_staged_results_go_to_the_named_folder_and_leave_nothing(spark):
     raise AssertionError("staged files were left")
 
 
+def test_staging_leaves_no_shuffle_files(spark):
+    """They go at once, while the staged result and its source are in use, and the setting is as before."""
+    files = lambda: {x for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in x}
+    setting = spark.conf.get(staging.CLEAN_SHUFFLES, None)
+    before = files()
+    source = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    staged = stage(source)
+    for _ in range(40):
+        if not files() - before:
+            break
+        time.sleep(0.25)
+    assert not files() - before
+    assert staged.count() == source.count() == 7
+    assert spark.conf.get(staging.CLEAN_SHUFFLES, None) == setting
+
+
 @pytest.mark.parametrize("master,one", [("local", True), ("local[*]", True), ("local-cluster[2,1,1024]", False), ("spark://x:7077", False), ("yarn", False)])
 def test_only_one_machine_may_stage_below_its_warehouse(master, one):
     assert staging.is_one_machine(master) == one
