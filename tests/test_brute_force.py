@@ -345,7 +345,7 @@ def test_words_of_decided_texts_are_no_rows(spark, monkeypatch):
     assert sum(staged) <= 3 * len(records)
 
 
-@pytest.mark.parametrize("goal", [None])
+@pytest.mark.parametrize("goal", [None, 20.0])
 def test_words_of_open_texts_are_no_rows(spark, monkeypatch, goal):
     """Also texts that the widest leave open are searched as one row each: no row per word is staged or shuffled."""
     rng = random.Random(16)
