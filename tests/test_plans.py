@@ -152,6 +152,13 @@ def test_comments_without_a_graded_row_go_before_any_shuffle(spark, stored):
         assert not any("Project" in x and "split(" in x for x in lines[exchange:scan])
 
 
+def test_dashboard_compares_texts_before_its_own_job(spark, stored):
+    """Texts are compared while it is built, so that their shuffle is gone when the series are computed; its plan reads what is staged."""
+    text = plan(dashboard(spark, stored, AS_OF, configured={"feedbackgoal": 40.0}, group=TEACHER))
+    assert "Scan ExistingRDD" in text
+    assert "CoGroup" not in text and "explode(codes" not in text
+
+
 def test_stored_tables_give_the_same_result(spark, stored):
     derived = sample_tables(spark, ROOT)
     for t in (derived, stored):
